@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.textkit import chunks, code_points, ragged, utf8_parts
+from quillon.llm.textkit import chunks, code_points, narrow_batches, ragged, utf8_parts
 
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
 # White space beyond ASCII as the rank files' pattern takes it, and the contractions of that pattern.
@@ -162,7 +162,7 @@ class PieceCache(dict):
     A miss is merged by the tokenizer library's routine for single pieces (n log n for long ones).
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
         import tiktoken
 
         super().__init__()
@@ -250,7 +250,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
 
     Each match of the rank files' pattern is merged by itself; no special tokens. A null or empty text has no tokens;
     all other columns pass through, and columns already named ids or offsets are replaced. One pass, no shuffle. Memory
-    per task: one slice of 8 MB of text (or the longest document), its arrays, and a cache of at most 300,000 pieces.
+    per task: one slice of 8 MB of text (or the longest document), its arrays, and a cache of at most 200,000 pieces.
     """
     held = [c for c in df.columns if c not in (ids, offsets)]
     shared = _shared(df.sparkSession, path)
@@ -274,7 +274,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
                     counts.append(n)
                 yield pa.RecordBatch.from_arrays([*batch.select(held).columns, _list_array(values, counts), _list_array(offs, counts)], names=[*held, ids, offsets])
 
-    return df.select(*held).mapInArrow(run, schema)
+    return narrow_batches(df.select(*held)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "token_offsets", decoded: str = "decoded") -> DataFrame:
@@ -307,7 +307,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "token_off
                 part = whole.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.select(held).columns, column], names=[*held, decoded])
 
-    return df.select(*held).mapInArrow(run, schema)
+    return narrow_batches(df.select(*held)).mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

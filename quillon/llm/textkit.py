@@ -12,10 +12,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 21
 
 
+def narrow_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df, after telling its session to send tasks' Python at most so many rows at once.
+
+    The default of 10,000 suits rows of numbers; texts of unbounded length, and the id arrays made of them, need fewer
+    for a task's Arrow buffers to stay within tens of MB on both sides. A smaller setting is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty and ill-formed UTF-8 is replaced."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
