@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import langid
+
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,8 +27,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per leaked (doc_id, item_id); clean documents have none."""
+    from quillon.llm import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm import simhash
+
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_byte_bpe": op2_byte_bpe}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_decontaminate, op10_covering_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
