@@ -34,6 +34,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated lines removed: doc_id, n_lines, n_removed, text."""
+    from quillon.llm import linededup
+
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm import simhash
 
@@ -41,7 +48,7 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_decontaminate, op10_covering_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_decontaminate, op6_fuzzy_lines, op10_covering_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
