@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import bpe, chat, decontam, langid, linededup, simhash, warc
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -14,42 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm import langid
-
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
-    from quillon.llm import bpe
 
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+def op3_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_control_strings(table(spark, sf_dir, "conversations")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per leaked (doc_id, item_id); clean documents have none."""
-    from quillon.llm import decontam
-
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated lines removed: doc_id, n_lines, n_removed, text."""
-    from quillon.llm import linededup
-
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm import simhash
-
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_decontaminate, op6_fuzzy_lines, op10_covering_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op10_covering_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_prefixes": chat.ORACLE, "op5_warc": warc.ORACLE}
