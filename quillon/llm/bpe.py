@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,7 +310,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "token_off
     return narrow_batches(df.select(*held)).mapInArrow(run, schema)
 
 
+def digest_columns(ids: str = "ids", decoded: str = "decoded") -> list[Column]:
+    """n_tokens, ids_sha256 (of the decimal ids, joined by spaces) and decoded_sha256."""
+    said = F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary")
+    return [F.size(ids).cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256")]
+
+
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents(doc_id, text), by encode() and decode()."""
     both = decode(encode(df.select("doc_id", "text"), path).drop("text"), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select("doc_id", *digest_columns())

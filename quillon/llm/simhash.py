@@ -202,20 +202,20 @@ def near_links(fps: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
     return links
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4, most: int = 4096) -> DataFrame:
-    """(key, fp, component) per row of df: fingerprints within the radius link, component is the smallest key reachable.
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4, most: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, fp, component) per row of df: fingerprints within the radius link, component is the smallest key reachable.
 
     Equal fingerprints are one node with its smallest key, so copies are never paired; links exist between distinct
     fingerprints only. Null, empty and blank texts share fingerprint 0 and link like any other. A row whose key is null
     gets its component's smallest key, null if that has none. Repeated rows each appear. An empty table gives no rows.
     """
-    fps = written(fingerprints(df.select(key, text), text, k), "simhash")
+    fps = written(fingerprints(df.select(key, *carry, text), text, k), "simhash")
     nodes = fps.groupBy("fp").agg(F.min(key).alias("least"))
     groups = connected(near_links(nodes.select("fp"), radius, most).select("a", "b"))
     placed = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     placed = written(placed, "simhash-groups")
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    return fps.join(placed.join(least, "root").select("fp", "component"), "fp").select(key, "fp", "component")
+    return fps.join(placed.join(least, "root").select("fp", "component"), "fp").select(key, *carry, "fp", "component")
 
 
 def digests(df: DataFrame) -> DataFrame:
