@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat, decontam, langid, linededup, simhash, warc
+from quillon.llm import bpe, chat, decontam, langid, linededup, simhash, tokenbin, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,16 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op10_covering_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op9_token_shards, op10_covering_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
