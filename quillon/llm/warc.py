@@ -97,6 +97,11 @@ def _read(opened: dict, uri: str, at: int, n: int) -> bytes:
     return opened["file"].read_at(n, at)
 
 
+def _tasks(manifest: DataFrame, bytes_each: int = 1 << 24) -> int:
+    """A task for each 16 MB of archives: rows that only point at bytes look too small to Spark to be spread."""
+    return max(1, -(-(manifest.agg(F.sum("size")).first()[0] or 0) // bytes_each))
+
+
 def candidates(manifest: DataFrame, block: int = 1 << 22) -> DataFrame:
     """(file, start, next) of every place that looks like a record's start; next is where its header says it ends.
 
@@ -118,11 +123,13 @@ def candidates(manifest: DataFrame, block: int = 1 << 22) -> DataFrame:
                     k = data.find(MAGIC, k + 1)
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(nexts, pa.int64())], names=["file", "start", "next"])
 
-    return blocks.repartition("file", "at").mapInArrow(run, "file string, start bigint, next bigint")
+    return blocks.repartition(_tasks(manifest), "file", "at").mapInArrow(run, "file string, start bigint, next bigint")
 
 
 def reachable(start: np.ndarray, following: np.ndarray, size: int) -> np.ndarray:
     """Which candidates the chain from offset 0 reaches, by pointer jumping; an error unless it ends at the file's end."""
+    if not len(start):
+        raise ValueError("a file has no record")
     order = np.argsort(start, kind="stable")
     n, start, following = len(start), start[order], following[order]
     jump = np.searchsorted(start, following)
@@ -146,11 +153,14 @@ def record_bounds(manifest: DataFrame) -> DataFrame:
     """(file, start, next) of the true records. A file's candidates, 16 bytes each, meet in one task."""
 
     def chain(table: pa.Table) -> pa.Table:
-        keep = reachable(np.asarray(table["start"]), np.asarray(table["next"]), table["size"][0].as_py())
-        return table.filter(pa.array(keep)).select(["file", "start", "next"])
+        start, size = np.asarray(table["start"]), int(np.asarray(table["size"]).max())
+        own = table.filter(pa.array(start >= 0))
+        keep = reachable(np.asarray(own["start"]), np.asarray(own["next"]), size)
+        return own.filter(pa.array(keep)).select(["file", "start", "next"])
 
-    sized = manifest.where("size > 0").join(candidates(manifest), "file", "left").select("file", F.coalesce("start", F.lit(-1)).alias("start"), F.coalesce("next", F.lit(-1)).alias("next"), "size")
-    return sized.groupBy("file").applyInArrow(chain, "file string, start bigint, next bigint")
+    none = F.lit(-1).cast("long")
+    rows = candidates(manifest).withColumn("size", none).unionByName(manifest.where("size > 0").select("file", none.alias("start"), none.alias("next"), "size"))
+    return rows.groupBy("file").applyInArrow(chain, "file string, start bigint, next bigint")
 
 
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -164,7 +174,7 @@ def read_archives(manifest: DataFrame, payload: bool = True, block: int = 1 << 2
     chain is an error. No archive, no rows.
     """
     bounds = written(record_bounds(manifest), "warc-bounds")
-    tasks = bounds.withColumn("block", F.floor(F.col("start") / block)).repartition("file", "block").sortWithinPartitions("file", "start").select("file", "start", "next")
+    tasks = bounds.withColumn("block", F.floor(F.col("start") / block)).repartition(_tasks(manifest), "file", "block").sortWithinPartitions("file", "start").select("file", "start", "next")
     number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
 
     def run(batches):
