@@ -224,13 +224,14 @@ def locate(keys: DataFrame, folder: str, parts: int) -> DataFrame:
     return rows.where("key is not null").mapInArrow(run, "key bigint, shard int, row bigint")
 
 
-def read_rows(places: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+def read_rows(places: DataFrame, files: DataFrame, folder: str, tasks: int = 8) -> DataFrame:
     """(key, shard, row, before, ids) of places(key, shard, row), read from the shard files; before counts the shard's ids ahead of it.
 
-    files(shard, file) names them. The key stored in the shard must be the one looked for.
+    files(shard, file) names them; tasks is the number of reading tasks, as rows that only point at bytes look too small
+    to Spark to be spread. The key stored in the shard must be the one looked for.
     """
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("before", T.LongType()), T.StructField("ids", T.BinaryType())])
-    rows = places.join(files, "shard").withColumn("block", F.floor(F.col("row") / 4096)).repartition("shard", "block").sortWithinPartitions("shard", "row").select("key", "shard", "file", "row")
+    rows = places.join(files, "shard").withColumn("block", F.floor(F.col("row") / 4096)).repartition(tasks, "shard", "block").sortWithinPartitions("shard", "row").select("key", "shard", "file", "row")
 
     def run(batches):
         held: dict = {}
@@ -264,7 +265,8 @@ def digests(df: DataFrame, path: str, partitions: int | None = None) -> DataFram
     folder = scratch(df.sparkSession, "tokens")
     manifest = write_shards(df, folder, path, partitions=partitions)
     parts = write_index(manifest, folder)
-    totals = manifest.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()  # one row per file
+    # One row per file.
+    totals = manifest.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     files, ahead = [], 0
     for r in totals:
         files.append((r["shard"], r["file"], ahead))
@@ -272,6 +274,6 @@ def digests(df: DataFrame, path: str, partitions: int | None = None) -> DataFram
     files = df.sparkSession.createDataFrame(files, "shard int, file string, ahead bigint")
     keyless = manifest.where("key is null").select("key", "shard", "row")
     places = locate(manifest.select("key").distinct(), folder, parts).unionByName(keyless)
-    rows = read_rows(places, files.select("shard", "file"), folder)
+    rows = read_rows(places, files.select("shard", "file"), folder, max(8, 2 * len(totals)))
     out = rows.join(F.broadcast(files), "shard")  # as many rows as there are shard files
     return out.select(F.col("key").alias("doc_id"), (F.col("ahead") + F.col("before")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
