@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat, decontam, itq, langid, linededup, simhash, tokenbin, warc
+from quillon.llm import bpe, chat, decontam, itq, langid, linededup, pii, simhash, tokenbin, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.digests(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +59,7 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op8_itq_embeddings, op9_token_shards, op10_covering_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op7_pii_crf, op8_itq_embeddings, op9_token_shards, op10_covering_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
