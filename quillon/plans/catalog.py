@@ -1,21 +1,636 @@
-"""Queries over the provided tables, by name, and the SQL that gives the same rows."""
+"""Queries over the provided tables, by name, and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.functions import expr
+from quillon.functions.base import feature_columns
+from quillon.operators import metrics as M
+from quillon.operators import optimizers as O
+from quillon.operators.bayes import GaussianNB
+from quillon.operators.cluster import DBSCAN, GaussianMixture, KMeans
+from quillon.operators.decomposition import PCA
+from quillon.operators.ensemble import AdaBoostClassifier, GradientBoostingClassifier, RandomForestClassifier
+from quillon.operators.layers import Linear, MSELoss, Tanh, Trainer
+from quillon.operators.linear import Lasso, LinearRegression, LinearSVM, LogisticRegression, Ridge
+from quillon.operators.neighbors import KNeighborsClassifier
+from quillon.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, train_test_split
+from quillon.operators.tokenizers import BPETokenizer, CharTokenizer, adjacent_pairs, characters
+from quillon.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor, apply_kernel
+from quillon.sources import generators
+from quillon.tensor import rel
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r6(c, name: str, digits: int = 6):
+    """Rounded, without the sign of zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.round(c, digits) + F.lit(0.0)).alias(name)
+
+
+def one_row(spark: SparkSession, **values) -> DataFrame:
+    return spark.range(1).select(*[F.lit(float(v)).alias(k) for k, v in values.items()])
+
+
+def vectors(spark, sf) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda v: v.cast("double")).alias("features"), F.col("label").cast("long").alias("y"))
+
+
+def long_vectors(spark, sf) -> DataFrame:
+    """(n, i, v) of the embeddings."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("n"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("i", "v"))
+
+
+LONG = "SELECT vec_id AS n, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v, label FROM embeddings"
+
+
+def prices(spark, sf) -> DataFrame:
+    return feature_columns(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"]).select("features", F.col("l_extendedprice").alias("y"))
+
+
+def returned(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("features"), (F.col("l_returnflag") == "R").cast("long").alias("y"))
+
+
+RETURNED = "SELECT l_quantity / 50 AS x1, l_discount * 10 AS x2, (l_returnflag = 'R')::INT AS y FROM lineitem"
+
+
+def graded(spark, sf) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("row_id"), F.array(F.col("n_chars").cast("double"), F.col("doc_id").cast("double")).alias("features"), F.col("quality").cast("long").alias("y"))
+
+
+def places(spark, sf) -> DataFrame:
+    """Customers in the plane: balance in thousands, and nation."""
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("features"), F.dense_rank().over(Window.orderBy("c_mktsegment")).cast("long").alias("y"))
+
+
+PLACES = "SELECT c_custkey AS id, c_acctbal / 1000 AS x1, c_nationkey::DOUBLE AS x2, dense_rank() OVER (ORDER BY c_mktsegment) AS y FROM customer"
+
+# --- naive Bayes and neighbours ---------------------------------------------------------------------------------------
+
+NB_STATS = f"""WITH l AS ({LONG}), s AS (SELECT label, i, avg(v) AS m, var_pop(v) AS var FROM l GROUP BY 1, 2),
+e AS (SELECT 1e-9 * max(p) AS eps FROM (SELECT var_pop(v) AS p FROM l GROUP BY i)), c AS (SELECT label, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1)"""
+
+
+@query(NB_STATS + " SELECT label::BIGINT AS label, i::BIGINT AS i, round(m, 6) + 0.0 AS mean, round(var + eps, 6) AS variance, n::BIGINT AS n FROM s JOIN c USING (label), e")
+def gaussian_nb_fit(spark, sf):
+    m = GaussianNB().fit(vectors(spark, sf))
+    rows = [(int(c), i, float(m.theta_[k, i]), float(m.var_[k, i]), int(m.class_count_[k])) for k, c in enumerate(m.classes_) for i in range(m.theta_.shape[1])]
+    df = spark.createDataFrame(rows, "label long, i long, mean double, variance double, n long")
+    return df.select("label", "i", r6("mean", "mean"), r6("variance", "variance"), "n")
+
+
+NB_JLL = NB_STATS + """, j AS (SELECT l.n AS id, s.label, any_value(l.label) AS y, ln(any_value(c.n) / (SELECT count(*) FROM embeddings)) + sum(-0.5 * ln(2 * pi() * (var + eps)) - (v - m) * (v - m) / (2 * (var + eps))) AS jll
+FROM l JOIN s ON l.i = s.i JOIN c ON c.label = s.label, e GROUP BY 1, 2)"""
+
+
+@query(NB_JLL + ", p AS (SELECT id, y, arg_max(label, jll) AS p, max(jll) AS top FROM j GROUP BY 1, 2), z AS (SELECT j.id, sum(exp(jll - top)) AS z FROM j JOIN p ON p.id = j.id GROUP BY 1) SELECT p.id AS row_id, p.p::BIGINT AS prediction, round(1 / z, 6) AS proba FROM p JOIN z ON p.id = z.id")
+def gaussian_nb_predict(spark, sf):
+    df = vectors(spark, sf)
+    m = GaussianNB().fit(df)
+    return m.predict(m.predict_proba(df)).select("row_id", "prediction", r6(F.array_max("proba"), "proba"))
+
+
+@query(NB_JLL + ", p AS (SELECT id, y, arg_max(label, jll) AS p FROM j GROUP BY 1, 2) SELECT round(avg((p = y)::INT), 6) AS accuracy FROM p")
+def gaussian_nb_score(spark, sf):
+    df = vectors(spark, sf)
+    return GaussianNB().fit(df).predict(df).agg(r6(M.accuracy("y", "prediction"), "accuracy"))
+
+
+@query(f"""WITH t AS ({PLACES}), q AS (SELECT s_suppkey AS q, s_acctbal / 1000 AS x1, s_nationkey::DOUBLE AS x2 FROM supplier),
+d AS (SELECT q, id, y, sqrt((t.x1 - q.x1) * (t.x1 - q.x1) + (t.x2 - q.x2) * (t.x2 - q.x2)) AS d FROM q, t),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM d QUALIFY r <= 5),
+v AS (SELECT q, y, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT q AS row_id, arg_max(y, n * 1000 - y)::BIGINT AS prediction, round(max(n) / 5, 6) AS share FROM v GROUP BY 1""")
+def knn_classify(spark, sf):
+    m = KNeighborsClassifier(5).fit(places(spark, sf))
+    q = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double")).alias("features"))
+    return m.predict(q).join(m.predict_proba(q), "row_id").select("row_id", "prediction", r6(F.array_max("proba"), "share"))
+
+
+@query(f"""WITH t AS ({PLACES}), q AS (SELECT s_suppkey AS q, s_acctbal / 1000 AS x1, s_nationkey::DOUBLE AS x2 FROM supplier),
+d AS (SELECT q, id, abs(t.x1 - q.x1) + abs(t.x2 - q.x2) AS d FROM q, t)
+SELECT q AS row_id, id AS train_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM d QUALIFY rank <= 3""")
+def knn_neighbors_manhattan(spark, sf):
+    m = KNeighborsClassifier(3, metric="manhattan").fit(places(spark, sf))
+    q = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double")).alias("features"))
+    return m.kneighbors(q).select("row_id", "train_id", r6("distance", "distance"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------------
+
+GUESS = "SELECT quality AS y, (n_chars > 1000)::INT AS p FROM documents JOIN labels USING (doc_id)"
+
+
+def guesses(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("quality").alias("y"), (F.col("n_chars") > 1000).cast("int").alias("prediction"))
+
+
+@query(f"WITH g AS ({GUESS}), a AS (SELECT y AS l FROM g UNION SELECT p FROM g) SELECT a.l::BIGINT AS y_true, b.l::BIGINT AS y_pred, count(g.y) AS n FROM a CROSS JOIN a b LEFT JOIN g ON g.y = a.l AND g.p = b.l GROUP BY 1, 2")
+def confusion_matrix(spark, sf):
+    return M.confusion_matrix(guesses(spark, sf))
+
+
+@query(f"""WITH c AS (SELECT avg((y = p)::INT) AS a, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y <> 1 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p <> 1) AS fn FROM ({GUESS}))
+SELECT round(a, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def classification_scores(spark, sf):
+    return guesses(spark, sf).agg(r6(M.accuracy("y", "prediction"), "accuracy"), r6(M.precision(), "precision"), r6(M.recall(), "recall"), r6(M.f1(), "f1"))
+
+
+@query("""SELECT round(avg(d * d), 2) AS mse, round(sqrt(avg(d * d)), 4) AS rmse, round(avg(abs(d)), 4) AS mae, round(1 - avg(d * d) / any_value(v), 6) AS r2
+FROM (SELECT l_extendedprice - l_quantity * 1500 AS d, var_pop(l_extendedprice) OVER () AS v FROM lineitem)""")
+def regression_scores(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("prediction"))
+    return df.agg(r6(M.mean_squared_error(), "mse", 2), r6(M.root_mean_squared_error(), "rmse", 4), r6(M.mean_absolute_error(), "mae", 4), r6(M.r2(), "r2"))
+
+
+CENTRES = f"WITH l AS ({LONG}), c AS (SELECT label, i, avg(v) AS m FROM l GROUP BY 1, 2)"
+
+
+def to_centres(spark, sf, metric, into):
+    df = vectors(spark, sf)
+    means = df.select("y", F.posexplode("features").alias("i", "v")).groupBy("y", "i").agg(F.avg("v").alias("v")).groupBy("y").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("b"))
+    return metric(df.select(F.col("row_id").alias("a_id"), F.col("features").alias("a")), means.select(F.col("y").alias("b_id"), "b")).select("a_id", "b_id", r6(into, into))
+
+
+@query(CENTRES + " SELECT n AS a_id, c.label::BIGINT AS b_id, round(sqrt(sum((v - m) * (v - m))), 6) AS distance FROM l JOIN c USING (i) GROUP BY 1, 2")
+def pairwise_euclidean(spark, sf):
+    return to_centres(spark, sf, M.euclidean_distance, "distance")
+
+
+@query(CENTRES + " SELECT n AS a_id, c.label::BIGINT AS b_id, round(sum(abs(v - m)), 6) AS distance FROM l JOIN c USING (i) GROUP BY 1, 2")
+def pairwise_manhattan(spark, sf):
+    return to_centres(spark, sf, M.manhattan_distance, "distance")
+
+
+@query(CENTRES + " SELECT n AS a_id, c.label::BIGINT AS b_id, round(sum(v * m) / sqrt(sum(v * v)) / sqrt(sum(m * m)), 6) + 0.0 AS similarity FROM l JOIN c USING (i) GROUP BY 1, 2")
+def pairwise_cosine(spark, sf):
+    return to_centres(spark, sf, M.cosine_similarity, "similarity")
+
+
+# --- preprocessing ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) + 0.0 AS scaled FROM orders")
+def standard_scaler(spark, sf):
+    df = feature_columns(table(spark, sf, "orders"), ["o_totalprice"])
+    return StandardScaler().fit_transform(df).select("o_orderkey", r6(F.get("features", F.lit(0)), "scaled"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()) * 2 - 1, 6) + 0.0 AS scaled FROM orders")
+def min_max_scaler(spark, sf):
+    df = feature_columns(table(spark, sf, "orders"), ["o_totalprice"])
+    return MinMaxScaler((-1.0, 1.0)).fit_transform(df).select("o_orderkey", r6(F.get("features", F.lit(0)), "scaled"))
+
+
+@query("""WITH c AS (SELECT DISTINCT c_mktsegment AS s FROM customer) SELECT c_custkey, s AS category, (s = c_mktsegment)::INT::DOUBLE AS hot, c_mktsegment AS back FROM customer, c""")
+def one_hot_encoder(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    enc = OneHotEncoder()
+    out = enc.inverse_transform(enc.fit_transform(df, "c_mktsegment"), into="back")
+    names = F.array(*[F.lit(c) for c in enc.categories_])
+    return out.select("c_custkey", F.explode(F.arrays_zip(names.alias("category"), F.col("one_hot").alias("hot"))).alias("z"), "back").select("c_custkey", "z.category", "z.hot", "back")
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || ':7'), o_orderkey) AS k, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, CASE WHEN k <= round_even(n * 0.25, 0) THEN 'test' ELSE 'train' END AS side FROM r""")
+def exact_split(spark, sf):
+    train, test = train_test_split(table(spark, sf, "orders").select("o_orderkey"), 0.25, 7, "o_orderkey")
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+
+
+# --- linear models ----------------------------------------------------------------------------------------------------
+
+NORMAL = """WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_extendedprice) AS m, covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS bq FROM lineitem),
+w AS (SELECT *, (ay * (bb + {l}) - bq * ab) / ((aa + {l}) * (bb + {l}) - ab * ab) AS w1, (bq * (aa + {l}) - ay * ab) / ((aa + {l}) * (bb + {l}) - ab * ab) AS w2 FROM s)
+SELECT round(w1, 4) AS w1, round(w2, 4) AS w2, round(m - w1 * a - w2 * b, 3) AS intercept FROM w"""
+
+
+def fitted(spark, m, digits=4):
+    out = one_row(spark, w1=m.coef_[0], w2=m.coef_[1], intercept=m.intercept_)
+    return out.select(r6("w1", "w1", digits), r6("w2", "w2", digits), r6("intercept", "intercept", digits - 1))
+
+
+@query(NORMAL.format(l="0"))
+def linear_regression(spark, sf):
+    return fitted(spark, LinearRegression().fit(prices(spark, sf)))
+
+
+@query(NORMAL.format(l="(1000.0 / n)"))
+def ridge_regression(spark, sf):
+    return fitted(spark, Ridge(1000.0).fit(prices(spark, sf)))
+
+
+@query("""WITH s AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS m, var_pop(l_quantity) AS v, covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem),
+w AS (SELECT *, sign(c) * greatest(abs(c) - 5000, 0) / v AS w FROM s) SELECT round(w, 4) + 0.0 AS w1, round(m - w * a, 3) AS intercept FROM w""")
+def lasso_regression(spark, sf):
+    df = feature_columns(table(spark, sf, "lineitem"), ["l_quantity"]).withColumnRenamed("l_extendedprice", "y")
+    m = Lasso(5000.0).fit(df)
+    return one_row(spark, w1=m.coef_[0], intercept=m.intercept_).select(r6("w1", "w1", 4), r6("intercept", "intercept", 3))
+
+
+@query("""WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS w, regr_intercept(l_extendedprice, l_quantity) AS b, regr_r2(l_extendedprice, l_quantity) AS r FROM lineitem)
+SELECT round(avg(w * l_quantity + b), 3) AS mean_prediction, round(max(w * l_quantity + b), 3) AS max_prediction, round(any_value(r), 6) AS r2 FROM lineitem, s""")
+def linear_predict_and_score(spark, sf):
+    df = feature_columns(table(spark, sf, "lineitem"), ["l_quantity"]).withColumnRenamed("l_extendedprice", "y")
+    out = LinearRegression().fit(df).predict(df)
+    return out.agg(r6(F.avg("prediction"), "mean_prediction", 3), r6(F.max("prediction"), "max_prediction", 3), r6(M.r2(), "r2"))
+
+
+def gd_sql(steps: int, rate: float) -> str:
+    parts = ["p0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"]
+    for k in range(1, steps + 1):
+        parts.append(f"p{k} AS (SELECT any_value(b) - {rate} * avg(e) AS b, any_value(w1) - {rate} * (sum(e * x1) + any_value(w1)) / count(*) AS w1, any_value(w2) - {rate} * (sum(e * x2) + any_value(w2)) / count(*) AS w2 FROM (SELECT *, 1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) - y AS e FROM d, p{k - 1}))")
+    return f"WITH d AS ({RETURNED}), " + ", ".join(parts) + f" SELECT round(w1, 6) + 0.0 AS w1, round(w2, 6) + 0.0 AS w2, round(b, 5) + 0.0 AS intercept FROM p{steps}"
+
+
+@query(gd_sql(4, 0.5))
+def logistic_gradient_descent(spark, sf):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return fitted(spark, LogisticRegression(solver="gd", lr=0.5, max_iter=4, tol=1e-30).fit(returned(spark, sf)), 6)
+
+
+@query()
+def logistic_newton(spark, sf):
+    df = returned(spark, sf)
+    m = LogisticRegression().fit(df)
+    return m.predict_proba(m.predict(df)).groupBy("prediction").agg(F.count("*").alias("n"), r6(F.avg(F.get("proba", F.lit(1))), "mean_proba"))
+
+
+def svm_sql(steps: int, c: float, rate: float) -> str:
+    parts = ["p1 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"]
+    for k in range(1, steps + 2):
+        parts.append(f"g{k} AS (SELECT any_value(b) AS b, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w1 * w1 + w2 * w2) / 2 + {c} * sum(greatest(1 - m, 0)) AS j, sum(CASE WHEN m < 1 THEN s * x1 ELSE 0 END) AS a1, sum(CASE WHEN m < 1 THEN s * x2 ELSE 0 END) AS a2, sum(CASE WHEN m < 1 THEN s ELSE 0 END) AS a0 FROM (SELECT *, s * (b + w1 * x1 + w2 * x2) AS m FROM (SELECT *, 2 * y - 1 AS s FROM d), p{k}))")
+        parts.append(f"p{k + 1} AS (SELECT b + {rate} / sqrt({k}) * {c} * a0 AS b, w1 - {rate} / sqrt({k}) * (w1 - {c} * a1) AS w1, w2 - {rate} / sqrt({k}) * (w2 - {c} * a2) AS w2 FROM g{k})")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, j, b, w1, w2 FROM g{k}" for k in range(1, steps + 2))
+    return f"WITH d AS ({RETURNED}), " + ", ".join(parts) + f" SELECT round(w1, 6) + 0.0 AS w1, round(w2, 6) + 0.0 AS w2, round(b, 5) + 0.0 AS intercept FROM ({every}) ORDER BY j, k LIMIT 1"
+
+
+@query(svm_sql(5, 0.001, 0.01))
+def linear_svm(spark, sf):
+    return fitted(spark, LinearSVM(C=0.001, lr=0.01, max_iter=5).fit(returned(spark, sf)), 6)
+
+
+# --- trees and ensembles ----------------------------------------------------------------------------------------------
+
+GRADED = "SELECT d.doc_id, n_chars::DOUBLE AS f0, d.doc_id::DOUBLE AS f1, quality AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+GINI = "CASE WHEN ({n}) > 0 THEN 1 - pow(({a})::DOUBLE / ({n}), 2) - pow((({n}) - ({a}))::DOUBLE / ({n}), 2) ELSE 0 END"
+ROOT = f"""WITH d AS ({GRADED}), u AS (SELECT 0 AS f, f0 AS v, y FROM d UNION ALL SELECT 1, f1, y FROM d),
+e AS (SELECT f, v, count(*) AS n, sum(y) AS a FROM u GROUP BY 1, 2),
+w AS (SELECT f, v, lead(v) OVER o AS nx, sum(n) OVER o AS ln, sum(a) OVER o AS la, sum(n) OVER (PARTITION BY f) AS tn, sum(a) OVER (PARTITION BY f) AS ta FROM e WINDOW o AS (PARTITION BY f ORDER BY v)),
+g AS (SELECT *, (v + nx) / 2 AS cut, {GINI.format(n='tn', a='ta')} - (ln * ({GINI.format(n='ln', a='la')}) + (tn - ln) * ({GINI.format(n='tn - ln', a='ta - la')})) / tn AS gain FROM w WHERE nx IS NOT NULL),
+b AS (SELECT * FROM g ORDER BY round(gain, 11) DESC, f, cut LIMIT 1)"""
+
+
+@query(ROOT + " SELECT f::BIGINT AS feature, cut AS threshold, round(gain, 8) AS gain, ln::BIGINT AS n_left, tn::BIGINT AS n FROM b")
+def decision_tree_root(spark, sf):
+    t = DecisionTreeClassifier(max_depth=1).fit(graded(spark, sf)).tree_
+    from quillon.operators.tree import impurity
+
+    s = [np.array(x) for x in t.stats]
+    gain = impurity(s[0], "gini") - (s[1].sum() * impurity(s[1], "gini") + s[2].sum() * impurity(s[2], "gini")) / s[0].sum()
+    return spark.createDataFrame([(t.feature[0], float(t.threshold[0]), float(gain), t.rows[1], t.rows[0])], "feature long, threshold double, gain double, n_left long, n long").withColumn("gain", F.round("gain", 8))
+
+
+@query(ROOT + """, p AS (SELECT d.doc_id, CASE WHEN (CASE WHEN b.f = 0 THEN f0 ELSE f1 END) <= b.cut THEN (la * 2 > ln)::INT ELSE ((ta - la) * 2 > (tn - ln))::INT END AS p, y FROM d, b),
+x AS (SELECT avg((p <> y)::INT) AS err FROM p) SELECT round(err, 6) AS error, round(ln((1 - err) / err), 6) AS alpha FROM x""")
+def adaboost_first_round(spark, sf):
+    m = AdaBoostClassifier(1).fit(graded(spark, sf))
+    return one_row(spark, error=m.estimator_errors_[0], alpha=m.estimator_weights_[0]).select(r6("error", "error"), r6("alpha", "alpha"))
+
+
+@query()
+def decision_tree_predict(spark, sf):
+    df = graded(spark, sf)
+    m = DecisionTreeClassifier("entropy", max_depth=4, min_samples_leaf=5).fit(df)
+    return m.predict(m.predict_proba(df)).select("row_id", "prediction", r6(F.array_max("proba"), "share"))
+
+
+@query("""WITH u AS (SELECT 0 AS f, l_quantity AS v, l_extendedprice AS y FROM lineitem UNION ALL SELECT 1, l_discount, l_extendedprice FROM lineitem),
+e AS (SELECT f, v, count(*) AS n, sum(y - (SELECT avg(l_extendedprice) FROM lineitem)) AS a FROM u GROUP BY 1, 2),
+w AS (SELECT f, v, lead(v) OVER o AS nx, sum(n) OVER o AS ln, sum(a) OVER o AS la, sum(n) OVER (PARTITION BY f) AS tn, sum(a) OVER (PARTITION BY f) AS ta FROM e WINDOW o AS (PARTITION BY f ORDER BY v)),
+g AS (SELECT *, (v + nx) / 2 AS cut, la * la / ln + (ta - la) * (ta - la) / (tn - ln) AS gain FROM w WHERE nx IS NOT NULL)
+SELECT f::BIGINT AS feature, round(cut, 6) AS threshold, ln::BIGINT AS n_left, round((SELECT avg(l_extendedprice) FROM lineitem) + la / ln, 2) AS left_mean FROM g ORDER BY gain DESC, f, cut LIMIT 1""")
+def regression_tree_root(spark, sf):
+    m = DecisionTreeRegressor(max_depth=1).fit(prices(spark, sf))
+    t = m.tree_
+    return spark.createDataFrame([(t.feature[0], float(t.threshold[0]), t.rows[1], float(t.value[1, 0] + m.center_))], "feature long, threshold double, n_left long, left_mean double").select("feature", r6("threshold", "threshold"), "n_left", r6("left_mean", "left_mean", 2))
+
+
+@query()
+def random_forest(spark, sf):
+    df = graded(spark, sf)
+    m = RandomForestClassifier(10, max_depth=5, oob_score=True, random_state=0).fit(df)
+    return m.predict(m.predict_proba(df)).select("row_id", "prediction", r6(F.array_max("proba"), "share"))
+
+
+@query()
+def adaboost_staged(spark, sf):
+    df = graded(spark, sf)
+    m = AdaBoostClassifier(3, max_depth=1).fit(df)
+    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(m.staged_score(df), 1)], "round long, accuracy double")
+
+
+@query()
+def gradient_boosting(spark, sf):
+    df = graded(spark, sf)
+    m = GradientBoostingClassifier(n_estimators=3, max_depth=2).fit(df)
+    return m.predict(m.decision_function(df)).select("row_id", "prediction", r6("decision", "decision"))
+
+
+# --- clustering and decomposition -------------------------------------------------------------------------------------
+
+STARTS = [[0.0, 4.0], [4.0, 12.0], [8.0, 20.0]]
+
+
+def lloyd_sql(steps: int) -> str:
+    start = " UNION ALL ".join(f"SELECT {k} AS k, {a}::DOUBLE AS a, {b}::DOUBLE AS b" for k, (a, b) in enumerate(STARTS))
+    parts = [f"c0 AS ({start})"]
+    for s in range(steps + 1):
+        parts.append(f"d{s} AS (SELECT id, x1, x2, arg_min(k, d * 1000000 + k * 1e-6) AS k, min(d) AS d FROM (SELECT id, x1, x2, k, (x1 - a) * (x1 - a) + (x2 - b) * (x2 - b) AS d FROM t, c{s}) GROUP BY 1, 2, 3)")
+        parts.append(f"c{s + 1} AS (SELECT k, avg(x1) AS a, avg(x2) AS b FROM d{s} GROUP BY 1)")
+    return f"WITH t AS ({PLACES}), " + ", ".join(parts) + f" SELECT c.k::BIGINT AS cluster, round(c.a, 6) + 0.0 AS x1, round(c.b, 6) + 0.0 AS x2, (SELECT count(*) FROM d{steps} d WHERE d.k = c.k) AS n, (SELECT round(sum(d), 3) FROM d{steps}) AS inertia FROM c{steps} c"
+
+
+@query(lloyd_sql(3))
+def kmeans(spark, sf):
+    df = places(spark, sf)
+    m = KMeans(3, init=STARTS, max_iter=3, tol=0.0).fit(df)
+    n = m.predict(df).groupBy(F.col("prediction").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
+    c = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(m.cluster_centers_)], "cluster long, x1 double, x2 double")
+    return c.join(n, "cluster").select("cluster", r6("x1", "x1"), r6("x2", "x2"), "n", r6(F.lit(m.inertia_), "inertia", 3))
+
+
+@query()
+def kmeans_plus_plus(spark, sf):
+    df = places(spark, sf)
+    return KMeans(4, n_init=2, max_iter=10, random_state=0).fit_predict(df).select("row_id", "prediction")
+
+
+@query("""WITH RECURSIVE t AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x1, s_nationkey::DOUBLE AS x2 FROM supplier),
+n AS (SELECT a.id AS a, b.id AS b FROM t a, t b WHERE sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)) <= 1.5),
+c AS (SELECT a FROM n GROUP BY 1 HAVING count(*) >= 4), cc AS (SELECT n.a, n.b FROM n WHERE n.a IN (SELECT a FROM c) AND n.b IN (SELECT a FROM c)),
+r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, cc.b FROM r JOIN cc ON cc.a = r.b),
+g AS (SELECT a, min(b) AS m FROM r GROUP BY 1), f AS (SELECT n.a, min(g.m) AS m FROM n JOIN g ON g.a = n.b GROUP BY 1),
+k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS label FROM (SELECT DISTINCT m FROM g))
+SELECT t.id AS row_id, coalesce(k.label, -1)::INT AS label FROM t LEFT JOIN f ON f.a = t.id LEFT JOIN k ON k.m = f.m""")
+def dbscan(spark, sf):
+    df = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double")).alias("features"))
+    return DBSCAN(1.5, 4).fit_predict(df)
+
+
+@query(f"""WITH t AS ({PLACES}), p AS (SELECT * FROM (VALUES (0, 0.5, 2.0, 6.0, 9.0, 16.0), (1, 0.5, 6.0, 18.0, 9.0, 16.0)) p(k, w, m1, m2, v1, v2)),
+j AS (SELECT id, x1, x2, k, w * exp(-0.5 * ((x1 - m1) * (x1 - m1) / v1 + (x2 - m2) * (x2 - m2) / v2)) / sqrt(v1 * v2) AS d FROM t, p),
+r AS (SELECT *, d / sum(d) OVER (PARTITION BY id) AS r FROM j), m AS (SELECT k, sum(r) AS nk, sum(r * x1) / sum(r) AS m1, sum(r * x2) / sum(r) AS m2 FROM r GROUP BY 1)
+SELECT m.k::BIGINT AS component, round(any_value(nk) / (SELECT count(*) FROM t), 6) AS weight, round(any_value(m1), 6) AS mean1, round(any_value(m2), 6) AS mean2,
+  round(sum(r * (x1 - m1) * (x1 - m1)) / any_value(nk) + 1e-6, 5) AS var1, round(sum(r * (x2 - m2) * (x2 - m2)) / any_value(nk) + 1e-6, 5) AS var2 FROM r JOIN m ON m.k = r.k GROUP BY 1""")
+def gaussian_mixture_step(spark, sf):
+    start = ([0.5, 0.5], [[2.0, 6.0], [6.0, 18.0]], [[9.0, 16.0], [9.0, 16.0]])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        m = GaussianMixture(2, covariance_type="diag", max_iter=1, init_params=start).fit(places(spark, sf))
+    rows = [(k, float(m.weights_[k]), *map(float, m.means_[k]), *map(float, m.covariances_[k])) for k in range(2)]
+    df = spark.createDataFrame(rows, "component long, weight double, mean1 double, mean2 double, var1 double, var2 double")
+    return df.select("component", r6("weight", "weight"), r6("mean1", "mean1"), r6("mean2", "mean2"), r6("var1", "var1", 5), r6("var2", "var2", 5))
+
+
+@query()
+def gaussian_mixture_full(spark, sf):
+    df = places(spark, sf)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return GaussianMixture(2, max_iter=5, random_state=0).fit(df).predict(df).select("row_id", "prediction")
+
+
+@query(f"""WITH s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, covar_samp(x1, x1) AS a, covar_samp(x2, x2) AS d, covar_samp(x1, x2) AS b FROM ({PLACES})),
+e AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l1, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS l2 FROM s)
+SELECT round(l1, 5) AS variance1, round(l2, 5) AS variance2, round(l1 / (l1 + l2), 6) AS ratio1, round(abs(l1 - d) / sqrt((l1 - d) * (l1 - d) + b * b), 5) AS size_x1 FROM e""")
+def pca_fit(spark, sf):
+    m = PCA().fit(places(spark, sf))
+    return one_row(spark, variance1=m.explained_variance_[0], variance2=m.explained_variance_[1], ratio1=m.explained_variance_ratio_[0], size_x1=abs(m.components_[0, 0])).select(r6("variance1", "variance1", 5), r6("variance2", "variance2", 5), r6("ratio1", "ratio1"), r6("size_x1", "size_x1", 5))
+
+
+@query()
+def pca_transform(spark, sf):
+    df = vectors(spark, sf)
+    return PCA(3).fit_transform(df).select("row_id", *[r6(F.get("components", F.lit(k)), f"c{k}", 5) for k in range(3)])
+
+
+# --- optimizers: five steps on 0.5 * a * x^2 for every part's price ---------------------------------------------------
+
+PARTS = "SELECT p_partkey, p_retailprice / 1000 AS x, p_size / 10.0 AS a FROM part"
+
+
+def optimizer_sql(state: str, assign: str, move: str, steps: int = 4) -> str:
+    sql = f"SELECT p_partkey, a, x, {state}, 1 AS t FROM ({PARTS})"
+    for _ in range(steps):
+        sql = f"SELECT p_partkey, a, x - ({move}) AS x, m, s, t + 1 AS t FROM (SELECT p_partkey, a, x, {assign}, t, g FROM (SELECT *, a * x AS g FROM ({sql})))"
+    return f"SELECT p_partkey, round(x, 6) + 0.0 AS x FROM ({sql})"
+
+
+def optimised(make) -> Query:
+    def run(spark, sf):
+        df = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_retailprice") / 1000, F.col("p_size") / 10.0).alias("features"))
+
+        def kernel(x):
+            o, p = make(), x[:, 0].copy()
+            for _ in range(4):
+                o.step([p], [x[:, 1] * p])
+            return p
+
+        return apply_kernel(df, "features", "x", kernel, T.DoubleType()).select("p_partkey", r6("x", "x"))
+
+    return run
+
+
+ZERO = "0.0::DOUBLE AS m, 0.0::DOUBLE AS s"
+for _name, _make, _assign, _move in (
+    ("optimizer_sgd", lambda: O.SGD(0.05), "m, s", "0.05 * g"),
+    ("optimizer_momentum", lambda: O.Momentum(0.05, 0.9), "0.9 * m - 0.05 * g AS m, s", "-m"),
+    ("optimizer_nesterov", lambda: O.Nesterov(0.05, 0.9), "0.9 * m - 0.05 * g AS m, m AS s", "0.9 * s - 1.9 * m"),
+    ("optimizer_rmsprop", lambda: O.RMSprop(0.01, 0.9), "m, 0.9 * s + 0.1 * g * g AS s", "0.01 * g / (sqrt(s) + 1e-8)"),
+    ("optimizer_adam", lambda: O.Adam(0.01), "0.9 * m + 0.1 * g AS m, 0.999 * s + 0.001 * g * g AS s", "0.01 * (m / (1 - pow(0.9, t))) / (sqrt(s / (1 - pow(0.999, t))) + 1e-8)"),
+):
+    _QUERIES[_name], _SQL[_name] = optimised(_make), optimizer_sql(ZERO, _assign, _move)
+
+# --- tokenizers -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c AS token, (row_number() OVER (ORDER BY c) - 1)::INT AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> ''")
+def char_vocabulary(spark, sf):
+    return characters(table(spark, sf, "documents"))
+
+
+@query("""WITH v AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark) WHERE c <> ''),
+t AS (SELECT item_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM benchmark)
+SELECT item_id, count(*) AS n, sum(id * k)::BIGINT AS weighted, any_value(text) AS decoded FROM t JOIN v USING (c) JOIN benchmark USING (item_id) GROUP BY 1""")
+def char_encode_decode(spark, sf):
+    df = table(spark, sf, "benchmark")
+    tok = CharTokenizer().fit(df)
+    out = tok.decode(tok.encode(df))
+    weighted = F.aggregate(F.transform("ids", lambda x, k: x.cast("long") * (k + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return out.select("item_id", F.size("ids").cast("long").alias("n"), weighted.alias("weighted"), "decoded")
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM documents),
+p AS (SELECT c AS "left", lead(c) OVER (PARTITION BY doc_id ORDER BY k) AS "right" FROM t) SELECT "left", "right", count(*) AS n FROM p WHERE "right" IS NOT NULL GROUP BY 1, 2""")
+def bpe_pair_counts(spark, sf):
+    return adjacent_pairs(table(spark, sf, "documents"))
+
+
+@query()
+def bpe_merges(spark, sf):
+    df = table(spark, sf, "benchmark")
+    tok = BPETokenizer(8).fit(df)
+    out = tok.decode(tok.encode(df))
+    return out.select("item_id", F.size("ids").cast("long").alias("n"), (F.col("decoded") == F.col("text")).alias("same"))
+
+
+# --- tensors ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH l AS ({LONG}) SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM l a JOIN l b ON a.n = b.n GROUP BY 1, 2")
+def tensor_matmul(spark, sf):
+    x = long_vectors(spark, sf)
+    return rel.contract(x, rel.transpose(x, {"i": "j"}), ["n"]).select("i", "j", r6("v", "v", 5))
+
+
+@query(f"WITH l AS ({LONG}), m AS (SELECT i, avg(v) AS m FROM l GROUP BY 1) SELECT n, i::INT AS i, round((v - m) * 2 + exp(v) / (1 + v * v), 6) + 0.0 AS v FROM l JOIN m USING (i)")
+def tensor_broadcast(spark, sf):
+    x = long_vectors(spark, sf)
+    centred = rel.apply(rel.sub(x, rel.reduce(x, ["n"], F.avg)), lambda v: v * 2)
+    return rel.add(centred, rel.div(rel.apply(x, F.exp), rel.apply(rel.mul(x, x), lambda v: v + 1))).select("n", "i", r6("v", "v"))
+
+
+@query(f"WITH l AS ({LONG}) SELECT n, i::INT AS i, round(exp(v) / sum(exp(v)) OVER (PARTITION BY n), 6) AS v, round(v - ln(sum(exp(v)) OVER (PARTITION BY n)), 6) AS log_v FROM l")
+def tensor_softmax(spark, sf):
+    x = long_vectors(spark, sf)
+    return rel.softmax(x, ["i"]).join(rel.log_softmax(x, ["i"]).withColumnRenamed("v", "log_v"), ["n", "i"]).select("n", "i", r6("v", "v"), r6("log_v", "log_v"))
+
+
+@query(f"WITH l AS ({LONG}) SELECT n, i::INT AS i, round((v - avg(v) OVER (PARTITION BY n)) / sqrt(var_pop(v) OVER (PARTITION BY n) + 1e-5), 6) + 0.0 AS layer, round((v - avg(v) OVER (PARTITION BY i)) / sqrt(var_pop(v) OVER (PARTITION BY i) + 1e-5), 6) + 0.0 AS batch FROM l")
+def tensor_norms(spark, sf):
+    x = long_vectors(spark, sf)
+    return rel.normalise(x, ["i"]).withColumnRenamed("v", "a").join(rel.normalise(x, ["n"]), ["n", "i"]).select("n", "i", r6("a", "layer"), r6("v", "batch"))
+
+
+@query(f"WITH l AS ({LONG}) SELECT n, i::INT AS i, greatest(v, 0) AS relu, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(tanh(v), 6) + 0.0 AS tanh, round(0.5 * v * (1 + tanh(sqrt(2 / pi()) * (v + 0.044715 * v * v * v))), 6) + 0.0 AS gelu FROM l")
+def activations(spark, sf):
+    x, v = long_vectors(spark, sf), F.col("v")
+    return x.select("n", "i", expr.relu(v).alias("relu"), r6(expr.sigmoid(v), "sigmoid"), r6(F.tanh(v), "tanh"), r6(expr.gelu(v), "gelu"))
+
+
+@query(f"""WITH l AS ({LONG}), z AS (SELECT n, any_value(label) AS y, ln(sum(exp(v)) FILTER (i < 10)) AS lse, max(v) FILTER (i = label) AS own, max(v) FILTER (i = 0) AS z0 FROM l GROUP BY 1)
+SELECT round(avg(lse - own), 6) AS cross_entropy, round(avg(greatest(z0, 0) + ln(1 + exp(-abs(z0))) - (y % 2) * z0), 6) AS bce, round(avg((z0 - y) * (z0 - y)), 6) AS mse FROM z""")
+def losses(spark, sf):
+    df = vectors(spark, sf).select("y", F.slice("features", 1, 10).alias("z")).withColumn("z0", F.get("z", F.lit(0)))
+    ce = F.avg(expr.logsumexp(F.col("z")) - F.get("z", F.col("y").cast("int")))
+    return df.agg(r6(ce, "cross_entropy"), r6(F.avg(expr.softplus(F.col("z0")) - (F.col("y") % 2) * F.col("z0")), "bce"), r6(M.mean_squared_error("y", "z0"), "mse"))
+
+
+ATTENTION = f"""WITH l AS ({LONG}), s AS (SELECT a.label AS b, a.n AS i, c.n AS j, sum(a.v * c.v) / sqrt(64.0) + CASE WHEN c.n <= a.n THEN 0 ELSE -1e9 END AS s FROM l a JOIN l c ON a.label = c.label AND a.i = c.i GROUP BY 1, 2, 3),
+w AS (SELECT b, i, j, exp(s - max(s) OVER p) AS e FROM s WINDOW p AS (PARTITION BY b, i)), x AS (SELECT b, i, j, e / sum(e) OVER (PARTITION BY b, i) AS w FROM w)"""
+
+
+@query(ATTENTION + " SELECT x.b::INT AS b, x.i AS i, l.i::INT AS e, round(sum(w * v), 6) + 0.0 AS v FROM x JOIN l ON l.n = x.j GROUP BY 1, 2, 3")
+def causal_attention(spark, sf):
+    x = table(spark, sf, "embeddings").select(F.col("label").alias("b"), F.col("vec_id").alias("i"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("d", "v"))
+    out, _ = rel.attention(x, rel.transpose(x, {"i": "j"}), rel.transpose(x, {"i": "j", "d": "e"}), 64, rel.causal())
+    return out.select("b", "i", "e", r6("v", "v"))
+
+
+def images(spark, sf):
+    return long_vectors(spark, sf).select("n", F.lit(0).alias("c"), F.expr("i div 8").alias("h"), (F.col("i") % 8).alias("w"), "v")
+
+
+IMAGES = f"SELECT n, i // 8 AS h, i % 8 AS w, v FROM ({LONG})"
+
+
+@query(f"SELECT n, 0 AS o, (h - kh + 1)::INT AS oh, (w - kw + 1)::INT AS ow, round(sum(v * (kh * 3 + kw - 4)), 6) + 0.0 AS v FROM ({IMAGES}), range(3) a(kh), range(3) b(kw) WHERE h - kh + 1 BETWEEN 0 AND 7 AND w - kw + 1 BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4")
+def conv2d(spark, sf):
+    kernel = spark.range(9).select(F.lit(0).alias("o"), F.lit(0).alias("c"), F.expr("int(id div 3)").alias("kh"), (F.col("id") % 3).cast("int").alias("kw"), (F.col("id") - 4).cast("double").alias("v"))
+    return rel.conv2d(images(spark, sf), kernel, (3, 3), (8, 8), padding=1).select("n", "o", F.col("oh").cast("int").alias("oh"), F.col("ow").cast("int").alias("ow"), r6("v", "v"))
+
+
+@query(f"SELECT n, (h // 2)::INT AS oh, (w // 2)::INT AS ow, max(v) AS v, arg_max(h, v)::INT AS h, arg_max(w, v)::INT AS w FROM ({IMAGES}) GROUP BY 1, 2, 3")
+def max_pool2d(spark, sf):
+    got = rel.max_pool2d(images(spark, sf), (2, 2), (8, 8))
+    return got.select("n", F.col("oh").cast("int").alias("oh"), F.col("ow").cast("int").alias("ow"), "v", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"))
+
+
+@query("SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1")
+def embedding_scatter_add(spark, sf):
+    o = table(spark, sf, "orders")
+    ids = o.select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("k"))
+    grad = rel.scatter_add(o.select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v")), ids, ["i"], "k")
+    return grad.join(ids.groupBy("k").agg(F.count("*").alias("n")), "k").select("k", "n", r6("v", "v", 2))
+
+
+@query("SELECT p AS pos, k::INT AS k, round(CASE WHEN k % 2 = 0 THEN sin(p * pow(10000, -2 * (k // 2) / 16)) ELSE cos(p * pow(10000, -2 * (k // 2) / 16)) END, 6) + 0.0 AS v FROM range(64) a(p), range(16) b(k)")
+def positional_encoding(spark, sf):
+    return rel.positional_table(spark, 64, 16).select("pos", "k", r6("v", "v"))
+
+
+@query("SELECT s_suppkey, round(1 / (1 + exp(-s_acctbal / 5000)), 6) AS p, round(sqrt(pow(s_acctbal - 1, 2) + pow(s_nationkey - 2, 2)), 4) AS d FROM supplier")
+def sql_functions(spark, sf):
+    expr.register_sql_functions(spark)
+    table(spark, sf, "supplier").createOrReplaceTempView("quillon_supplier")
+    return spark.sql("SELECT s_suppkey, round(sigmoid(s_acctbal / 5000), 6) AS p, round(euclidean_distance(array(s_acctbal, double(s_nationkey)), array(1D, 2D)), 4) AS d FROM quillon_supplier")
+
+
+# --- training and generators ------------------------------------------------------------------------------------------
+
+
+@query()
+def data_parallel_training(spark, sf):
+    df = returned(spark, sf).select("features", F.array(F.col("y").cast("double")).alias("target"))
+    losses = Trainer([Linear(2, 4, "xavier", 0), Tanh(), Linear(4, 1, "xavier", 1)], MSELoss(), O.Adam(0.05)).fit_distributed(df, 5)
+    return spark.createDataFrame(list(enumerate(map(float, losses))), "step long, loss double")
+
+
+@query()
+def generated_blobs(spark, sf):
+    return generators.make_blobs(spark, 300, 3, 4, random_state=0)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    """Naive Bayes over the embeddings: class moments in one aggregate, scoring in one projection."""
+    return gaussian_nb_predict(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
