@@ -13,6 +13,7 @@ keys that are not there.
 from __future__ import annotations
 
 import struct
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.storage import filesystem, put, scratch, written
-from quillon.llm.textkit import mix, narrow_batches, utf8_parts
+from quillon.llm.textkit import chunks, mix, narrow_batches, ragged, utf8_parts
 
 MAGIC = b"QTOKENS1"
 HEAD = 32
@@ -124,27 +125,40 @@ def _tokenizer(raw: bytes):
     return out
 
 
-class WordIds(dict):
+class WordIds:
     """Ids by stretch of text between spaces and line feeds; the library encodes those not seen before, many at once.
 
     Exact for tokenizers whose pre-tokenizer splits at white space and drops it, as the word-end vocabulary here does.
+    The entries are runs of one flat id array; they are dropped between calls once there are more than limit.
     """
 
     def __init__(self, raw: bytes, limit: int = 200_000):
-        super().__init__({"": np.zeros(0, np.uint32)})
         self.tokenizer, self.limit = _tokenizer(raw), limit
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                self[""] = np.zeros(0, np.uint32)
-                new = [w for w in set(words) if w]
-            for w, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[w] = np.array(got.ids, np.uint32)
-        return np.concatenate(list(map(self.__getitem__, words)))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.entry, self.flat, self.ends = {"": 0}, array("I"), array("q", [0, 0])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of ids of each)."""
+        if len(self.entry) > self.limit:
+            self._forget()
+        words: list[str] = []
+        cut = [0]
+        for t in texts:
+            words += t.replace("\n", " ").split(" ")
+            cut.append(len(words))
+        new = [w for w in dict.fromkeys(words) if w not in self.entry]
+        for at in range(0, len(new), 10_000):
+            for w, got in zip(part := new[at : at + 10_000], self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.entry[w] = len(self.ends) - 1
+                self.flat.extend(got.ids)
+                self.ends.append(len(self.flat))
+        which = np.fromiter(map(self.entry.__getitem__, words), np.int64, len(words))
+        ends = np.frombuffer(self.ends, np.int64)
+        counts = ends[which + 1] - ends[which]
+        ids = np.frombuffer(self.flat, np.uint32)[ragged(ends[which], counts)] if len(self.flat) else np.zeros(0, np.uint32)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[cut])
 
 
 def write_shards(df: DataFrame, folder: str, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
@@ -168,11 +182,11 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int = 2, key: st
         for batch in batches:
             keys.extend(batch.column("key").to_pylist())
             raw, ends = utf8_parts(batch.column("text"))
-            data = raw.tobytes()
-            for a, b in zip(ends[:-1], ends[1:]):
-                got = words.encode(data[a:b].decode())
-                ids.append(np.append(got, np.uint32(end_id)).astype(f"<u{width}").tobytes())
-                sizes.append(len(got) + 1)
+            for _, _, part, cut in chunks(raw, ends):
+                data = part.tobytes()
+                got, n = words.encode([data[a:b].decode() for a, b in zip(cut[:-1], cut[1:])])
+                ids.append(np.insert(got, np.cumsum(n), end_id).astype(f"<u{width}").tobytes())
+                sizes.extend((n + 1).tolist())
         if not keys:
             return
         sizes = np.array(sizes, np.int64)

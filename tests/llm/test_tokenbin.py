@@ -25,8 +25,11 @@ def texts():
 
 def test_words_equal_whole_texts(library):
     words = B.WordIds(open(PATH, "rb").read(), limit=500)
-    for t in texts():
-        assert words.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    rows = texts()
+    for at in range(0, len(rows), 40):
+        ids, n = words.encode(rows[at : at + 40])
+        for t, stop, k in zip(rows[at : at + 40], np.cumsum(n), n):
+            assert ids[stop - k : stop].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 1000, 50_000])
