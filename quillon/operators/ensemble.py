@@ -23,6 +23,17 @@ def _softmax(z):
     return p / p.sum(1, keepdims=True)
 
 
+def _smallest(numbers: DataFrame, k: int) -> int:
+    """The k-th smallest of numbers(u) below 2 ** 40: counts by the upper 16 bits, then only one slice is ordered."""
+    upper = F.shiftright("u", 24)
+    before = 0
+    for r in sorted(numbers.groupBy(upper.alias("s")).count().collect(), key=lambda r: r["s"]):
+        if before + r["count"] >= k:
+            return numbers.where(upper == r["s"]).orderBy("u").limit(k - before).agg(F.max("u").alias("m")).first()["m"]
+        before += r["count"]
+    raise ValueError("fewer numbers than asked for")
+
+
 class _Classifier(Estimator):
     def _labelled(self, df, features, into, proba):
         classes = self.classes_
@@ -245,8 +256,7 @@ class GradientBoostingClassifier(_Classifier):
                 seed = int(rng.integers(2**31))
                 u = F.pmod(F.xxhash64("x", "hot", F.lit(seed)), F.lit(1 << 40))
                 keep = round(self.subsample * n)
-                cut = rows.select(u.alias("u")).agg(F.percentile("u", keep / n).alias("c")).first()["c"]
-                rows = rows.where(u <= cut)
+                rows = rows.where(u <= _smallest(rows.select(u.alias("u")), keep))
             grown = []
             for c in range(outputs):
                 r = F.get("hot", F.lit(c)) - F.get("p", F.lit(c))

@@ -89,8 +89,10 @@ def graded(spark, sf) -> DataFrame:
 
 
 def places(spark, sf) -> DataFrame:
-    """Customers in the plane: balance in thousands, and nation."""
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("features"), F.dense_rank().over(Window.orderBy("c_mktsegment")).cast("long").alias("y"))
+    """Customers in the plane: balance in thousands, and nation; the class is the segment's number in order."""
+    df = table(spark, sf, "customer")
+    segments = df.select("c_mktsegment").distinct().withColumn("y", F.dense_rank().over(Window.orderBy("c_mktsegment")).cast("long"))
+    return df.join(segments, "c_mktsegment").select(F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("features"), "y")
 
 
 PLACES = "SELECT c_custkey AS id, c_acctbal / 1000 AS x1, c_nationkey::DOUBLE AS x2, dense_rank() OVER (ORDER BY c_mktsegment) AS y FROM customer"

@@ -132,6 +132,7 @@ def test_ensembles(spark):
     assert len(staged) == 3 and abs(staged[-1] - a.score(df)) < 1e-12
     g = GradientBoostingClassifier(n_estimators=2, max_depth=2).fit(df)
     assert g.score(df) > 0.8 and g.train_score_[1] < g.train_score_[0]
+    assert GradientBoostingClassifier(n_estimators=1, subsample=0.5, random_state=0).fit(df).trees_[0][0].rows[0] == 100
 
 
 def test_clusters(spark):
