@@ -132,7 +132,7 @@ class WordIds:
     The entries are runs of one flat id array; they are dropped between calls once there are more than limit.
     """
 
-    def __init__(self, raw: bytes, limit: int = 200_000):
+    def __init__(self, raw: bytes, limit: int = 1_000_000):
         self.tokenizer, self.limit = _tokenizer(raw), limit
         self._forget()
 
@@ -161,6 +161,12 @@ class WordIds:
         return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[cut])
 
 
+@lru_cache(maxsize=1)
+def _words(raw: bytes) -> WordIds:
+    """One cache per worker process, kept from task to task."""
+    return WordIds(raw)
+
+
 def write_shards(df: DataFrame, folder: str, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """Encode and write; returns the manifest rows (shard, file, key, row, n_tokens), one per document.
 
@@ -176,7 +182,7 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int = 2, key: st
     rows = rows.repartitionByRange(partitions, F.col("key").asc_nulls_last()).sortWithinPartitions(F.col("key").asc_nulls_last(), "text")
 
     def run(batches):
-        words, task = WordIds(shared.value), TaskContext.get()
+        words, task = _words(shared.value), TaskContext.get()
         width = 2 if words.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         keys, sizes, ids = [], [], []
         for batch in batches:
