@@ -39,7 +39,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated lines removed: doc_id, n_lines, n_removed, text."""
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=None).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
