@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.components import connected
 from quillon.llm.storage import written
-from quillon.llm.textkit import chunks, narrow_batches, utf8_parts
+from quillon.llm.textkit import chunks, mix, narrow_batches, utf8_parts
 
 BITS = 64
 LANES = np.uint64(0x0000000100000001)
@@ -221,3 +221,89 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 def digests(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of documents(doc_id, text)."""
     return near_duplicates(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+ROWS, BANDS = 4, 20  # a pair of similarity 0.8 misses all bands with a probability of (1 - 0.8 ** 4) ** 20, about 3e-5
+
+
+def sketches(df: DataFrame, text: str = "text", k: int = 5) -> DataFrame:
+    """df without its text, with `name bigint` of the set of k-word shingles and `bands array<bigint>`, its MinHash bands.
+
+    Texts with equal sets have equal names; texts without a word have name 0 and no bands.
+    """
+    held = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in held), T.StructField("name", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    odd = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+    turn = mix(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
+    salt = mix(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
+
+    def one(text: bytes) -> tuple[int, list[int]]:
+        h = np.unique(np.array(shingle_hashes(text, k), np.uint64))
+        if not len(h):
+            return 0, []
+        mixed = mix(h)
+        least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+        for lo in range(0, len(mixed), 4096):
+            x = mixed[lo : lo + 4096, None] * odd[None, :]
+            np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0), out=least)
+        bands = mix((mix(least.reshape(BANDS, ROWS)) * turn).sum(axis=1, dtype=np.uint64) + salt)
+        return int(mixed.sum(dtype=np.uint64).view(np.int64)) or 1, bands.view(np.int64).tolist()
+
+    def run(batches):
+        for batch in batches:
+            raw, ends = utf8_parts(batch.column(text))
+            got = [one(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.array([n for n, _ in got], pa.int64()), pa.array([b for _, b in got], pa.list_(pa.int64()))], names=[*held, "name", "bands"])
+
+    return narrow_batches(df.select(*held, text)).mapInArrow(run, schema)
+
+
+def _alike(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of those pairs(a, b, p, q) whose texts p and q have that Jaccard similarity of shingle sets."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, p, q = (batch.column(c) for c in ("a", "b", "p", "q"))
+            sets = [[set(shingle_hashes(x.encode("utf-8", "replace"), k)) for x in c.to_pylist()] for c in (p, q)]
+            ok = pa.array([len(x & y) >= similarity * len(x | y) - 1e-9 for x, y in zip(*sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
+
+    return narrow_batches(pairs.select("a", "b", "p", "q"), 100).mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, name, component) per row of df: texts whose k-word shingle sets have a Jaccard similarity of at least `similarity` link.
+
+    Candidates share a MinHash band (a pair at 0.8 does with probability 0.99997) and are verified on their texts; so no
+    pair below the similarity links. Each member of a band meets the band's first; then members of different groups in
+    one band meet. Component is the smallest key reachable; texts without a word are one group.
+    """
+    rows = written(sketches(df.select(key, *carry, text, F.xxhash64(text).alias("th")), text, k), "sketches")
+    nodes = written(rows.groupBy("name").agg(F.min(key).alias("least"), F.min("th").alias("th"), F.first("bands").alias("bands")), "sketch-nodes")
+    texts = df.select(F.xxhash64(text).alias("th"), F.col(text).alias("t"))
+    bands = nodes.select("name", F.explode("bands").alias("band"))
+    all_of = Window.partitionBy("band")
+    met = written(bands.withColumns({"n": F.count("*").over(all_of), "rep": F.min("name").over(all_of)}).where("n > 1").drop("n"), "bands-met")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
+        wanted = nodes.select("name", "th").join(ends, "name", "left_semi")
+        held = written(wanted.join(texts, "th").groupBy("name").agg(F.first("t").alias("t")), "sketch-texts")
+        left, right = held.select(F.col("name").alias("a"), F.col("t").alias("p")), held.select(F.col("name").alias("b"), F.col("t").alias("q"))
+        return written(_alike(pairs.join(left, "a").join(right, "b"), k, similarity), "sketch-edges")
+
+    stars = written(met.where("name != rep").select(F.col("rep").alias("a"), F.col("name").alias("b")).distinct(), "sketch-stars")
+    edges = checked(stars)
+    groups = written(connected(edges), "sketch-groups")
+    tagged = met.join(groups.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("c"))
+    mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band")
+    left = written(tagged.join(mixed, "band", "left_semi"), "bands-open")
+    right = left.select("band", F.col("name").alias("b"), F.col("c").alias("d"))
+    rest = left.withColumnRenamed("name", "a").join(right, "band").where("a < b and c != d").select("a", "b").distinct()
+    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "sketch-rest")
+    if rest.limit(1).count():
+        groups = written(connected(edges.union(checked(rest))), "sketch-groups")
+    placed = nodes.join(groups.withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("component", "name").alias("root"))
+    placed = written(placed, "sketch-placed")
+    least = placed.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.join(placed.join(least, "root").select("name", "component"), "name").select(key, *carry, "name", "component")
