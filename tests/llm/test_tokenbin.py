@@ -40,10 +40,16 @@ def test_perfect_hash_is_minimal_and_refuses_strangers(n):
     again, _ = B.PerfectHash.load(h.dump())
     assert np.array_equal(again.slots(keys), h.slots(keys))
     index = B.Index(B.index_bytes(keys, np.arange(n) % 7, np.arange(n), np.ones(n)))
-    slots, there = index.find(keys)
-    assert there.all() and slots["row"].tolist() == list(range(n))
-    _, strange = index.find(np.arange(2**41, 2**41 + 2000))
-    assert strange.sum() <= 1
+    which, runs = index.find(keys)
+    assert which.tolist() == list(range(n)) and runs[:, 1].tolist() == list(range(n)) and (runs[:, 2] == 1).all()
+    strange, _ = index.find(np.arange(2**41, 2**41 + 2000))
+    assert len(strange) <= 1
+
+
+def test_a_key_may_go_on_in_later_shards():
+    index = B.Index(B.index_bytes(np.array([4, 9, 4, 4]), np.array([3, 3, 5, 4]), np.array([7, 8, 0, 0]), np.array([2, 1, 6, 99])))
+    which, runs = index.find(np.array([9, 5, 4]))
+    assert sorted(zip(which.tolist(), map(tuple, runs.tolist()))) == [(0, (3, 8, 1)), (2, (3, 7, 2)), (2, (4, 0, 99)), (2, (5, 0, 6))]
 
 
 def test_equal_keys_are_an_error_for_the_hash():
@@ -62,6 +68,33 @@ def test_digests_equal_the_library(spark, library):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_small_shards_repeated_keys_and_a_vocabulary_without_end(spark, library):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC,.'é") for _ in range(rng.randint(1, 12)))
+    rows = [(rng.choice([1, 2, 3, None, k]), " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = storage.scratch(spark, "tokens")
+    manifest = B.write_shards(df, folder, PATH, partitions=3, shard_bytes=2000)
+    assert manifest.select("shard").distinct().count() > 10
+    parts = B.write_index(manifest, folder, part_keys=50)
+    places = B.locate(manifest.select("key").distinct(), folder, parts).unionByName(manifest.where("key is null").select("key", "shard", "row"))
+    found = B.read_rows(places, manifest.select("shard", "file").distinct(), folder).orderBy("shard", "row").collect()
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [r.key for r in found] == [k for k, _ in want]
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == [[*library.encode(t, add_special_tokens=False).ids, 2] for _, t in want]
+
+
+def test_another_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a b": 0, "c": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    raw = other.to_str().encode()
+    assert B.splits_at_blanks(open(PATH, "rb").read()) and not B.splits_at_blanks(raw)
+    ids, n = B.WordIds(raw).encode(["a b,c", "", "a b"])
+    assert ids.tolist() == [0, 1, 0] and n.tolist() == [2, 0, 1]
+
+
 def test_keyed_access(spark, library):
     df = spark.createDataFrame([(k, f"text {k}") for k in range(100)], "doc_id long, text string")
     folder = storage.scratch(spark, "tokens")
