@@ -10,14 +10,14 @@ The pieces, as slices of the UTF-8 bytes, are looked up in a bounded cache of me
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quillon.llm.textkit import chunks, code_points, narrow_batches, ragged, utf8_parts
@@ -277,6 +277,22 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
     return narrow_batches(df.select(*held)).mapInArrow(run, schema)
 
 
+def decode_chunk(token: np.ndarray, offsets: np.ndarray, among: np.ndarray, vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the documents one after the other, offsets of the documents among them); every token goes to its retained offset.
+
+    among: the documents' offsets among the tokens. An id outside the vocabulary, or offsets that contradict the
+    tokens' lengths, are errors.
+    """
+    flat, start, length = vocabulary
+    if len(token) and (token.min() < 0 or token.max() >= len(length)):
+        raise ValueError("an id is not in the vocabulary")
+    size = length[token]
+    done = np.concatenate([[0], np.cumsum(size)])
+    if not np.array_equal(done[1:] - np.repeat(done[among[:-1]], np.diff(among)), offsets):
+        raise ValueError("offsets don't match the tokens")
+    return flat[ragged(start[token], size)], done[among]
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "token_offsets", decoded: str = "decoded") -> DataFrame:
     """df with `decoded binary`, the bytes of the ids; every token is placed at the offset retained by encode().
 
@@ -287,36 +303,53 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "token_off
     schema = T.StructType([*(df.schema[c] for c in held), T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches):
-        flat, start, length = token_bytes(shared.value[0])
+        vocabulary = token_bytes(shared.value[0])
         for whole in batches:
             lists = whole.column(ids)
             among = np.asarray(lists.offsets, np.int64)
             for lo, hi, _, cut in chunks(np.empty(int(among[-1] - among[0]), np.uint8), among - among[0]):
                 a, b = int(among[lo]), int(among[hi])
-                token = np.asarray(lists.values[a:b], np.int64)
-                if len(token) and (token.min() < 0 or token.max() >= len(length)):
-                    raise ValueError("an id is not in the vocabulary")
-                size, at = length[token], np.asarray(whole.column(offsets).values[a:b], np.int64)
-                n = np.diff(cut)
-                done = np.concatenate([[0], np.cumsum(size)])
-                if not np.array_equal(done[1:] - np.repeat(done[cut[:-1]], n), at):
-                    raise ValueError("offsets don't match the tokens")
-                data = flat[ragged(start[token], size)]
-                ends = done[cut].astype(np.int32)
-                column = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+                data, ends = decode_chunk(np.asarray(lists.values[a:b], np.int64), np.asarray(whole.column(offsets).values[a:b], np.int64), cut, vocabulary)
+                column = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 part = whole.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.select(held).columns, column], names=[*held, decoded])
 
     return narrow_batches(df.select(*held)).mapInArrow(run, schema)
 
 
-def digest_columns(ids: str = "ids", decoded: str = "decoded") -> list[Column]:
-    """n_tokens, ids_sha256 (of the decimal ids, joined by spaces) and decoded_sha256."""
-    said = F.array_join(F.col(ids).cast("array<string>"), " ").cast("binary")
-    return [F.size(ids).cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256")]
+def recode(df: DataFrame, path: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """df without its text, with n_tokens, ids_sha256, decoded_sha256, and the ids if a name is given for them.
+
+    encode() and decode() in one pass over each chunk of text: offsets and decoded bytes stay in the task and only their
+    digests leave it. Columns of the same names are replaced. Null and empty texts have no tokens.
+    """
+    new = [*([ids] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
+    held = [c for c in df.columns if c != text and c not in new]
+    shared = _shared(df.sparkSession, path)
+    types = {ids: T.ArrayType(T.IntegerType(), False), "n_tokens": T.LongType()}
+    schema = T.StructType([*(df.schema[c] for c in held), *(T.StructField(c, types.get(c, T.StringType()), False) for c in new)])
+
+    def run(batches):
+        raw_ranks, table = shared.value
+        vocabulary, classes = token_bytes(raw_ranks), np.frombuffer(table, np.uint8)
+        cache, said = PieceCache(parse_ranks(raw_ranks)), [b"%d" % k for k in range(len(vocabulary[2]))]
+        for batch in batches:
+            raw, ends = utf8_parts(batch.column(text))
+            for lo, hi, data, cut in chunks(raw, ends):
+                got, among = encode_chunk(data, cut, classes, cache)
+                n = np.diff(among)
+                offsets = np.cumsum(vocabulary[2][got]) - np.repeat(cut[:-1], n)
+                back, back_ends = decode_chunk(got, offsets, among, vocabulary)
+                back, words = back.tobytes(), list(map(said.__getitem__, got.tolist()))
+                own = [_list_array([got], [n])] if ids else []
+                own.append(pa.array(n, pa.int64()))
+                own.append(pa.array([hashlib.sha256(b" ".join(words[a:b])).hexdigest() for a, b in zip(among[:-1], among[1:])]))
+                own.append(pa.array([hashlib.sha256(back[a:b]).hexdigest() for a, b in zip(back_ends[:-1], back_ends[1:])]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).select(held).columns, *own], names=[*held, *new])
+
+    return narrow_batches(df.select(*held, text)).mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents(doc_id, text), by encode() and decode()."""
-    both = decode(encode(df.select("doc_id", "text"), path).drop("text"), path)
-    return both.select("doc_id", *digest_columns())
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents(doc_id, text), encoded and decoded."""
+    return recode(df.select("doc_id", "text"), path)

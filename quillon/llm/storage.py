@@ -9,18 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The cluster's shared folder, from spark.checkpoint.dir; only where it is unset and all runs in one process (tests) a local one is made."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="quillon-")
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that none of taken has, in any letter case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -30,10 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: lineage is cut, sizes are known, executors may be lost."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans, which it keeps until the driver's next garbage collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     jvm = spark.sparkContext._jvm
