@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 A passage counts as leaked if, on one alignment without gaps, some window of `window` consecutive words (the whole
-item, if it is shorter) agrees in all but a fifth of the words. Fixed masks pick some positions of a stretch of words
-and ignore the others; benchmark and documents are hashed under the same masks and joined by hash, and around each hit
-the words themselves are compared. The masks below are complete for windows of 20 words: every way to place four
+item, if it is shorter) agrees in all but a fifth of the words; of items of fewer than SHORT words all must agree. Fixed
+masks pick some positions of a stretch of words and ignore the others; benchmark and documents are hashed under the
+same masks and joined by hash, and around each hit the words themselves are compared. The masks below are complete for windows of 20 words: every way to place four
 differing words leaves one mask intact somewhere, so the result is what brute force gives.
 """
 
@@ -18,17 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.llm.storage import written
 from quillon.llm.textkit import chunks, code_points, mix, narrow_batches, ragged, utf8_parts, word_hashes
 
 WINDOW = 20
 # Positions that count, of stretches of 7, 10 and 8 words.
 MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 5, 7, 8, 9), (0, 1, 2, 3, 6, 7))
-MIN_WORDS = 8
+SHORT = 8
+PAIRS = 1 << 18  # meetings of a document's and the benchmark's words that are looked at together
 
 
 def allowed(n: int) -> int:
-    """Differing words allowed in a window of n words."""
-    return n // 5
+    """Differing words allowed in a window of n words: a fifth, none in short ones."""
+    return n // 5 if n >= SHORT else 0
 
 
 def masks_for(n: int) -> tuple[tuple[int, ...], ...]:
@@ -54,13 +56,13 @@ def mask_hash(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class SeedIndex:
     """Benchmark words of one block and, for each mask, sorted hashes with the word position of each."""
 
-    items: list[int]
+    items: list[bytes]
     words: np.ndarray
     ends: np.ndarray
     tables: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def build(cls, items: list[int], words: list[np.ndarray]) -> SeedIndex:
+    def build(cls, items: list[bytes], words: list[np.ndarray]) -> SeedIndex:
         size = np.array([len(w) for w in words], np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = np.concatenate([*words, np.zeros(0, np.uint64)])
@@ -80,76 +82,97 @@ class SeedIndex:
         return cls(items, flat, ends, tables)
 
     def search(self, words: np.ndarray, cut: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, words that agree, window, first word of the window) for each leaked pair: its best window."""
-        alignments = [np.zeros((0, 3), np.int64)]
+        """(document, item, words that agree, window, first word of the window) for each leaked pair: its best window.
+
+        Hits are expanded so many at a time that PAIRS bounds their meetings with benchmark positions (or one hit's, at
+        most the block's words), however often a hash occurs; each slice is verified before the next is made.
+        """
         item_of = np.repeat(np.arange(len(self.items)), np.diff(self.ends))
+        out: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
         for mask, hashes, at, present in self.tables:
             h = mask_hash(words, mask)
             hit = np.flatnonzero(present[h >> np.uint64(64 - int(len(present)).bit_length() + 1)])
             lo, hi = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
             hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            for part in range(0, len(hit), 1 << 16):  # bounded, however often a hash occurs in the benchmark
-                own, base, many = hit[part : part + (1 << 16)], lo[part : part + (1 << 16)], n[part : part + (1 << 16)]
+            before, part = np.concatenate([[0], np.cumsum(n)]), 0
+            while part < len(hit):
+                stop = max(part + 1, int(np.searchsorted(before, before[part] + PAIRS, "right")) - 1)
+                own, base, many = hit[part:stop], lo[part:stop], n[part:stop]
+                part = stop
                 q = at[ragged(base, many)]
                 p = np.repeat(own, many)
                 doc = np.searchsorted(cut, p, "right") - 1
                 inside = p + mask[-1] < cut[doc + 1]
                 p, q, doc = p[inside], q[inside], doc[inside]
                 item = item_of[q]
-                alignments.append(np.unique(np.stack([doc, item, p - (q - self.ends[item])], axis=1), axis=0))
-        found = np.unique(np.concatenate(alignments), axis=0)
-        out: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-        size = np.diff(self.ends)
-        for part in range(0, len(found), 4096):
-            doc, item, start = found[part : part + 4096].T
-            first, last = np.maximum(start, cut[doc]), np.minimum(start + size[item], cut[doc + 1])
-            span = last - first
-            where = ragged(first, span)
-            same = words[where] == self.words[ragged(self.ends[item] + first - start, span)]
-            total = np.concatenate([[0], np.cumsum(same)])
-            window = np.minimum(size[item], WINDOW)
-            base = np.cumsum(span) - span
-            places = np.maximum(span - window + 1, 0)
-            ok = np.flatnonzero(places)
-            if not len(ok):
-                continue
-            at = ragged(base[ok], places[ok])
-            agree = total[at + np.repeat(window[ok], places[ok])] - total[at]
-            opens = np.cumsum(places[ok]) - places[ok]
-            best = np.maximum.reduceat(agree, opens)
-            leaks = best >= window[ok] - window[ok] // 5
-            for k, b, o, m in zip(ok[leaks], best[leaks], opens[leaks], places[ok][leaks]):
-                w = int(first[k] + np.argmax(agree[o : o + m] == b))
-                key = (int(doc[k]), int(item[k]))
-                new = (*key, int(b), int(window[k]), w)
-                if key not in out or (-new[2], new[4]) < (-out[key][2], out[key][4]):
-                    out[key] = new
+                found = np.unique(np.stack([doc, item, p - (q - self.ends[item])], axis=1), axis=0)
+                for few in range(0, len(found), 4096):
+                    self._verify(found[few : few + 4096], words, cut, out)
         return list(out.values())
 
+    def _verify(self, found: np.ndarray, words: np.ndarray, cut: np.ndarray, out: dict) -> None:
+        """Compare words along alignments (document, item, first word); leaks better than those in out replace them."""
+        size = np.diff(self.ends)
+        doc, item, start = found.T
+        first, last = np.maximum(start, cut[doc]), np.minimum(start + size[item], cut[doc + 1])
+        span = last - first
+        window = np.minimum(size[item], WINDOW)
+        where = ragged(first, span)
+        same = words[where] == self.words[ragged(self.ends[item] + first - start, span)]
+        total = np.concatenate([[0], np.cumsum(same)])
+        base = np.cumsum(span) - span
+        places = np.maximum(span - window + 1, 0)
+        ok = np.flatnonzero(places)
+        if not len(ok):
+            return
+        at = ragged(base[ok], places[ok])
+        agree = total[at + np.repeat(window[ok], places[ok])] - total[at]
+        opens = np.cumsum(places[ok]) - places[ok]
+        best = np.maximum.reduceat(agree, opens)
+        leaks = best >= window[ok] - np.where(window[ok] >= SHORT, window[ok] // 5, 0)
+        for k, b, o, m in zip(ok[leaks], best[leaks], opens[leaks], places[ok][leaks]):
+            w = int(first[k] + np.argmax(agree[o : o + m] == b))
+            key = (int(doc[k]), int(item[k]))
+            new = (*key, int(b), int(window[k]), w)
+            if key not in out or (-new[2], new[4]) < (-out[key][2], out[key][4]):
+                out[key] = new
+
+
+def benchmark_items(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, mark, words) of the benchmark, made by the executors: the hashes of its words, and a digest of them.
+
+    Texts without a word (null, too) have no row. Items of equal words have equal marks.
+    """
+    schema = T.StructType([benchmark.schema[item], T.StructField("mark", T.BinaryType()), T.StructField("words", T.BinaryType())])
 
-def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_words: int = 400_000):
-    """Indexes over the benchmark, the stated query set, in blocks of bounded size.
+    def run(batches):
+        for batch in batches:
+            raw, ends = utf8_parts(batch.column(text))
+            marks, words = [], []
+            for _, _, data, cut in chunks(raw, ends):
+                h, _, _, of = word_hashes(*code_points(data, cut))
+                words += [h[a:b].tobytes() for a, b in zip(of[:-1], of[1:])]
+            marks = [hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(item), pa.array(marks, pa.binary()), pa.array(words, pa.binary())], names=[item, "mark", "words"])
 
-    Items of equal words count as one, by the smallest id; null ids and texts of fewer than MIN_WORDS words are not
-    searched for. An item larger than a block is a block of its own.
+    return narrow_batches(benchmark.select(item, text)).mapInArrow(run, schema).where("mark is not null")
+
+
+def benchmark_blocks(items: DataFrame, block_words: int = 400_000):
+    """Indexes over benchmark_items(), the stated query set, in blocks of bounded size; each is made when it is asked for.
+
+    Items of equal words are one entry. An item larger than a block is a block of its own.
     """
-    seen: dict[bytes, int] = {}
-    items, words, total = [], [], 0
-    for row in benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(item, text).orderBy(item).toLocalIterator():
-        raw = np.frombuffer(row[1].encode(), np.uint8)
-        h = word_hashes(*code_points(raw, np.array([0, len(raw)])))[0]
-        mark = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-        if len(h) < MIN_WORDS or mark in seen:
-            continue
-        seen[mark] = row[0]
-        items.append(row[0])
-        words.append(h)
-        total += len(h)
+    marks, words, total = [], [], 0
+    for row in items.groupBy("mark").agg(F.first("words").alias("words")).toLocalIterator():
+        marks.append(bytes(row["mark"]))
+        words.append(np.frombuffer(bytes(row["words"]), np.uint64))
+        total += len(words[-1])
         if total >= block_words:
-            yield SeedIndex.build(items, words)
-            items, words, total = [], [], 0
-    if items:
-        yield SeedIndex.build(items, words)
+            yield SeedIndex.build(marks, words)
+            marks, words, total = [], [], 0
+    if marks:
+        yield SeedIndex.build(marks, words)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 400_000) -> DataFrame:
@@ -157,45 +180,55 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     matched of `window` words agree, at code points [start, stop) of the document, whose text there is passage; the
     best window is given, the first of equals. Words are runs of letters and digits, lower-cased. Clean documents have
-    no row; null and empty texts are clean; each of repeated rows is searched. A block's index (bounded) is broadcast
-    and the documents are scanned once per block without any shuffle, so frequent passages cannot skew anything.
+    no row; null and empty texts are clean; each of repeated rows is searched, of any length. Items may have ids of any
+    type, null too, and equal texts: each has its rows. Items without a word leak nowhere. The key and item columns must
+    have different names. A block's index (bounded) is broadcast and the documents are scanned once per block without
+    any shuffle, so frequent passages cannot skew anything; only the leaks meet the items' ids in a join.
     """
-    spark = documents.sparkSession
-    schema = T.StructType([documents.schema[key], T.StructField(item, T.LongType()), T.StructField("matched", T.LongType()), T.StructField("window", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("passage", T.StringType())])
+    own = {"mark", "matched", "window", "start", "stop", "passage"}
+    if key == item or {key, item} & own:
+        raise ValueError(f"the columns {key!r} and {item!r} need names of their own, apart from {sorted(own)}")
+    schema = T.StructType([documents.schema[key], T.StructField("mark", T.BinaryType()), T.StructField("matched", T.LongType()), T.StructField("window", T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("passage", T.StringType())])
 
     def scan(shared):
         def run(batches):
             index = shared.value
             for batch in batches:
                 raw, ends = utf8_parts(batch.column(text))
-                out = []
                 for lo, _, data, cut in chunks(raw, ends):
                     points, at = code_points(data, cut)
                     words, first, stop, of = word_hashes(points, at)
+                    out = []
                     for d, k, agree, window, w in index.search(words, of):
                         a, b = int(first[w]), int(stop[w + window - 1])
                         out.append((lo + d, index.items[k], agree, window, a - int(at[d]), b - int(at[d]), points[a:b].tobytes().decode("utf-32-le")))
-                cols = list(zip(*out)) if out else [[]] * 7
-                names = schema.names
-                arrays = [batch.column(key).take(pa.array(cols[0], pa.int64()))] + [pa.array(c, pa.int64()) for c in cols[1:6]] + [pa.array(cols[6], pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    if out:
+                        cols = list(zip(*out))
+                        arrays = [batch.column(key).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[2:6]), pa.array(cols[6], pa.string())]
+                        yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         return narrow_batches(documents.select(key, text)).mapInArrow(run, schema)
 
-    parts = [scan(spark.sparkContext.broadcast(index)) for index in benchmark_blocks(benchmark, item, item_text, block_words)]
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    items = written(benchmark_items(benchmark, item, item_text), "benchmark-items")
+    found = None
+    for index in benchmark_blocks(items, block_words):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
+        part = written(scan(shared), "leaks")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return documents.sparkSession.createDataFrame([], T.StructType([documents.schema[key], benchmark.schema[item], *schema.fields[2:]]))
+    return found.join(items.select("mark", item), "mark").select(key, item, *schema.names[2:])
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 400_000) -> DataFrame:
     """The rows of documents, whole and unchanged, in which leaks() finds nothing; one pass per block, no shuffle."""
     out = documents
-    for index in benchmark_blocks(benchmark, item, item_text, block_words):
+    items = written(benchmark_items(benchmark, item, item_text), "benchmark-items")
+    for k, index in enumerate(benchmark_blocks(items, block_words)):
         shared = documents.sparkSession.sparkContext.broadcast(index)
+        if k:  # one block's index is held at a time
+            out = written(out, "clean")
 
         def run(batches, shared=shared):
             for batch in batches:

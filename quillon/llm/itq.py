@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +14,22 @@ from pyspark.sql import types as T
 from quillon.llm.components import connected
 from quillon.llm.storage import written
 
-BITS, KEY_BITS = 64, 16
-#: Bits of each table's key: four runs of sixteen bits, then every fourth bit from each of four starts.
-TABLES = [list(range(16 * t, 16 * t + 16)) for t in range(4)] + [list(range(t, 64, 4)) for t in range(4)]
+BITS = 64
+#: Numbers of tables to try; the first that brings together RECALL of measured pairs is taken, else the last.
+TABLE_COUNTS, RECALL = (8, 12, 16, 24, 32, 48, 64), 0.97
+
+
+def key_bits(rows: int) -> int:
+    """Bits of a key for so many vectors: whole bytes, 16 for up to four million, so buckets of unlike vectors stay small."""
+    return min(56, max(16, 8 * math.ceil((math.log2(max(1, rows)) - 6) / 8)))
+
+
+def tables_of(width: int, count: int) -> np.ndarray:
+    """(count, width) code bits of each table's key: runs, every fourth bit, then drawn ones."""
+    rng = np.random.default_rng(0)
+    steps = [np.roll(np.arange(BITS), -16 * t)[:width] for t in range(4)]
+    steps += [np.concatenate([np.arange((t + k) % 4, BITS, 4) for k in range(4)])[:width] for t in range(4)]
+    return np.sort(np.array([*steps, *(rng.permutation(BITS)[:width] for _ in range(max(0, count - 8)))])[:count], axis=1)
 
 
 @dataclass(frozen=True)
@@ -53,10 +67,33 @@ class Quantiser:
         return np.ascontiguousarray(np.packbits((x - self.mean) @ self.axes >= 0, axis=1, bitorder="little")).view("<u8").ravel()
 
 
-def table_keys(codes: np.ndarray) -> np.ndarray:
+def table_keys(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """(n, tables) keys of the codes."""
     bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.stack([np.ascontiguousarray(np.packbits(bits[:, own], axis=1, bitorder="little")).view("<u2").ravel() for own in TABLES], axis=1).astype(np.int64)
+    padded = np.zeros((len(codes), len(tables), 8), np.uint8)
+    padded[:, :, : tables.shape[1] // 8] = np.packbits(bits[:, tables], axis=2, bitorder="little")
+    return padded.view("<i8")[:, :, 0]
+
+
+def measured_tables(model: Quantiser, x: np.ndarray, threshold: float, width: int) -> np.ndarray:
+    """The fewest tables under which sample vectors meet enough of their neighbours at the threshold's very angle.
+
+    A neighbour is the vector turned by that angle in a random direction, the hardest link there is to find; data with a
+    common direction need more tables than centred ones.
+    """
+    if len(x) < 2 or x.shape[1] < 2 or not -1 < threshold < 1:
+        return tables_of(width, TABLE_COUNTS[0])
+    rng = np.random.default_rng(1)
+    x = _unit(x[:2000])
+    side = rng.normal(size=x.shape)
+    side = _unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    near = threshold * x + np.sqrt(1 - threshold**2) * side
+    own, other = model.codes(x), model.codes(near)
+    for count in TABLE_COUNTS:
+        tables = tables_of(width, count)
+        if (table_keys(own, tables) == table_keys(other, tables)).any(axis=1).mean() >= RECALL:
+            break
+    return tables
 
 
 def _vectors(column: pa.Array, kind: str) -> np.ndarray:
@@ -73,14 +110,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _run_links(x, ids, copies, codes, own, across, table, threshold):
+def _run_links(x, ids, copies, codes, own, across, table, threshold, tables):
     """(edges a, b that join what links join, count of links per member) for one run of a table.
 
     A pair counts in the first table in which it meets, and there in one run: of two blocks, only pairs across them.
     """
     n = len(ids)
     counts, label = np.zeros(n, np.int64), np.arange(n)
-    keys = table_keys(codes)
+    keys = table_keys(codes, tables)
     for settle in range(n + 1):
         low = label.copy()
         for at in range(0, n, 256):
@@ -104,7 +141,7 @@ def _run_links(x, ids, copies, codes, own, across, table, threshold):
     return ids[member], ids[label[member]], counts
 
 
-def _scan(batches, kind: str, threshold: float, most: int | None):
+def _scan(batches, kind: str, threshold: float, most: int | None, tables: np.ndarray):
     """Runs of equal (label, t, key, blocks) in a sorted partition; a run of more than `most` rows is handed back as it is."""
     names = [x.split()[0] for x in ROW.split(", ")]
     held: list[pa.RecordBatch] = []
@@ -119,7 +156,7 @@ def _scan(batches, kind: str, threshold: float, most: int | None):
         ids = get("id")
         if len(ids) < 2:
             return
-        a, b, counts = _run_links(_unit(_vectors(table["vec"], kind)), ids, get("copies"), get("code").view(np.uint64), get("own"), get("block_a")[0] != get("block_b")[0], int(get("t")[0]), threshold)
+        a, b, counts = _run_links(_unit(_vectors(table["vec"], kind)), ids, get("copies"), get("code").view(np.uint64), get("own"), get("block_a")[0] != get("block_b")[0], int(get("t")[0]), threshold, tables)
         hit = np.flatnonzero(counts)
         yield out(np.r_[np.zeros(len(a)), np.ones(len(hit))], np.r_[a, ids[hit]], np.r_[b, ids[hit]], np.r_[np.zeros(len(a), np.int64), counts[hit]])
 
@@ -151,23 +188,30 @@ def _scan(batches, kind: str, threshold: float, most: int | None):
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, sample: int = 20_000, most: int = 4096) -> DataFrame:
     """(key, n_links, component) per row; rows link if their labels are equal and their cosine is at least threshold.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or have another length than most, and rows
-    with a null key or label link with nothing: n_links 0, their own component. Equal vectors are one node; their copies
-    are counted, not paired. The quantiser is fitted on about `sample` rows; every row is indexed. A pair is found if
-    its codes agree on the key of one of eight tables, and is then decided by the cosine in double precision, so no link
-    below the threshold is ever reported. In a bucket a task multiplies blocks of vectors and returns counts and a
-    spanning forest, no pairs; a bucket of more than `most` vectors is cut into blocks that meet two by two, each in a
-    task of its own.
+    Vectors that are null, empty, zero, hold null or non-finite components, and rows with a null key or label link with
+    nothing: n_links 0, their own component. Labels of any type are told apart by a 64-bit hash; vectors of different
+    lengths don't link, and each length has its own quantiser. Equal vectors are one node; their copies are counted, not
+    paired. A quantiser is fitted on about `sample` distinct vectors; every row is indexed. A pair is found if its codes
+    agree on the key of one of the tables, whose number the sample decides and whose keys widen with the rows, and is
+    then decided by the cosine in double precision, so no link below the threshold is ever reported. In a bucket a task
+    multiplies blocks of vectors and returns counts and a spanning forest, no pairs; a bucket of more than `most`
+    vectors is cut into blocks that meet two by two, each in a task of its own.
     """
-    spark = df.sparkSession
     single = df.schema[vector].dataType.elementType == T.FloatType()
     kind = "<f4" if single else "<f8"
-    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).cast("long").alias("label"))
+    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    sizes = base.where(whole).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    d = sizes[0]["d"] if sizes else 1
-    valid = whole & (F.size("v") == d)
+    lengths = [r["d"] for r in base.where(whole).groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    out = base.where(~whole).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    for d in lengths:
+        out = out.unionByName(_near_of_length(base.where(whole & (F.size("v") == d)), d, kind, threshold, sample, most).withColumnRenamed("id", key))
+    return out
+
+
+def _near_of_length(base: DataFrame, d: int, kind: str, threshold: float, sample: int, most: int) -> DataFrame:
+    """(id, n_links, component) of base(id, v, label), whose vectors are sound and of length d."""
+    spark = base.sparkSession
 
     def pack(batches):
         for batch in batches:
@@ -177,29 +221,31 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
             vec = pa.array([raw[k : k + step] for k in range(0, len(raw), step)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), vec], names=["id", "label", "vec"])
 
-    id_type = df.schema[key].dataType
-    packed_schema = T.StructType([T.StructField("id", id_type), T.StructField("label", T.LongType()), T.StructField("vec", T.BinaryType())])
-    packed = written(base.where(valid).select("id", "label", "v").mapInArrow(pack, packed_schema), "vectors")
-    nodes = packed.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    packed_schema = T.StructType([base.schema["id"], T.StructField("label", T.LongType()), T.StructField("vec", T.BinaryType())])
+    packed = written(base.select("id", "label", "v").mapInArrow(pack, packed_schema), "vectors")
+    nodes = written(packed.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-nodes")
 
-    total = packed.count()
+    total = nodes.count()
     share = min(1.0, sample / max(1, total))
-    some = packed.where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).select("vec").toArrow()
-    model = spark.sparkContext.broadcast(Quantiser.fit(_vectors(some["vec"], kind) if some.num_rows else np.zeros((0, d))))
+    # The hash of a vector decides, and each distinct vector is one row here: a bounded number in expectation.
+    some = nodes.where(F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).select("vec").distinct().orderBy("vec").toArrow()
+    seen = _vectors(some["vec"], kind) if some.num_rows else np.zeros((0, d))
+    quantiser = Quantiser.fit(seen)
+    tables = measured_tables(quantiser, seen, threshold, key_bits(total))
+    model = spark.sparkContext.broadcast(quantiser)
 
     def index(batches):
         for batch in batches:
             x = _vectors(batch.column("vec"), kind)
             codes = model.value.codes(x) if len(x) else np.zeros(0, np.uint64)
-            keys = table_keys(codes) if len(x) else np.zeros((0, len(TABLES)), np.int64)
-            for t in range(len(TABLES)):
+            keys = table_keys(codes, tables)
+            for t in range(len(tables)):
                 zero = pa.array(np.zeros(len(x), np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(np.full(len(x), t, np.int32)), pa.array(keys[:, t]), zero, zero, zero, batch.column("id"), batch.column("copies"), pa.array(codes.view(np.int64)), batch.column("vec")], names=[c.split()[0] for c in ROW.split(", ")])
 
     parts = ["label", "t", "key", "block_a", "block_b"]
-    nodes = written(nodes, "vector-nodes")
     rows = nodes.select("label", "vec", "id", "copies").mapInArrow(index, ROW)
-    found = rows.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(lambda b: _scan(b, kind, threshold, most), OUT)
+    found = rows.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(lambda b: _scan(b, kind, threshold, most, tables), OUT)
     found = written(found, "vector-links")
     if found.where("kind = 2").limit(1).count():
         hot = found.where("kind = 2").select("id", F.col("other").cast("int").alias("t"), F.col("n").alias("key"))
@@ -208,15 +254,14 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         own = own.join(blocks, ["label", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
         met = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         met = met.withColumns({"block_a": F.least("own", "o"), "block_b": F.greatest("own", "o")}).select(*(c.split()[0] for c in ROW.split(", ")))
-        again = met.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(lambda b: _scan(b, kind, threshold, None), OUT)
+        again = met.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(lambda b: _scan(b, kind, threshold, None, tables), OUT)
         found = written(found.where("kind < 2").union(again), "vector-links")
     groups = connected(found.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
     told = nodes.join(counts, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     told = told.select("label", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit("second")).alias("h2"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     mine = packed.select("id", "label", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit("second")).alias("h2")).join(told, ["label", "h1", "h2"])
-    alone = base.where(~valid).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return mine.select(F.col("id").alias(key), "n_links", "component").unionByName(alone)
+    return mine.select("id", "n_links", "component")
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -266,14 +266,14 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, least
 
 
 def fit(df: DataFrame, text: str = "text", sample: int = 400) -> Field:
-    """Train on about `sample` texts (four times as many at most) that hold a digit or an @ and have at most 20,000
+    """Train on about `sample` distinct texts (four times as many at most) that hold a digit or an @ and have at most 20,000
     characters, chosen by hash; the bound is the same for any corpus. Only training is bounded."""
     rows = df.where(F.col(text).rlike("[0-9@]") & (F.length(text) <= 20_000)).select(F.col(text).alias("t"))
     n = rows.count()
     if n == 0:
         return train([])
     part = min(1.0, sample / n)
-    some = rows.where(F.pmod(F.xxhash64("t", F.lit(11)), F.lit(1 << 30)) < part * (1 << 30)).select("t").limit(4 * sample)
+    some = rows.where(F.pmod(F.xxhash64("t", F.lit(11)), F.lit(1 << 30)) < part * (1 << 30)).select("t").distinct().orderBy(F.xxhash64("t"), "t").limit(4 * sample)
     return train(sorted(r["t"] for r in some.collect()))
 
 

@@ -20,18 +20,24 @@ from quillon.llm.storage import filesystem, put, scratch, written
 from quillon.llm.textkit import narrow_batches
 
 MAGIC = b"WARC/1.1\r\n"
-HEAD_LIMIT = 1 << 16  # no header is longer
+HEAD_LIMIT = 1 << 24  # a longer header is not written, and not looked for
+NEAR = 1 << 16  # bytes read beyond a block for the header at its end; a longer header is read by itself
+#: Fixed value of the format: why a record revisits another.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _record(kind: str, page: int | None, url: str | None, digest: str, size: int, refers: int | None, payload: bytes, date: str) -> bytes:
     fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"), ("WARC-Date", date)]
     if url is not None:
-        fields.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")[: HEAD_LIMIT // 2]))
+        fields.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size))]
     if refers is not None:
-        fields.append(("WARC-Refers-To", f"<urn:page:{refers}>"))
+        fields += [("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", REVISIT)]
     fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
-    return MAGIC + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + payload + b"\r\n\r\n"
+    head = MAGIC + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n"
+    if len(head) > HEAD_LIMIT:
+        raise ValueError(f"the header of page {page} has more than {HEAD_LIMIT} bytes")
+    return head + payload + b"\r\n\r\n"
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 100, roll: int = 1 << 26, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -113,10 +119,14 @@ def candidates(manifest: DataFrame, block: int = 1 << 22) -> DataFrame:
         opened: dict = {}
         for batch in batches:
             for uri, size, at in zip(*(c.to_pylist() for c in batch.columns)):
-                data = _read(opened, uri, at, min(block + HEAD_LIMIT, size - at))
+                data = _read(opened, uri, at, min(block + NEAR, size - at))
                 starts, nexts, k = [], [], data.find(MAGIC)
                 while 0 <= k < block:
-                    head = parse_head(data[k : k + HEAD_LIMIT])
+                    end = data.find(b"\r\n\r\n", k)
+                    if end < 0 and at + len(data) < size:
+                        head = parse_head(_read(opened, uri, at + k, min(HEAD_LIMIT, size - at - k)))
+                    else:
+                        head = parse_head(data[k : end + 4])
                     if head:
                         starts.append(at + k)
                         nexts.append(at + k + head[1] + int(head[0]["content-length"]) + 4)
@@ -183,7 +193,7 @@ def read_archives(manifest: DataFrame, payload: bool = True, block: int = 1 << 2
             out = []
             for uri, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
                 data = _read(opened, uri, start, stop - start)
-                fields, size = parse_head(data[:HEAD_LIMIT])
+                fields, size = parse_head(data[: data.find(b"\r\n\r\n") + 4])
                 body = data[size : size + int(fields["content-length"])]
                 digest, length = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
                 if fields["warc-type"] == "response":

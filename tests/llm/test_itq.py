@@ -56,11 +56,40 @@ def test_recall_at_the_threshold():
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * side
     q = I.Quantiser.fit(x)
-    assert (I.table_keys(q.codes(x)) == I.table_keys(q.codes(y))).any(axis=1).mean() > 0.93
+    tables = I.measured_tables(q, x, 0.98, 16)
+    assert (I.table_keys(q.codes(x), tables) == I.table_keys(q.codes(y), tables)).any(axis=1).mean() > 0.93
     balance = np.unpackbits(q.codes(x).view(np.uint8)).mean()
     assert 0.45 < balance < 0.55
 
 
+@pytest.mark.parametrize(("common", "width"), [(1.0, 16), (2.0, 16), (0.0, 24), (1.0, 24)])
+def test_recall_with_a_common_direction_and_wider_keys(common, width):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)) + common * rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.9801 * x + np.sqrt(1 - 0.9801**2) * side
+    q = I.Quantiser.fit(x)
+    tables = I.measured_tables(q, x, 0.98, width)
+    assert tables.shape[1] == width and (I.table_keys(q.codes(x), tables) == I.table_keys(q.codes(y), tables)).any(axis=1).mean() > 0.9
+
+
+def test_keys_widen_with_the_rows():
+    assert [I.key_bits(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 1 << 30, 1 << 40)] == [16, 16, 16, 24, 24, 40]
+
+
+def test_labels_as_they_are_and_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=64).tolist(), rng.normal(size=12).tolist()
+    rows = [(1, a, "x"), (2, a, "y"), (3, a, "x"), (4, b, "x"), (5, [2 * v for v in b], "x"), (6, b, "y")]
+    got = {r.vec_id: (r.n_links, r.component) for r in I.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+    df = spark.createDataFrame([(1, a, 1.2), (2, a, 1.9), (3, a, 1.2)], "vec_id long, embedding array<double>, label double")
+    assert {r.vec_id: r.n_links for r in I.near_vectors(df).collect()} == {1: 1, 2: 0, 3: 1}
+
+
 @pytest.mark.parametrize("d", [2, 40, 100])
 def test_other_lengths(d):
     x = np.random.default_rng(0).normal(size=(300, d))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from urllib.parse import quote
 
 import duckdb
 import numpy as np
@@ -75,3 +76,11 @@ def test_sql_gives_the_same(spark):
 
 def test_empty_table(pages):
     assert A.digests(pages.limit(0)).count() == 0
+
+
+def test_urls_stay_whole(spark, tmp_path):
+    urls = ["http://a/" + "x" * 200_000, "http://b/" + "é" * 30_000, "http://c/"]
+    pages = spark.createDataFrame([(k, u, f"<p>{k}</p>" * 30) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    manifest = A.write_archives(pages, "file://" + str(tmp_path))
+    got = {r.url for r in A.read_archives(manifest).collect()}
+    assert got == {quote(u, safe=":/") for u in urls}
