@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.storage import written
+from quillon.llm.storage import drop, written
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -33,7 +33,9 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "components")
+        last, now = now, written(small, "components")
+        if hasattr(last, "scratch_path"):
+            drop(last.sparkSession, last.scratch_path)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -44,7 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no plan reads any more, and the shuffle files of finished plans with them."""
+    for t in tables:
+        drop(t.sparkSession, t.scratch_path)
+    forget_shuffles(tables[0].sparkSession)
 
 
 def forget_shuffles(spark: SparkSession) -> None:
