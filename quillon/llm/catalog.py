@@ -63,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_prefixes": chat.ORACLE, "op5_warc": warc.ORACLE, "op8_itq_embeddings": itq.ORACLE}
+    return {"op3_chat_prefixes": chat.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_warc": warc.ORACLE, "op8_itq_embeddings": itq.ORACLE}

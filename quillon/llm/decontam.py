@@ -241,3 +241,24 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
         out = narrow_batches(out).mapInArrow(run, documents.schema)
     return out
+
+
+#: All alignments that share a run of equal words: one of 20 words with 4 differing has a run of 4, shorter windows of 3.
+ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+items AS (SELECT row_number() OVER () AS b, item_id, text FROM benchmark WHERE text IS NOT NULL),
+cut AS (SELECT r, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')) AS t, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), 1) AS k FROM docs),
+placed AS (SELECT r, t, k, sum(length(t)) OVER (PARTITION BY r ORDER BY k) AS stop FROM cut),
+dw AS (SELECT r, lower(t) AS w, stop - length(t) AS start, stop, row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS p FROM placed WHERE regexp_matches(t, '^[\p{L}\p{N}]')),
+bc AS (SELECT b, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) - 1 AS p FROM items),
+bn AS (SELECT b, count(*) AS n, least(count(*), 20) AS win, CASE WHEN count(*) >= 16 THEN 4 ELSE least(3, count(*)) END AS g FROM bc GROUP BY 1),
+bw AS (SELECT * FROM bc JOIN bn USING (b)),
+bg AS (SELECT b, p, g, string_agg(w, ' ') OVER (PARTITION BY b ORDER BY p ROWS BETWEEN CURRENT ROW AND g - 1 FOLLOWING) AS x FROM bw QUALIFY count(*) OVER (PARTITION BY b ORDER BY p ROWS BETWEEN CURRENT ROW AND g - 1 FOLLOWING) = g),
+dg AS (SELECT r, p, g, string_agg(w, ' ') OVER (PARTITION BY r, g ORDER BY p ROWS BETWEEN CURRENT ROW AND g - 1 FOLLOWING) AS x FROM dw, (SELECT DISTINCT g FROM bn)),
+hits AS (SELECT DISTINCT dg.r, bg.b, dg.p - bg.p AS s FROM dg JOIN bg ON dg.x = bg.x AND dg.g = bg.g),
+same AS (SELECT h.r, h.b, h.s, d.p, bw.win, (d.w = bw.w)::INT AS y FROM hits h JOIN bw ON bw.b = h.b JOIN dw d ON d.r = h.r AND d.p = h.s + bw.p),
+best AS (SELECT r, b, p, win, sum(y) OVER f AS agree FROM same WINDOW f AS (PARTITION BY r, b, s ORDER BY p ROWS BETWEEN CURRENT ROW AND win - 1 FOLLOWING) QUALIFY count(*) OVER f = win),
+top AS (SELECT * FROM best WHERE agree >= win - CASE WHEN win >= 8 THEN win // 5 ELSE 0 END QUALIFY row_number() OVER (PARTITION BY r, b ORDER BY agree DESC, p) = 1)
+SELECT doc_id, item_id, agree::BIGINT AS matched, win::BIGINT AS "window", a.start::BIGINT AS start, z.stop::BIGINT AS stop, substring(docs.text, a.start::BIGINT + 1, (z.stop - a.start)::BIGINT) AS passage
+FROM top JOIN docs USING (r) JOIN items USING (b) JOIN dw a ON a.r = top.r AND a.p = top.p JOIN dw z ON z.r = top.r AND z.p = top.p + win - 1
+"""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.components import connected
-from quillon.llm.storage import written
+from quillon.llm.storage import discard, written
 from quillon.llm.textkit import chunks, mix, narrow_batches, utf8_parts
 
 BITS = 64
@@ -223,6 +223,7 @@ def digests(df: DataFrame) -> DataFrame:
     return near_duplicates(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+PAIRED = 512  # documents of a band that one task compares with all others of it
 ROWS, BANDS = 4, 20  # a pair of similarity 0.8 misses all bands with a probability of (1 - 0.8 ** 4) ** 20, about 3e-5
 
 
@@ -281,28 +282,33 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows = written(sketches(df.select(key, *carry, text, F.xxhash64(text).alias("th")), text, k), "sketches")
     nodes = written(rows.groupBy("name").agg(F.min(key).alias("least"), F.min("th").alias("th"), F.first("bands").alias("bands")), "sketch-nodes")
     texts = df.select(F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    bands = nodes.select("name", F.explode("bands").alias("band"))
-    all_of = Window.partitionBy("band")
-    met = written(bands.withColumns({"n": F.count("*").over(all_of), "rep": F.min("name").over(all_of)}).where("n > 1").drop("n"), "bands-met")
+    # Equal sets are one node; one shuffle of the bands serves the counts and the rows.
+    bands = nodes.select("name", F.explode("bands").alias("band")).repartition("band")
+    counted = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("name").alias("rep")).where("n > 1")
+    met = written(bands.join(counted.hint("shuffle_hash"), "band"), "bands-met")
 
     def checked(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
         wanted = nodes.select("name", "th").join(ends, "name", "left_semi")
         held = written(wanted.join(texts, "th").groupBy("name").agg(F.first("t").alias("t")), "sketch-texts")
         left, right = held.select(F.col("name").alias("a"), F.col("t").alias("p")), held.select(F.col("name").alias("b"), F.col("t").alias("q"))
-        return written(_alike(pairs.join(left, "a").join(right, "b"), k, similarity), "sketch-edges")
+        edges = written(_alike(pairs.join(left, "a").join(right, "b"), k, similarity), "sketch-edges")
+        discard(held)
+        return edges
 
     stars = written(met.where("name != rep").select(F.col("rep").alias("a"), F.col("name").alias("b")).distinct(), "sketch-stars")
     edges = checked(stars)
     groups = written(connected(edges), "sketch-groups")
-    tagged = met.join(groups.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("c"))
+    # Further pairs of a band only between documents not yet in one group; each row meets a slice of the others.
+    tagged = met.where("n > 2").join(groups.withColumnRenamed("node", "name"), "name", "left").select("band", "n", "name", F.coalesce("component", "name").alias("c"))
     mixed = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band")
-    left = written(tagged.join(mixed, "band", "left_semi"), "bands-open")
-    right = left.select("band", F.col("name").alias("b"), F.col("c").alias("d"))
-    rest = left.withColumnRenamed("name", "a").join(right, "band").where("a < b and c != d").select("a", "b").distinct()
+    left = written(tagged.join(mixed, "band", "left_semi").withColumn("salts", F.ceil(F.col("n") / PAIRED).cast("int")), "bands-open")
+    right = left.select("band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("name").alias("b"), F.col("c").alias("d"))
+    rest = left.withColumn("salt", F.pmod("name", "salts").cast("int")).withColumnRenamed("name", "a").join(right, ["band", "salt"]).where("a < b and c != d").select("a", "b").distinct()
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "sketch-rest")
     if rest.limit(1).count():
         groups = written(connected(edges.union(checked(rest))), "sketch-groups")
+    discard(met, stars, left, rest)
     placed = nodes.join(groups.withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("component", "name").alias("root"))
     placed = written(placed, "sketch-placed")
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
