@@ -7,7 +7,7 @@ NaN and infinite inputs are refused at fit, in the same aggregate that gives the
 from __future__ import annotations
 
 import inspect
-import numbers
+import operator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -40,11 +40,11 @@ def check_is_fitted(estimator: object, *attributes: str) -> None:
 
 def check_random_state(seed) -> np.random.Generator:
     """None, an integer or a Generator (shared, and advanced by its user)."""
-    if isinstance(seed, np.random.Generator):
-        return seed
-    if seed is None or isinstance(seed, numbers.Integral):
-        return np.random.default_rng(seed)
-    raise TypeError("random_state must be None, an integer or a numpy Generator")
+    given = seed is None or isinstance(seed, np.random.Generator)
+    try:
+        return np.random.default_rng(seed if given else operator.index(seed))
+    except TypeError as e:
+        raise TypeError("random_state must be None, an integer or a numpy Generator") from e
 
 
 def _bad(c: Column) -> Column:
@@ -73,6 +73,13 @@ def check_frame(df: DataFrame, features: str = "features", target: str | None =
     return r["n"], r["low"]
 
 
+def of_width(features: str, d: int, value: Column) -> Column:
+    """value, or an error where the row has not d features (a null row gives null)."""
+    size = F.size(features)
+    said = F.concat(F.lit(f"expected {d} features, got "), size.cast("string"))
+    return F.when(F.col(features).isNull(), F.lit(None)).when(size == d, value).otherwise(F.raise_error(said))
+
+
 def vector(values) -> Column:
     """A literal array<double>."""
     return F.array(*[F.lit(float(v)) for v in values])

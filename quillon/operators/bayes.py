@@ -11,17 +11,22 @@ from quillon.functions.base import Estimator, check_frame, check_is_fitted, vect
 
 
 class GaussianNB(Estimator):
-    def __init__(self, *, priors=None, var_smoothing: float = 1e-9):
-        self.priors, self.var_smoothing = priors, var_smoothing
+    def __init__(self, *, priors=None, var_smoothing: float = 1e-9, max_classes: int = 10_000):
+        self.priors, self.var_smoothing, self.max_classes = priors, var_smoothing, max_classes
 
     def fit(self, df: DataFrame, features: str = "features", target: str = "y") -> GaussianNB:
-        """Population variances plus var_smoothing times the largest variance of any feature over all rows."""
+        """Population variances plus var_smoothing times the largest variance of any feature over all rows.
+
+        The model has a row for each class: more than max_classes are an error.
+        """
         if self.var_smoothing < 0:
             raise ValueError("var_smoothing must not be negative")
         n, d = check_frame(df, features, target)
         x = [F.get(features, F.lit(k)) for k in range(d)]
         each = [a for k in range(d) for a in (F.avg(x[k]).alias(f"m{k}"), F.var_pop(x[k]).alias(f"v{k}"))]
-        rows = sorted(df.groupBy(F.col(target).alias("y")).agg(F.count("*").alias("n"), *each).limit(10_001).collect(), key=lambda r: r["y"])
+        rows = sorted(df.groupBy(F.col(target).alias("y")).agg(F.count("*").alias("n"), *each).limit(self.max_classes + 1).collect(), key=lambda r: r["y"])
+        if len(rows) > self.max_classes:
+            raise ValueError(f"more than {self.max_classes} classes")
         self.classes_ = np.array([r["y"] for r in rows])
         self.class_count_ = np.array([r["n"] for r in rows], float)
         self.theta_ = np.array([[r[f"m{k}"] for k in range(d)] for r in rows])

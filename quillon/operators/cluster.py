@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import expr
-from quillon.functions.base import ConvergenceWarning, Estimator, check_frame, check_is_fitted, check_random_state, vector
+from quillon.functions.base import ConvergenceWarning, Estimator, check_frame, check_is_fitted, check_random_state, of_width, vector
 from quillon.functions.stats import matrix, moments, sums
 
 
@@ -30,7 +30,7 @@ class KMeans(Estimator):
     def __init__(self, n_clusters: int = 8, init="k-means++", n_init: int = 10, max_iter: int = 300, tol: float = 1e-4, random_state=None):
         self.n_clusters, self.init, self.n_init, self.max_iter, self.tol, self.random_state = n_clusters, init, n_init, max_iter, tol, random_state
 
-    def _starts(self, df, features, n, d, rng):
+    def _starts(self, df, features, key, d, rng):
         if not isinstance(self.init, str):
             centers = np.asarray(self.init, float)
             if centers.shape != (self.n_clusters, d):
@@ -38,16 +38,18 @@ class KMeans(Estimator):
             return [centers]
         if self.init not in ("random", "k-means++"):
             raise ValueError(f"unknown init {self.init!r}")
-        return [self._seeded(df, features, int(rng.integers(2**31)), self.init == "k-means++") for _ in range(self.n_init)]
+        return [self._seeded(df, features, key, int(rng.integers(2**31)), self.init == "k-means++") for _ in range(self.n_init)]
 
-    def _seeded(self, df, features, seed, by_distance):
+    def _seeded(self, df, features, key, seed, by_distance):
         """Rows drawn one after the other, with weight 1 or the squared distance to those drawn: the smallest of
-        exponential clocks -log(u) / weight wins, so a draw is one aggregate with no prefix sums."""
+        exponential clocks -log(u) / weight wins, so a draw is one aggregate with no prefix sums. The clocks go by the key,
+        so each of equal rows has its own; without a key column they go by the features."""
+        name = key if key in df.columns else features
         chosen: list[list[float]] = []
         for k in range(self.n_clusters):
             near = F.array_min(center_distances(features, np.array(chosen))) if chosen else F.lit(1.0)
             weight = near if by_distance else F.when(near > 0, 1.0).otherwise(0.0)
-            u = (F.pmod(F.xxhash64(features, F.lit(seed * 1000 + k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+            u = (F.pmod(F.xxhash64(name, F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
             got = df.where(weight > 0).agg(F.min_by(features, -F.log(u) / weight).alias("x")).first()["x"]
             chosen.append(got if got is not None else chosen[0])
         return np.array(chosen)
@@ -60,7 +62,7 @@ class KMeans(Estimator):
         rng = check_random_state(self.random_state)
         m = moments(df, features)
         limit = self.tol * np.diag(m.scatter).mean() / m.n
-        runs = self._starts(df, features, n, d, rng)
+        runs = self._starts(df, features, key, d, rng)
         state = [{"centers": c, "open": True, "iterations": 0} for c in runs]
 
         def kernel_of(all_centers):
@@ -108,11 +110,14 @@ class KMeans(Estimator):
 
     def transform(self, df: DataFrame, features: str = "features", into: str = "distances") -> DataFrame:
         check_is_fitted(self, "cluster_centers_")
-        return df.withColumn(into, F.transform(center_distances(features, self.cluster_centers_), F.sqrt))
+        return df.withColumn(into, F.transform(self._distances(features), F.sqrt))
 
     def predict(self, df: DataFrame, features: str = "features", into: str = "prediction") -> DataFrame:
         check_is_fitted(self, "cluster_centers_")
-        return df.withColumn("__d", center_distances(features, self.cluster_centers_)).withColumn(into, first_least(F.col("__d"))).drop("__d")
+        return df.withColumn("__d", self._distances(features)).withColumn(into, first_least(F.col("__d"))).drop("__d")
+
+    def _distances(self, features):
+        return of_width(features, self.cluster_centers_.shape[1], center_distances(features, self.cluster_centers_))
 
     def fit_predict(self, df: DataFrame, features: str = "features", key: str = "row_id") -> DataFrame:
         return self.fit(df, features, key).predict(df, features)
@@ -122,7 +127,7 @@ class KMeans(Estimator):
 
     def score(self, df: DataFrame, features: str = "features") -> float:
         check_is_fitted(self, "cluster_centers_")
-        return -df.agg(F.sum(F.array_min(center_distances(features, self.cluster_centers_))).alias("v")).first()["v"]
+        return -df.agg(F.sum(F.array_min(self._distances(features))).alias("v")).first()["v"]
 
 
 def components(edges: DataFrame, checkpoint_every: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import expr
-from quillon.functions.base import Estimator, check_frame, check_is_fitted, vector
+from quillon.functions.base import Estimator, check_frame, check_is_fitted, of_width, vector
 from quillon.functions.stats import moments
 
 
@@ -62,7 +62,7 @@ class PCA(Estimator):
 
     def transform(self, df: DataFrame, features: str = "features", into: str = "components") -> DataFrame:
         check_is_fitted(self, "components_")
-        centred = F.zip_with(features, vector(self.mean_), lambda x, m: x - m)
+        centred = of_width(features, len(self.mean_), F.zip_with(features, vector(self.mean_), lambda x, m: x - m))
         return df.withColumn("__c", centred).withColumn(into, F.array(*[expr.dot(F.col("__c"), vector(a)) for a in self.components_])).drop("__c")
 
     def fit_transform(self, df: DataFrame, features: str = "features", into: str = "components") -> DataFrame:
@@ -71,7 +71,7 @@ class PCA(Estimator):
     def inverse_transform(self, df: DataFrame, components: str = "components", into: str = "features") -> DataFrame:
         check_is_fitted(self, "components_")
         back = [expr.dot(F.col(components), vector(column)) + float(m) for column, m in zip(self.components_.T, self.mean_)]
-        return df.withColumn(into, F.array(*back))
+        return df.withColumn(into, of_width(components, len(self.components_), F.array(*back)))
 
     def score(self, df: DataFrame, features: str = "features") -> float:
         """Minus the mean over rows of the squared error of reconstruction, summed over features."""

@@ -34,6 +34,29 @@ def _smallest(numbers: DataFrame, k: int) -> int:
     raise ValueError("fewer numbers than asked for")
 
 
+#: The chances that a Poisson(1) number is at most 0, 1, ...
+POISSON = np.cumsum([np.exp(-1) / np.prod(range(1, j + 1)) for j in range(12)])
+
+
+def counts_of(names: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) counts of rows for a tree: what the same comparisons of Spark's xxhash64(name, seed) give."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+
+    def turn(x, n):
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    def hashed(x, start):
+        h = start + p5 + np.uint64(8) ^ turn(x * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return h ^ h >> np.uint64(32)
+
+    start = hashed(names.astype(np.int64).view(np.uint64), np.full(len(names), 42, np.uint64))
+    u = (hashed(np.full(len(names), seed, np.uint64), start) & np.uint64((1 << 40) - 1)).astype(float) / float(1 << 40)
+    return np.searchsorted(POISSON, u, "right").astype(float)
+
+
 class _Classifier(Estimator):
     def _labelled(self, df, features, into, proba):
         classes = self.classes_
@@ -45,19 +68,24 @@ class _Classifier(Estimator):
 
 
 class RandomForestClassifier(_Classifier):
-    """Mean class shares of trees on bootstrap samples. Small tables: a task per tree over a broadcast matrix of checked
-    size; large ones: level-by-level trees with Poisson bootstrap weights from a hash of row and tree."""
+    """Mean class shares of trees on bootstrap samples: each row counts Poisson(1) times, by a hash of its key and the tree.
+
+    The counts are the same at every size and in every pass. Of a table of up to local_cells numbers a task grows whole
+    trees over the broadcast matrix; of larger ones all tasks grow a tree level by level. Equal rows count by themselves
+    where there is a key column; without one they share their counts.
+    """
 
     def __init__(self, n_estimators: int = 100, criterion: str = "gini", max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, max_features="sqrt", bootstrap: bool = True, oob_score: bool = False, random_state=None):
         self.n_estimators, self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.bootstrap, self.oob_score, self.random_state = n_estimators, criterion, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, bootstrap, oob_score, random_state
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", local_cells: int = LOCAL_CELLS) -> RandomForestClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", local_cells: int = LOCAL_CELLS, key: str = "row_id") -> RandomForestClassifier:
         if self.n_estimators < 1 or self.oob_score and not self.bootstrap:
             raise ValueError("n_estimators must be positive; oob_score needs bootstrap")
         n, d = check_frame(df, features, target)
         self.classes_ = classes_of(df, target)
         rules = Rules(self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features)
         seeds = check_random_state(self.random_state).integers(2**31, size=self.n_estimators).tolist()
+        df = df.withColumn("__name", F.xxhash64(*([key] if key in df.columns else [features, target])))
         if n * d <= local_cells:
             self._fit_local(df, features, target, rules, seeds)
         else:
@@ -69,23 +97,20 @@ class RandomForestClassifier(_Classifier):
     def _fit_local(self, df, features, target, rules, seeds):
         import pickle
 
-        table = df.select(F.col(features).alias("x"), F.col(target).alias("y")).toArrow()
-        x, y = matrix(table["x"]), np.asarray(table["y"])
-        order = np.lexsort([*x.T[::-1], y])  # tasks may deliver rows in any order
-        x, y = x[order], np.searchsorted(self.classes_, y[order])
+        table = df.select(F.col(features).alias("x"), F.col(target).alias("y"), "__name").toArrow()
+        x, y, name = matrix(table["x"]), np.asarray(table["y"]), np.asarray(table["__name"])
+        order = np.lexsort([*x.T[::-1], y, name])  # tasks may deliver rows in any order
+        x, y, name = x[order], np.searchsorted(self.classes_, y[order]), name[order]
         spark, k, bootstrap = df.sparkSession, len(self.classes_), self.bootstrap
-        shared = spark.sparkContext.broadcast((x, y))
-
-        def draw(seed, n):
-            rng = np.random.default_rng(seed)
-            return rng, rng.integers(n, size=n) if bootstrap else np.arange(n)
+        shared = spark.sparkContext.broadcast((x, y, name))
 
         def run(batches):
-            x, y = shared.value
+            x, y, name = shared.value
             for batch in batches:
                 for t, seed in zip(batch["t"].to_pylist(), batch["seed"].to_pylist()):
-                    rng, own = draw(seed, len(x))
-                    tree = grow_local(x[own], np.eye(k)[y[own]], rules, rng)
+                    count = counts_of(name, seed) if bootstrap else np.ones(len(x))
+                    own = np.flatnonzero(count)
+                    tree = grow_local(x[own], np.eye(k)[y[own]] * count[own, None], rules, np.random.default_rng(seed))
                     yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([pickle.dumps(tree)])], names=["t", "tree"])
 
         jobs = spark.createDataFrame(list(enumerate(seeds)), "t long, seed long").repartition(min(len(seeds), 64), "t")
@@ -93,7 +118,7 @@ class RandomForestClassifier(_Classifier):
         if self.oob_score:
             total, votes = np.zeros((len(x), k)), np.zeros(len(x))
             for tree, seed in zip(self.trees_, seeds):
-                out = np.setdiff1d(np.arange(len(x)), draw(seed, len(x))[1])
+                out = np.flatnonzero(counts_of(name, seed) == 0)
                 total[out] += tree.value[tree.leaves(x[out])]
                 votes[out] += 1
             seen = votes > 0
@@ -101,13 +126,11 @@ class RandomForestClassifier(_Classifier):
             self.oob_score_ = float((total[seen].argmax(1) == y[seen]).mean())
 
     def _fit_levels(self, df, features, target, rules, seeds, d):
-        """Poisson(1) counts for each row and tree from the row's hash: the same in every pass over the data."""
         k = len(self.classes_)
-        cuts = np.cumsum([np.exp(-1) / np.prod(range(1, j + 1)) for j in range(12)])
 
         def count(seed):
-            u = F.pmod(F.xxhash64(features, target, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-            return sum((F.when(u >= float(c), 1.0).otherwise(0.0) for c in cuts), F.lit(0.0)) if self.bootstrap else F.lit(1.0)
+            u = F.pmod(F.xxhash64("__name", F.lit(seed).cast("long")), F.lit(1 << 40)) / float(1 << 40)
+            return sum((F.when(u >= float(c), 1.0).otherwise(0.0) for c in POISSON), F.lit(0.0)) if self.bootstrap else F.lit(1.0)
 
         self.trees_ = []
         for seed in seeds:
@@ -229,7 +252,7 @@ class GradientBoostingClassifier(_Classifier):
     def __init__(self, learning_rate: float = 0.1, n_estimators: int = 100, subsample: float = 1.0, max_depth: int = 3, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, max_features=None, init: str = "prior", random_state=None):
         self.learning_rate, self.n_estimators, self.subsample, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.init, self.random_state = learning_rate, n_estimators, subsample, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, init, random_state
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None) -> GradientBoostingClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, key: str = "row_id") -> GradientBoostingClassifier:
         if self.learning_rate <= 0 or self.n_estimators < 1 or not 0 < self.subsample <= 1 or self.init not in ("prior", "zero"):
             raise ValueError("bad boosting parameters")
         n, d = check_frame(df, features, target, weight)
@@ -240,7 +263,8 @@ class GradientBoostingClassifier(_Classifier):
         outputs = 1 if k == 2 else k
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         hot = F.array(*[(F.col(target) == F.lit(c.item())).cast("double") for c in (self.classes_[1:] if k == 2 else self.classes_)])
-        base = df.select(F.col(features).alias("x"), hot.alias("hot"), w.alias("w")).persist()
+        name = F.xxhash64(*([key] if key in df.columns else [features, target]))
+        base = df.select(F.col(features).alias("x"), hot.alias("hot"), w.alias("w"), name.alias("name")).persist()
         shares = base.agg(*[(F.sum(F.col("w") * F.get("hot", F.lit(c))) / F.sum("w")).alias(f"p{c}") for c in range(outputs)]).first()
         p = np.clip([shares[f"p{c}"] for c in range(outputs)], 1e-12, 1 - 1e-12)
         self.init_ = np.zeros(outputs) if self.init == "zero" else np.log(p / (1 - p)) if k == 2 else np.log(p)
@@ -254,7 +278,7 @@ class GradientBoostingClassifier(_Classifier):
             rows = apply_kernel(base, "x", "p", proba)
             if self.subsample < 1:
                 seed = int(rng.integers(2**31))
-                u = F.pmod(F.xxhash64("x", "hot", F.lit(seed)), F.lit(1 << 40))
+                u = F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(1 << 40))
                 keep = round(self.subsample * n)
                 rows = rows.where(u <= _smallest(rows.select(u.alias("u")), keep))
             grown = []

@@ -26,8 +26,8 @@ def confusion_matrix(df: DataFrame, y_true: str = "y", y_pred: str = "prediction
     a, b = _ints(y_true, y_pred)
     counts = df.groupBy(a.alias("y_true"), b.alias("y_pred")).agg(F.count("*").alias("n"))
     labels = counts.select(F.col("y_true").alias("label")).union(counts.select(F.col("y_pred").alias("label"))).distinct()
-    # As many rows as labels, so the square of the labels is the result itself.
-    grid = labels.select(F.col("label").alias("y_true")).join(F.broadcast(labels.select(F.col("label").alias("y_pred"))))
+    # The result has a row for every two labels; Spark weighs the sides before it broadcasts one.
+    grid = labels.select(F.col("label").alias("y_true")).crossJoin(labels.select(F.col("label").alias("y_pred")))
     return grid.join(counts, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 

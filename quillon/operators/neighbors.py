@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import expr
 from quillon.functions.base import Estimator, check_frame, check_is_fitted, classes_of
+from quillon.functions.stats import matrix
+
+
+BLOCK = 2048  # rows of a block
+
+
+def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
+    """rows(id, x, ...) with each column as an array of up to BLOCK rows' values, named by the prefix."""
+    schema = T.StructType([T.StructField(f"{prefix}_{f.name}", T.ArrayType(f.dataType)) for f in rows.schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                cut = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut, pa.concat_arrays([c])) for c in part.columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 class KNeighborsClassifier(Estimator):
@@ -28,12 +49,32 @@ class KNeighborsClassifier(Estimator):
     def kneighbors(self, df: DataFrame, features: str = "features", key: str = "row_id") -> DataFrame:
         """(key, train_id, label, distance, rank) of each query's n_neighbors.
 
-        A query's candidates are cut to k in every task (a window group limit) before they meet, so k rows a query and
-        task are shuffled, not all pairs.
+        Rows are packed into blocks, and every two blocks of queries and training rows meet as one row; their distances
+        are one array operation. A query's candidates are cut to k for each block and in every task (a window group
+        limit), so k rows a query and task are shuffled, not all pairs.
         """
         check_is_fitted(self, "train_")
-        near = df.select(F.col(key), F.col(features).alias("__q")).crossJoin(self.train_)
-        near = near.select(key, "train_id", "label", expr.METRICS[self.metric](F.col("__q"), F.col("__t")).alias("distance"))
+        schema = T.StructType([df.schema[key], self.train_.schema["train_id"], self.train_.schema["label"], T.StructField("distance", T.DoubleType())])
+        both = _blocks(df.select(F.col(key).alias("id"), F.col(features).alias("x")), "q").crossJoin(_blocks(self.train_.select(F.col("train_id").alias("id"), F.col("__t").alias("x"), "label"), "t"))
+        k, metric = self.n_neighbors, self.metric
+
+        def run(batches):
+            for batch in batches:
+                for n in range(batch.num_rows):
+                    q_id, q, t_id, t, label = (batch.column(c)[n].values for c in ("q_id", "q_x", "t_id", "t_x", "t_label"))
+                    q, t = matrix(q), matrix(t)
+                    rank = np.argsort(np.argsort(np.asarray(t_id), kind="stable"))
+                    for lo in range(0, len(q), 256):
+                        total = np.zeros((len(q[lo : lo + 256]), len(t)))
+                        for c in range(q.shape[1]):
+                            gap = q[lo : lo + 256, c, None] - t[None, :, c]
+                            total += gap * gap if metric == "euclidean" else np.abs(gap)
+                        own = np.lexsort((np.broadcast_to(rank, total.shape), total))[:, :k]
+                        d = np.take_along_axis(total, own, 1).ravel()
+                        at, mine = own.ravel(), np.repeat(np.arange(lo, lo + len(total)), own.shape[1])
+                        yield pa.RecordBatch.from_arrays([q_id.take(pa.array(mine)), t_id.take(pa.array(at)), label.take(pa.array(at)), pa.array(np.sqrt(d) if metric == "euclidean" else d)], names=schema.names)
+
+        near = both.mapInArrow(run, schema)
         first = Window.partitionBy(key).orderBy("distance", "train_id")
         return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= self.n_neighbors)
 

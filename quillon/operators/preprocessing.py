@@ -62,10 +62,16 @@ class MinMaxScaler(Estimator):
 
 
 class OneHotEncoder(Estimator):
-    """A column of labels as indicator vectors over the sorted labels; an unseen label is an error that names it."""
+    """A column of labels as indicator vectors over the sorted labels; an unseen label is an error that names it.
+
+    Vectors have an entry for each label, so more than max_categories labels are an error at fit.
+    """
+
+    def __init__(self, max_categories: int = 10_000):
+        self.max_categories = max_categories
 
     def fit(self, df: DataFrame, column: str = "y") -> OneHotEncoder:
-        self.categories_ = classes_of(df, column).tolist()
+        self.categories_ = classes_of(df, column, self.max_categories).tolist()
         if not self.categories_:
             raise ValueError("no rows")
         return self

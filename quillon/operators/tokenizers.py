@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +19,25 @@ def characters(df: DataFrame, text: str = "text") -> DataFrame:
 
 def adjacent_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(left, right, n) of all adjacent code points, overlaps included; pairs never cross rows."""
-    chars = df.select(F.filter(F.split(text, ""), lambda c: c != "").alias("cs"))
-    pairs = F.zip_with(F.slice("cs", F.lit(1), F.greatest(F.size("cs") - 1, F.lit(0))), F.slice("cs", F.lit(2), F.greatest(F.size("cs") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    return chars.where(F.size("cs") > 1).select(F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("n"))
+
+    def count(batches):
+        for batch in batches:
+            points, ends = code_points(batch.column("t").to_pylist())
+            both = points[:-1].astype(np.int64) << 32 | points[1:]
+            inside = np.ones(len(both), bool)
+            inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(points))] - 1] = False
+            pair, n = np.unique(both[inside], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(p >> 32) for p in pair.tolist()], pa.string()), pa.array([chr(p & 0xFFFFFFFF) for p in pair.tolist()], pa.string()), pa.array(n, pa.int64())], names=["left", "right", "n"])
+
+    # A batch's pairs are counted by one sort, so that only distinct pairs leave it.
+    parts = df.select(F.col(text).alias("t")).mapInArrow(count, "left string, right string, n bigint")
+    return parts.groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' code points, one text after the other, and where each ends."""
+    said = [t or "" for t in texts]
+    return np.frombuffer("".join(said).encode("utf-32-le"), "<u4"), np.cumsum([len(t) for t in said], dtype=np.int64)
 
 
 class _Vocabulary(Estimator):
@@ -66,7 +83,25 @@ class CharTokenizer(_Vocabulary):
         return self
 
     def encode(self, df: DataFrame, text: str = "text", into: str = "ids") -> DataFrame:
-        return self._ids(df, text, into, list)
+        """df with ids, a batch of texts at a time; unknown characters are an error that lists them."""
+        check_is_fitted(self, "vocabulary_")
+        known = np.array([ord(c) for c in self.vocabulary_], np.uint32)
+        order = np.argsort(known)
+        held = [c for c in df.columns if c != into]
+        schema = T.StructType([*(df.schema[c] for c in held), T.StructField(into, T.ArrayType(T.IntegerType()))])
+
+        def run(batches):
+            for batch in batches:
+                points, ends = code_points(batch.column(text).to_pylist())
+                at = np.minimum(np.searchsorted(known[order], points), len(known) - 1)
+                ids = order[at].astype(np.int32) if len(known) else np.zeros(0, np.int32)
+                missing = points[known[ids] != points] if len(known) else points
+                if len(missing):
+                    raise ValueError(f"unknown characters: {[chr(c) for c in np.unique(missing)]}")
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.select(held).columns, lists], names=schema.names)
+
+        return df.select(*held).mapInArrow(run, schema)
 
 
 class BPETokenizer(_Vocabulary):

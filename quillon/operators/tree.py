@@ -47,21 +47,16 @@ def _impurity_column(s: list[Column], criterion: str) -> Column:
 
 
 def resolve_max_features(max_features, d: int) -> int:
-    if max_features is None:
-        return d
-    if max_features == "sqrt":
-        return max(1, int(math.sqrt(d)))
-    if max_features == "log2":
-        return max(1, int(math.log2(d)))
-    if isinstance(max_features, bool) or not isinstance(max_features, numbers.Real):
-        raise ValueError(f"bad max_features {max_features!r}")
-    if isinstance(max_features, numbers.Integral):
-        if not 1 <= max_features <= d:
-            raise ValueError("max_features must lie between 1 and the number of features")
-        return int(max_features)
-    if not 0 < max_features <= 1:
-        raise ValueError("a share of features must lie in (0, 1]")
-    return max(1, int(max_features * d))
+    """The number of features tried at a node: all of d, a named function of d, a count up to d, or a share up to 1 of d."""
+    if max_features is None or isinstance(max_features, str):
+        named = {None: d, "sqrt": math.isqrt(d), "log2": d.bit_length() - 1}
+        if max_features in named:
+            return max(1, named[max_features])
+    elif isinstance(max_features, numbers.Real) and not isinstance(max_features, bool):
+        whole = isinstance(max_features, numbers.Integral)
+        if 0 < max_features <= (d if whole else 1):
+            return max(1, math.floor(max_features if whole else max_features * d))
+    raise ValueError(f"max_features is None, 'sqrt', 'log2', a count up to {d} or a share up to 1, not {max_features!r}")
 
 
 @dataclass

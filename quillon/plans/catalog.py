@@ -12,20 +12,23 @@ from pyspark.sql import types as T
 
 from quillon.functions import expr
 from quillon.functions.base import feature_columns
+from quillon.functions.stats import sums
 from quillon.operators import metrics as M
 from quillon.operators import optimizers as O
 from quillon.operators.bayes import GaussianNB
 from quillon.operators.cluster import DBSCAN, GaussianMixture, KMeans
 from quillon.operators.decomposition import PCA
 from quillon.operators.ensemble import AdaBoostClassifier, GradientBoostingClassifier, RandomForestClassifier
-from quillon.operators.layers import Linear, MSELoss, Tanh, Trainer
+from quillon.operators.layers import LSTM, RNN, Linear, MSELoss, Tanh, Trainer
 from quillon.operators.linear import Lasso, LinearRegression, LinearSVM, LogisticRegression, Ridge
 from quillon.operators.neighbors import KNeighborsClassifier
 from quillon.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, train_test_split
 from quillon.operators.tokenizers import BPETokenizer, CharTokenizer, adjacent_pairs, characters
 from quillon.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor, apply_kernel
 from quillon.sources import generators
+from quillon.tensor import autodiff as ad
 from quillon.tensor import rel
+from quillon.tensor import transformer as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -625,6 +628,106 @@ def generated_blobs(spark, sf):
     return generators.make_blobs(spark, 300, 3, 4, random_state=0)
 
 
+# --- networks: modules of the library inside tasks --------------------------------------------------------------------
+
+
+def fixed_weights(rows: int, columns: int) -> np.ndarray:
+    """Weights that SQL can state, too: entry (i, j) is ((i * columns + j) * 7 % 11 - 5) / 10."""
+    return (np.arange(rows * columns) * 7 % 11 - 5).reshape(rows, columns) / 10
+
+
+def fixed_sql(i: str, j: str, columns: int) -> str:
+    return f"(((({i}) * {columns} + ({j})) * 7 % 11 - 5) / 10.0)"
+
+
+FIRST = "embedding[{}]::DOUBLE"
+
+
+def rnn_sql(steps: int, features: int) -> str:
+    inner = "SELECT vec_id, embedding, 0.0::DOUBLE AS h0_0, 0.0::DOUBLE AS h1_0 FROM embeddings"
+    for t in range(1, steps + 1):
+        pre = [" + ".join([*(f"{FIRST.format((t - 1) * features + i + 1)} * {fixed_sql(i, j, 2)}" for i in range(features)), *(f"h{i}_{t - 1} * {fixed_sql(i, j, 2)}" for i in range(2)), f"{j} / 10.0"]) for j in range(2)]
+        inner = f"SELECT *, tanh({pre[0]}) AS h0_{t}, tanh({pre[1]}) AS h1_{t} FROM ({inner})"
+    return f"SELECT vec_id, round(h0_{steps}, 6) + 0.0 AS h0, round(h1_{steps}, 6) + 0.0 AS h1 FROM ({inner})"
+
+
+@query(rnn_sql(4, 3))
+def rnn_forward(spark, sf):
+    """The last hidden state of a recurrent layer over the first twelve components, as four steps of three."""
+    layer = RNN(3, 2, weight_init="zeros")
+    layer.W_ih, layer.W_hh, layer.b = fixed_weights(3, 2), fixed_weights(2, 2), np.array([0.0, 0.1])
+    out = apply_kernel(vectors(spark, sf), "features", "h", lambda x: layer.forward(x[:, :12].reshape(-1, 4, 3))[1])
+    return out.select(F.col("row_id").alias("vec_id"), r6(F.get("h", F.lit(0)), "h0"), r6(F.get("h", F.lit(1)), "h1"))
+
+
+def lstm_sql(steps: int) -> str:
+    inner = "SELECT vec_id, embedding, 0.0::DOUBLE AS h_0, 0.0::DOUBLE AS c_0 FROM embeddings"
+    for t in range(1, steps + 1):
+        z = [f"{FIRST.format(2 * t - 1)} * {fixed_sql(0, j, 4)} + {FIRST.format(2 * t)} * {fixed_sql(1, j, 4)} + h_{t - 1} * {fixed_sql(0, j, 4)}" for j in range(4)]
+        inner = f"SELECT *, {', '.join(f'{x} AS z{j}_{t}' for j, x in enumerate(z))} FROM ({inner})"
+        inner = f"SELECT *, c_{t - 1} / (1 + exp(-z1_{t})) + tanh(z2_{t}) / (1 + exp(-z0_{t})) AS c_{t} FROM ({inner})"
+        inner = f"SELECT *, tanh(c_{t}) / (1 + exp(-z3_{t})) AS h_{t} FROM ({inner})"
+    return f"SELECT vec_id, round(h_{steps}, 6) + 0.0 AS h, round(c_{steps}, 6) + 0.0 AS c FROM ({inner})"
+
+
+@query(lstm_sql(3))
+def lstm_forward(spark, sf):
+    """Hidden and cell state of one unit after three steps of two components."""
+    layer = LSTM(2, 1, bias=False, weight_init="zeros")
+    layer.W_ih, layer.W_hh = fixed_weights(2, 4), fixed_weights(1, 4)
+    out = apply_kernel(vectors(spark, sf), "features", "s", lambda x: np.concatenate(layer.forward(x[:, :6].reshape(-1, 3, 2))[1], 1))
+    return out.select(F.col("row_id").alias("vec_id"), r6(F.get("s", F.lit(0)), "h"), r6(F.get("s", F.lit(1)), "c"))
+
+
+SOFTMAX_GRADIENT = f"""WITH l AS ({LONG}), x AS (SELECT n, i, v, label FROM l WHERE i < 4), k AS (SELECT range AS c FROM range((SELECT max(label) + 1 FROM embeddings))),
+z AS (SELECT n, label, c, sum(v * {fixed_sql("i", "c", 100)}) AS z FROM x, k GROUP BY 1, 2, 3),
+p AS (SELECT n, c, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) - (label = c)::INT AS e FROM z WINDOW w AS (PARTITION BY n))"""
+
+
+@query(SOFTMAX_GRADIENT + " SELECT i::BIGINT AS i, c::BIGINT AS c, round(sum(v * e) / (SELECT count(*) FROM embeddings), 8) + 0.0 AS g FROM x JOIN p USING (n) GROUP BY 1, 2")
+def autodiff_softmax_gradient(spark, sf):
+    """The gradient of the mean cross entropy of a linear layer, by backward() on each batch and one sum over tasks."""
+    df = vectors(spark, sf)
+    k = df.agg(F.max("y")).first()[0] + 1
+
+    def kernel(x, y):
+        layer = ad.Linear(4, k, "zeros")
+        layer.W.data = fixed_weights(4, 100)[:, :k]
+        loss = ad.cross_entropy(layer(x[:, :4]), np.eye(k)[y.astype(int)]) * len(x)
+        loss.backward()
+        return layer.W.grad.ravel()
+
+    g = sums(df, kernel, 4 * k, ["features", "y"]).reshape(4, k) / df.count()
+    rows = [(i, c, float(g[i, c])) for i in range(4) for c in range(k)]
+    return spark.createDataFrame(rows, "i long, c long, g double").select("i", "c", r6("g", "g", 8))
+
+
+HEADS = """WITH t AS (SELECT vec_id, p, h, [embedding[p * 4 + h * 2 + 1]::DOUBLE, embedding[p * 4 + h * 2 + 2]::DOUBLE] AS x FROM embeddings, range(4) a(p), range(2) b(h)),
+s AS (SELECT q.vec_id, q.p, q.h, k.x AS v, exp((q.x[1] * k.x[1] + q.x[2] * k.x[2]) / sqrt(2)) AS w FROM t q JOIN t k ON q.vec_id = k.vec_id AND q.h = k.h AND k.p <= q.p)
+SELECT vec_id, p::INT AS p, h::INT AS h, round(sum(w * v[1]) / sum(w), 6) + 0.0 AS v0, round(sum(w * v[2]) / sum(w), 6) + 0.0 AS v1 FROM s GROUP BY 1, 2, 3"""
+
+
+@query(HEADS)
+def multi_head_attention(spark, sf):
+    """Causal attention with two heads over the first sixteen components as four tokens, all projections the identity."""
+    layer = tf.MultiHeadAttention(4, 2, random_state=0)
+    layer.into.data, layer.out.W.data = np.tile(np.eye(4), 3), np.eye(4)
+    out = apply_kernel(vectors(spark, sf), "features", "o", lambda x: layer(x[:, :16].reshape(-1, 4, 4), mask=tf.causal_mask(4, 4)).data.reshape(len(x), 16))
+    rows = out.select(F.col("row_id").alias("vec_id"), "o", F.explode(F.expr("sequence(0, 3)")).alias("p")).select("vec_id", "o", "p", F.explode(F.expr("sequence(0, 1)")).alias("h"))
+    return rows.select("vec_id", "p", "h", *(r6(F.get("o", F.expr(f"p * 4 + h * 2 + {d}")), f"v{d}") for d in range(2)))
+
+
+@query("SELECT c_custkey, round(c_acctbal, 4) + 0.0 AS a, c_nationkey::DOUBLE AS b, round(c_acctbal, 4) + 0.0 AS c, c_nationkey::DOUBLE AS d FROM customer")
+def scaler_inverses(spark, sf):
+    """Both scalers there and back."""
+    df = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double")).alias("features"))
+    out = df.withColumns({"s": F.col("features"), "m": F.col("features")})
+    for scaler, name in ((StandardScaler(), "s"), (MinMaxScaler(), "m")):
+        scaler.fit(df)
+        out = scaler.inverse_transform(scaler.transform(out, name), name)
+    return out.select("c_custkey", *(r6(F.get(n, F.lit(k)), c, 4) for (n, k), c in zip((("s", 0), ("s", 1), ("m", 0), ("m", 1)), "abcd")))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes over the embeddings: class moments in one aggregate, scoring in one projection."""
     return gaussian_nb_predict(spark, sf_dir)
