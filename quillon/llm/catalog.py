@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat, decontam, itq, langid, linededup, pii, simhash, tokenbin, warc
+from quillon.llm import bpe, chat, decontam, itq, langid, linededup, pii, simhash, tokenbin, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,12 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op7_pii_crf, op8_itq_embeddings, op9_token_shards, op10_covering_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op7_pii_crf, op8_itq_embeddings, op9_token_shards, op10_covering_simhash, op11_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,5 +19,5 @@ def test_query(spark, name):
         con = duckdb.connect()
         for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-        want = con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+        want = con.execute(f"SELECT {', '.join(f'"{n}"' for n in names)} FROM ({sql})").fetchall()
         assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
