@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat, decontam, itq, langid, linededup, pii, simhash, tokenbin, warc, winnow
+from quillon.llm import bpe, chat, decontam, divergence, itq, langid, linededup, pii, simhash, tokenbin, trie, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,9 +62,17 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op7_pii_crf, op8_itq_embeddings, op9_token_shards, op10_covering_simhash, op11_winnowing)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_chat_prefixes, op4_decontaminate, op5_warc, op6_fuzzy_lines, op7_pii_crf, op8_itq_embeddings, op9_token_shards, op10_covering_simhash, op11_winnowing, op12_source_divergence, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_prefixes": chat.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_warc": warc.ORACLE, "op8_itq_embeddings": itq.ORACLE}
+    return {"op3_chat_prefixes": chat.ORACLE, "op4_decontaminate": decontam.ORACLE, "op5_warc": warc.ORACLE, "op8_itq_embeddings": itq.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_prefix_trie": trie.ORACLE}
