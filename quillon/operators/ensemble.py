@@ -1,4 +1,8 @@
-"""Forests, SAMME boosting and gradient boosting over the exact trees."""
+"""Forests, SAMME boosting and gradient boosting over the exact trees.
+
+A forest is one frontier: all its trees grow in the same jobs. Boosting keeps a table of the rows' state (weights or scores),
+written once a round, in which each round evaluates its own trees only.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions import expr
 from quillon.functions.base import Estimator, check_frame, check_is_fitted, check_random_state, classes_of
+from quillon.functions.held import Held
 from quillon.functions.stats import matrix
-from quillon.operators.tree import Rules, apply_kernel, class_stats, grow, grow_local, moment_stats
-
-#: Up to so many numbers the training matrix is broadcast and a task grows whole trees; beyond, trees grow level by level.
-LOCAL_CELLS = 20_000_000
+from quillon.operators.tree import LOCAL_CELLS, Rules, apply_kernel, class_stats, grow_all, moment_stats
 
 
 def _softmax(z):
@@ -38,30 +41,19 @@ def _smallest(numbers: DataFrame, k: int) -> int:
 POISSON = np.cumsum([np.exp(-1) / np.prod(range(1, j + 1)) for j in range(12)])
 
 
-def counts_of(names: np.ndarray, seed: int) -> np.ndarray:
-    """Poisson(1) counts of rows for a tree: what the same comparisons of Spark's xxhash64(name, seed) give."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
-
-    def turn(x, n):
-        return x << np.uint64(n) | x >> np.uint64(64 - n)
-
-    def hashed(x, start):
-        h = start + p5 + np.uint64(8) ^ turn(x * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        return h ^ h >> np.uint64(32)
-
-    start = hashed(names.astype(np.int64).view(np.uint64), np.full(len(names), 42, np.uint64))
-    u = (hashed(np.full(len(names), seed, np.uint64), start) & np.uint64((1 << 40) - 1)).astype(float) / float(1 << 40)
-    return np.searchsorted(POISSON, u, "right").astype(float)
+def bag_counts(name: Column, seed: int, trees: int) -> Column:
+    """How often a row is in the bag of each tree, as array<double>: Poisson(1) by the MD5 of `name:seed:tree`."""
+    limits = F.array(*[F.lit(float(c)) for c in POISSON])
+    digits = lambda t: F.substring(F.md5(F.concat_ws(":", name, F.lit(str(seed)), t.cast("string"))), 1, 12)
+    share = lambda t: F.conv(digits(t), 16, 10).cast("double") / float(1 << 48)
+    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.aggregate(F.transform(F.array(share(t)), lambda u: F.size(F.filter(limits, lambda c: u >= c)).cast("double")), F.lit(0.0), lambda a, b: a + b))
 
 
 class _Classifier(Estimator):
     def _labelled(self, df, features, into, proba):
         classes = self.classes_
         kind = T.DoubleType() if classes.dtype.kind == "f" else T.LongType()
-        return apply_kernel(df, features, into, lambda x: classes[proba(x).argmax(1)], kind)
+        return apply_kernel(df, features, into, lambda x: classes[proba(x).argmax(1)], kind, self.n_features_)
 
     def score(self, df: DataFrame, features: str = "features", target: str = "y") -> float:
         return self.predict(df, features, "__p").agg(F.avg((F.col("__p") == F.col(target)).cast("double")).alias("v")).first()["v"]
@@ -70,8 +62,8 @@ class _Classifier(Estimator):
 class RandomForestClassifier(_Classifier):
     """Mean class shares of trees on bootstrap samples: each row counts Poisson(1) times, by a hash of its key and the tree.
 
-    The counts are the same at every size and in every pass. Of a table of up to local_cells numbers a task grows whole
-    trees over the broadcast matrix; of larger ones all tasks grow a tree level by level. Equal rows count by themselves
+    Counts and the features drawn at a node are hashes of (row, tree) and (tree, place, feature), so neither the order of
+    work nor the size of the table matters, and all trees grow in one aggregate a level. Equal rows count by themselves
     where there is a key column; without one they share their counts.
     """
 
@@ -79,73 +71,40 @@ class RandomForestClassifier(_Classifier):
         self.n_estimators, self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.bootstrap, self.oob_score, self.random_state = n_estimators, criterion, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, bootstrap, oob_score, random_state
 
     def fit(self, df: DataFrame, features: str = "features", target: str = "y", local_cells: int = LOCAL_CELLS, key: str = "row_id") -> RandomForestClassifier:
+        """local_cells: a node of up to so many numbers is finished by one task; the trees are the same for any."""
         if self.n_estimators < 1 or self.oob_score and not self.bootstrap:
             raise ValueError("n_estimators must be positive; oob_score needs bootstrap")
-        n, d = check_frame(df, features, target)
-        self.classes_ = classes_of(df, target)
+        _, d = check_frame(df, features, target)
+        self.classes_, self.n_features_ = classes_of(df, target), d
         rules = Rules(self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features)
-        seeds = check_random_state(self.random_state).integers(2**31, size=self.n_estimators).tolist()
-        df = df.withColumn("__name", F.xxhash64(*([key] if key in df.columns else [features, target])))
-        if n * d <= local_cells:
-            self._fit_local(df, features, target, rules, seeds)
-        else:
-            self._fit_levels(df, features, target, rules, seeds, d)
+        self.seed_ = int(check_random_state(self.random_state).integers(2**31))
+        name = F.col(key).cast("string") if key in df.columns else F.xxhash64(features, target).cast("string")
+        rows = df.select(F.col(features).alias("x"), class_stats(F.col(target), self.classes_, F.lit(1.0)).alias("s"), *([bag_counts(name, self.seed_, self.n_estimators).alias("w")] if self.bootstrap else []))
+        with Held(rows, "forest") as base:
+            self.trees_ = grow_all(base, len(self.classes_), d, rules, [f"{self.seed_}:{t}" for t in range(self.n_estimators)], counted=True, local_cells=local_cells)
+            if self.oob_score:
+                self.oob_score_ = self._oob(base)
         total = np.mean([t.importances(d) for t in self.trees_], 0)
         self.feature_importances_ = total / total.sum() if total.sum() else total
         return self
 
-    def _fit_local(self, df, features, target, rules, seeds):
-        import pickle
-
-        table = df.select(F.col(features).alias("x"), F.col(target).alias("y"), "__name").toArrow()
-        x, y, name = matrix(table["x"]), np.asarray(table["y"]), np.asarray(table["__name"])
-        order = np.lexsort([*x.T[::-1], y, name])  # tasks may deliver rows in any order
-        x, y, name = x[order], np.searchsorted(self.classes_, y[order]), name[order]
-        spark, k, bootstrap = df.sparkSession, len(self.classes_), self.bootstrap
-        shared = spark.sparkContext.broadcast((x, y, name))
+    def _oob(self, base: DataFrame) -> float:
+        """Accuracy over the rows that some tree has not seen, each by the mean shares of those trees."""
+        trees = self.trees_
 
         def run(batches):
-            x, y, name = shared.value
             for batch in batches:
-                for t, seed in zip(batch["t"].to_pylist(), batch["seed"].to_pylist()):
-                    count = counts_of(name, seed) if bootstrap else np.ones(len(x))
-                    own = np.flatnonzero(count)
-                    tree = grow_local(x[own], np.eye(k)[y[own]] * count[own, None], rules, np.random.default_rng(seed))
-                    yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([pickle.dumps(tree)])], names=["t", "tree"])
-
-        jobs = spark.createDataFrame(list(enumerate(seeds)), "t long, seed long").repartition(min(len(seeds), 64), "t")
-        self.trees_ = [pickle.loads(bytes(r["tree"])) for r in sorted(jobs.mapInArrow(run, "t long, tree binary").collect(), key=lambda r: r["t"])]
-        if self.oob_score:
-            total, votes = np.zeros((len(x), k)), np.zeros(len(x))
-            for tree, seed in zip(self.trees_, seeds):
-                out = np.flatnonzero(counts_of(name, seed) == 0)
-                total[out] += tree.value[tree.leaves(x[out])]
-                votes[out] += 1
-            seen = votes > 0
-            self.oob_decision_ = np.where(seen[:, None], total / np.maximum(votes, 1)[:, None], np.nan)
-            self.oob_score_ = float((total[seen].argmax(1) == y[seen]).mean())
-
-    def _fit_levels(self, df, features, target, rules, seeds, d):
-        k = len(self.classes_)
-
-        def count(seed):
-            u = F.pmod(F.xxhash64("__name", F.lit(seed).cast("long")), F.lit(1 << 40)) / float(1 << 40)
-            return sum((F.when(u >= float(c), 1.0).otherwise(0.0) for c in POISSON), F.lit(0.0)) if self.bootstrap else F.lit(1.0)
-
-        self.trees_ = []
-        for seed in seeds:
-            rows = df.withColumn("__w", count(seed)).where("__w > 0").select(F.col(features).alias("x"), class_stats(F.col(target), self.classes_, F.col("__w")).alias("s"))
-            self.trees_.append(grow(rows, k, d, rules, np.random.default_rng(seed)))
-        if self.oob_score:
-            def kernel(x, trees=self.trees_):
-                return np.stack([t.value[t.leaves(x)] for t in trees], 1).reshape(len(x), -1)
-
-            out = F.array(*[(count(s) == 0).cast("double") for s in seeds])
-            rows = apply_kernel(df.withColumn("__out", out), features, "__all", kernel)
-            mean = F.array(*[F.aggregate(F.zip_with("__out", F.array(*[F.get("__all", F.lit(t * k + c)) for t in range(len(seeds))]), lambda o, p: o * p), F.lit(0.0), lambda a, b: a + b) for c in range(k)])
-            names = F.array(*[F.lit(c.item()) for c in self.classes_])
-            scored = rows.where(F.exists("__out", lambda o: o > 0)).withColumn("__m", mean)
-            self.oob_score_ = scored.agg(F.avg((F.element_at(names, F.array_position("__m", F.array_max("__m")).cast("int")) == F.col(target)).cast("double")).alias("v")).first()["v"]
+                if not batch.num_rows:
+                    continue
+                x, s, out = matrix(batch.column("x")), matrix(batch.column("s")), matrix(batch.column("w")) == 0
+                total = np.zeros(s.shape)
+                for t, tree in enumerate(trees):
+                    total[out[:, t]] += tree.value[tree.leaves(x[out[:, t]])]
+                seen = out.any(1)
+                yield pa.RecordBatch.from_arrays([pa.array([int(seen.sum())]), pa.array([int((total[seen].argmax(1) == s[seen].argmax(1)).sum())])], names=["seen", "right"])
+
+        r = base.mapInArrow(run, "seen long, right long").agg(F.sum("right").alias("right"), F.sum("seen").alias("seen")).first()
+        return r["right"] / r["seen"] if r["seen"] else float("nan")
 
     def _proba(self):
         check_is_fitted(self, "trees_")
@@ -153,44 +112,39 @@ class RandomForestClassifier(_Classifier):
         return lambda x: np.mean([t.value[t.leaves(x)] for t in trees], 0)
 
     def predict_proba(self, df: DataFrame, features: str = "features", into: str = "proba") -> DataFrame:
-        return apply_kernel(df, features, into, self._proba())
+        return apply_kernel(df, features, into, self._proba(), width=self.n_features_)
 
     def predict(self, df: DataFrame, features: str = "features", into: str = "prediction") -> DataFrame:
         return self._labelled(df, features, into, self._proba())
 
 
 class AdaBoostClassifier(_Classifier):
-    """SAMME. Each round reweights by the misses of all rounds so far, as a function of the row: no weights are stored."""
+    """SAMME. A table of the rows and their weights goes from round to round: each writes it once, with what its tree says."""
 
     def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, max_depth: int = 1):
         self.n_estimators, self.learning_rate, self.max_depth = n_estimators, learning_rate, max_depth
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None) -> AdaBoostClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, local_cells: int = LOCAL_CELLS) -> AdaBoostClassifier:
         if self.n_estimators < 1 or self.learning_rate <= 0:
             raise ValueError("n_estimators and learning_rate must be positive")
         _, d = check_frame(df, features, target, weight)
-        self.classes_ = classes_of(df, target)
+        self.classes_, self.n_features_ = classes_of(df, target), d
         k = len(self.classes_)
         if k < 2:
             raise ValueError("two classes are needed")
         start = F.col(weight).cast("double") if weight else F.lit(1.0)
-        base = df.select(F.col(features).alias("x"), F.col(target).alias("y"), start.alias("w")).where("w > 0").persist()
-        number = F.array_position(F.array(*[F.lit(c.item()) for c in self.classes_]), F.col("y")).cast("double") - 1
-        rules = Rules("gini", self.max_depth)
+        number = F.array_position(F.array(*[F.lit(c.item()) for c in self.classes_]), F.col(target)).cast("double") - 1
+        state = df.select(F.col(features).alias("x"), number.alias("c"), start.alias("w")).where("w > 0")
+        rules, held = Rules("gini", self.max_depth), None
         self.trees_, self.estimator_weights_, self.estimator_errors_ = [], [], []
-
-        for _ in range(self.n_estimators):
-            trees, alphas = list(self.trees_), list(self.estimator_weights_)
-
-            def misses(x, trees=trees, alphas=alphas):
-                return np.stack([np.zeros(len(x)), *(t.value[t.leaves(x)].argmax(1).astype(float) for t in trees)], 1)
-
-            rows = apply_kernel(base, "x", "__said", misses)
-            log_w = sum((F.when(F.get("__said", F.lit(j + 1)) != number, a).otherwise(0.0) for j, a in enumerate(alphas)), F.lit(0.0))
-            rows = rows.withColumn("w", F.col("w") * F.exp(log_w)).select("x", "y", "w", number.alias("c"))
-            tree = grow(rows.select("x", class_stats(F.col("y"), self.classes_, F.col("w")).alias("s")), k, d, rules)
-            said = apply_kernel(rows, "x", "p", lambda x, t=tree: t.value[t.leaves(x)].argmax(1).astype(float), T.DoubleType())
-            r = said.agg(F.sum(F.when(F.col("p") != F.col("c"), F.col("w")).otherwise(0.0)).alias("bad"), F.sum("w").alias("all")).first()
+        for round_ in range(self.n_estimators):
+            stats = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.when(F.col("c") == j, F.col("w")).otherwise(0.0))
+            tree = grow_all(state.select("x", stats.alias("s")), k, d, rules, [f"boost:{round_}"], local_cells=local_cells)[0]
+            says = apply_kernel(state, "x", "p", lambda x, t=tree: t.value[t.leaves(x)].argmax(1).astype(float), T.DoubleType(), d)
+            last, held = held, Held(says, "boost")
+            if last:
+                last.drop()
+            r = held.df.agg(F.sum(F.when(F.col("p") != F.col("c"), F.col("w")).otherwise(0.0)).alias("bad"), F.sum("w").alias("all")).first()
             err = r["bad"] / r["all"]
             if err <= 0:
                 self.trees_.append(tree)
@@ -199,12 +153,17 @@ class AdaBoostClassifier(_Classifier):
                 break
             if err >= 1 - 1 / k:
                 if not self.trees_:
+                    held.drop()
                     raise ValueError("the first learner is no better than chance")
                 break
+            alpha = self.learning_rate * (np.log((1 - err) / err) + np.log(k - 1))
             self.trees_.append(tree)
-            self.estimator_weights_.append(self.learning_rate * (np.log((1 - err) / err) + np.log(k - 1)))
+            self.estimator_weights_.append(float(alpha))
             self.estimator_errors_.append(err)
-        base.unpersist()
+            # weights add up to one again, so they neither grow nor vanish over many rounds
+            missed = F.when(F.col("p") != F.col("c"), float(np.exp(alpha))).otherwise(1.0)
+            state = held.df.select("x", "c", (F.col("w") * missed / (r["all"] + r["bad"] * (float(np.exp(alpha)) - 1))).alias("w"))
+        held.drop()
         w = np.array(self.estimator_weights_)
         total = sum(a * t.importances(d) for a, t in zip(w, self.trees_))
         self.feature_importances_ = total / total.sum() if total.sum() else total
@@ -227,12 +186,12 @@ class AdaBoostClassifier(_Classifier):
         """An array by class; for two classes one number, the second's lead."""
         votes = self._votes()
         if len(self.classes_) == 2:
-            return apply_kernel(df, features, into, lambda x: (v := votes(x))[:, 1] - v[:, 0], T.DoubleType())
-        return apply_kernel(df, features, into, votes)
+            return apply_kernel(df, features, into, lambda x: (v := votes(x))[:, 1] - v[:, 0], T.DoubleType(), self.n_features_)
+        return apply_kernel(df, features, into, votes, width=self.n_features_)
 
     def predict_proba(self, df: DataFrame, features: str = "features", into: str = "proba") -> DataFrame:
         votes, k = self._votes(), len(self.classes_)
-        return apply_kernel(df, features, into, lambda x: _softmax(votes(x) / (k - 1)))
+        return apply_kernel(df, features, into, lambda x: _softmax(votes(x) / (k - 1)), width=self.n_features_)
 
     def predict(self, df: DataFrame, features: str = "features", into: str = "prediction") -> DataFrame:
         return self._labelled(df, features, into, self._votes())
@@ -246,17 +205,38 @@ class AdaBoostClassifier(_Classifier):
             yield said.agg(F.avg((F.col("__p") == F.col(target)).cast("double")).alias("v")).first()["v"]
 
 
+def _chances(raw: Column, k: int) -> Column:
+    """Class chances of raw scores: of the second of two classes, or of each of more."""
+    return F.transform(raw, expr.sigmoid) if k == 2 else expr.softmax(raw)
+
+
+def _moved(rows: DataFrame, values: list[np.ndarray], rate: float) -> DataFrame:
+    """rows with `raw` moved by rate times the value of each tree's leaf."""
+    held = [c for c in rows.columns if c != "raw"]
+
+    def run(batches):
+        for batch in batches:
+            leaf, raw = matrix(batch.column("leaf")).astype(int), matrix(batch.column("raw"))
+            new = raw + rate * np.stack([v[leaf[:, c]] for c, v in enumerate(values)], 1) if batch.num_rows else raw
+            ends = pa.array(np.arange(0, new.size + 1, len(values)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.ListArray.from_arrays(ends, pa.array(new.ravel()))], names=[*held, "raw"])
+
+    schema = T.StructType([*(rows.schema[c] for c in held), rows.schema["raw"]])
+    return rows.select(*held, "raw").mapInArrow(run, schema)
+
+
 class GradientBoostingClassifier(_Classifier):
     """Log-loss boosting of regression trees with Newton leaves; several classes get a tree each a round."""
 
     def __init__(self, learning_rate: float = 0.1, n_estimators: int = 100, subsample: float = 1.0, max_depth: int = 3, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, max_features=None, init: str = "prior", random_state=None):
         self.learning_rate, self.n_estimators, self.subsample, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.init, self.random_state = learning_rate, n_estimators, subsample, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, init, random_state
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, key: str = "row_id") -> GradientBoostingClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, key: str = "row_id", local_cells: int = LOCAL_CELLS) -> GradientBoostingClassifier:
+        """Rows and their raw scores go from round to round in a table: each round writes it once, with the leaves of its own trees."""
         if self.learning_rate <= 0 or self.n_estimators < 1 or not 0 < self.subsample <= 1 or self.init not in ("prior", "zero"):
             raise ValueError("bad boosting parameters")
         n, d = check_frame(df, features, target, weight)
-        self.classes_ = classes_of(df, target)
+        self.classes_, self.n_features_ = classes_of(df, target), d
         k = len(self.classes_)
         if k < 2:
             raise ValueError("two classes are needed")
@@ -264,37 +244,41 @@ class GradientBoostingClassifier(_Classifier):
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         hot = F.array(*[(F.col(target) == F.lit(c.item())).cast("double") for c in (self.classes_[1:] if k == 2 else self.classes_)])
         name = F.xxhash64(*([key] if key in df.columns else [features, target]))
-        base = df.select(F.col(features).alias("x"), hot.alias("hot"), w.alias("w"), name.alias("name")).persist()
+        base = df.select(F.col(features).alias("x"), hot.alias("hot"), w.alias("w"), name.alias("name"))
         shares = base.agg(*[(F.sum(F.col("w") * F.get("hot", F.lit(c))) / F.sum("w")).alias(f"p{c}") for c in range(outputs)]).first()
         p = np.clip([shares[f"p{c}"] for c in range(outputs)], 1e-12, 1 - 1e-12)
         self.init_ = np.zeros(outputs) if self.init == "zero" else np.log(p / (1 - p)) if k == 2 else np.log(p)
         rules = Rules("squared_error", self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features)
         rng = check_random_state(self.random_state)
-        factor = 1.0 if k == 2 else (k - 1) / k
-        self.trees_, self.train_score_ = [], []
+        factor, rate = 1.0 if k == 2 else (k - 1) / k, self.learning_rate
+        self.trees_, self.train_score_, held = [], [], None
+        state = base.withColumn("raw", F.array(*[F.lit(float(v)) for v in self.init_]))
         for round_ in range(self.n_estimators):
-            raw = self._raw(len(self.trees_))
-            proba = (lambda x, raw=raw: 1 / (1 + np.exp(-raw(x)))) if k == 2 else (lambda x, raw=raw: _softmax(raw(x)))
-            rows = apply_kernel(base, "x", "p", proba)
+            rest = F.zip_with("hot", _chances(F.col("raw"), k), lambda y, q: y - q)
+            bag = F.lit(True)
             if self.subsample < 1:
-                seed = int(rng.integers(2**31))
-                u = F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(1 << 40))
-                keep = round(self.subsample * n)
-                rows = rows.where(u <= _smallest(rows.select(u.alias("u")), keep))
-            grown = []
-            for c in range(outputs):
-                r = F.get("hot", F.lit(c)) - F.get("p", F.lit(c))
-                tree = grow(rows.where("w > 0").select("x", moment_stats(r, F.col("w")).alias("s")), 3, d, rules, rng)
-                leaf = apply_kernel(rows.select("x", "w", r.alias("r")), "x", "leaf", lambda x, t=tree: t.leaves(x), T.LongType())
-                h = F.abs("r") * (1 - F.abs("r"))
-                got = leaf.groupBy("leaf").agg(F.sum(F.col("w") * F.col("r")).alias("a"), F.sum(F.col("w") * h).alias("b")).collect()
+                u = F.pmod(F.xxhash64("name", F.lit(int(rng.integers(2**31)))), F.lit(1 << 40))
+                bag = u <= _smallest(state.select(u.alias("u")), round(self.subsample * n))
+            rows = state.withColumn("rest", rest).withColumn("bag", bag & (F.col("w") > 0))
+            moments = F.flatten(F.transform("rest", lambda r: moment_stats(r, F.col("w"))))
+            keys = [f"{int(rng.integers(2**31))}:{c}" for c in range(outputs)]
+            grown = grow_all(rows.where("bag").select("x", moments.alias("s")), 3, d, rules, keys, shared=False, local_cells=local_cells)
+            leaves = apply_kernel(rows, "x", "leaf", lambda x, ts=grown: np.stack([t.leaves(x) for t in ts], 1).astype(float), width=d)
+            last, held = held, Held(leaves, "boost")
+            if last:
+                last.drop()
+            each = held.df.where("bag").select("w", F.posexplode(F.arrays_zip("leaf", "rest")).alias("c", "z")).select("c", "w", "z.leaf", F.col("z.rest").alias("r"))
+            steep = F.abs("r") * (1 - F.abs("r"))
+            sums = each.groupBy("c", F.col("leaf").cast("int").alias("leaf")).agg(F.sum(F.col("w") * F.col("r")).alias("a"), F.sum(F.col("w") * steep).alias("b"))
+            for tree in grown:
                 tree.value = np.zeros((len(tree.feature), 1))
-                for g in got:
-                    tree.value[g["leaf"], 0] = factor * g["a"] / g["b"] if g["b"] >= 1e-12 else 0.0
-                grown.append(tree)
+            for g in sums.collect():  # one row a leaf
+                grown[g["c"]].value[g["leaf"], 0] = factor * g["a"] / g["b"] if g["b"] >= 1e-12 else 0.0
+            values = [t.value[:, 0] for t in grown]
+            state = _moved(held.df, values, rate).select("x", "hot", "w", "name", "raw")
             self.trees_.append(grown)
-            self.train_score_.append(self._deviance(base, self._raw(len(self.trees_)), k))
-        base.unpersist()
+            self.train_score_.append(self._deviance(state, k))
+        held.drop()
         total = sum(t.importances(d) for ts in self.trees_ for t in ts)
         self.feature_importances_ = total / total.sum() if total.sum() else total
         return self
@@ -304,17 +288,14 @@ class GradientBoostingClassifier(_Classifier):
         return lambda x: start + rate * sum((np.stack([t.value[t.leaves(x), 0] for t in ts], 1) for ts in trees), np.zeros((len(x), len(start))))
 
     @staticmethod
-    def _deviance(base, raw, k):
+    def _deviance(state: DataFrame, k: int) -> float:
         """Weighted mean log-loss."""
-        rows = apply_kernel(base, "x", "z", raw)
         if k == 2:
-            z, y = F.get("z", F.lit(0)), F.get("hot", F.lit(0))
+            z, y = F.get("raw", F.lit(0)), F.get("hot", F.lit(0))
             loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
         else:
-            from quillon.functions import expr
-
-            loss = expr.logsumexp(F.col("z")) - expr.dot(F.col("z"), F.col("hot"))
-        return rows.agg((F.sum(F.col("w") * loss) / F.sum("w")).alias("v")).first()["v"]
+            loss = expr.logsumexp(F.col("raw")) - expr.dot(F.col("raw"), F.col("hot"))
+        return state.agg((F.sum(F.col("w") * loss) / F.sum("w")).alias("v")).first()["v"]
 
     def _proba(self, rounds=None):
         check_is_fitted(self, "trees_")
@@ -327,14 +308,14 @@ class GradientBoostingClassifier(_Classifier):
         check_is_fitted(self, "trees_")
         raw = self._raw(rounds)
         if len(self.classes_) == 2:
-            return apply_kernel(df, features, into, lambda x: raw(x)[:, 0], T.DoubleType())
-        return apply_kernel(df, features, into, raw)
+            return apply_kernel(df, features, into, lambda x: raw(x)[:, 0], T.DoubleType(), self.n_features_)
+        return apply_kernel(df, features, into, raw, width=self.n_features_)
 
     def decision_function(self, df: DataFrame, features: str = "features", into: str = "decision") -> DataFrame:
         return self._decision(df, features, into)
 
     def predict_proba(self, df: DataFrame, features: str = "features", into: str = "proba") -> DataFrame:
-        return apply_kernel(df, features, into, self._proba())
+        return apply_kernel(df, features, into, self._proba(), width=self.n_features_)
 
     def predict(self, df: DataFrame, features: str = "features", into: str = "prediction") -> DataFrame:
         return self._labelled(df, features, into, self._proba())
@@ -345,7 +326,7 @@ class GradientBoostingClassifier(_Classifier):
 
     def staged_predict_proba(self, df: DataFrame, features: str = "features", into: str = "proba") -> Iterator[DataFrame]:
         for n in range(1, len(self.trees_) + 1):
-            yield apply_kernel(df, features, into, self._proba(n))
+            yield apply_kernel(df, features, into, self._proba(n), width=self.n_features_)
 
     def staged_predict(self, df: DataFrame, features: str = "features", into: str = "prediction") -> Iterator[DataFrame]:
         for n in range(1, len(self.trees_) + 1):

@@ -18,7 +18,7 @@ from quillon.operators import optimizers as O
 from quillon.operators.bayes import GaussianNB
 from quillon.operators.cluster import DBSCAN, GaussianMixture, KMeans
 from quillon.operators.decomposition import PCA
-from quillon.operators.ensemble import AdaBoostClassifier, GradientBoostingClassifier, RandomForestClassifier
+from quillon.operators.ensemble import POISSON, AdaBoostClassifier, GradientBoostingClassifier, RandomForestClassifier
 from quillon.operators.layers import LSTM, RNN, Linear, MSELoss, Tanh, Trainer
 from quillon.operators.linear import Lasso, LinearRegression, LinearSVM, LogisticRegression, Ridge
 from quillon.operators.neighbors import KNeighborsClassifier
@@ -334,13 +334,86 @@ def adaboost_first_round(spark, sf):
     return one_row(spark, error=m.estimator_errors_[0], alpha=m.estimator_weights_[0]).select(r6("error", "error"), r6("alpha", "alpha"))
 
 
-@query()
+def tree_sql(depth: int, d: int, criterion: str, name: str = "", min_leaf: int = 1, draw: tuple | None = None) -> str:
+    """CTEs that grow trees from {name}r0(t, node, c, w, y, x0, ...), a row for each row and tree, to {name}r<depth>.
+
+    Nodes are numbered from 1, the children of k are 2k and 2k + 1. draw = (seed, features tried at a node).
+    """
+    share = lambda p: f"(CASE WHEN {p} > 0 THEN -({p}) * log2({p}) ELSE 0 END)"
+    of = {
+        "gini": lambda n, a, q: f"(CASE WHEN ({n}) > 0 THEN 1 - pow(({a}) / ({n}), 2) - pow((({n}) - ({a})) / ({n}), 2) ELSE 0 END)",
+        "entropy": lambda n, a, q: f"(CASE WHEN ({n}) > 0 THEN {share(f'(({a}) / ({n}))')} + {share(f'((({n}) - ({a})) / ({n}))')} ELSE 0 END)",
+        "squared_error": lambda n, a, q: f"(CASE WHEN ({n}) > 0 THEN greatest(({q}) / ({n}) - pow(({a}) / ({n}), 2), 0) ELSE 0 END)",
+    }[criterion]
+    whole, left, right = of("tn", "ta", "tq"), of("ln", "la", "lq"), of("tn - ln", "ta - la", "tq - lq")
+    scale = "nullif(imp, 0)" if criterion == "squared_error" else "1"
+    out = []
+    for k in range(depth):
+        r, e, b = f"{name}r{k}", f"{name}e{k}", f"{name}b{k}"
+        long = " UNION ALL ".join(f"SELECT t, node, {f} AS f, x{f} AS v, c, w, y FROM {r}" for f in range(d))
+        out.append(f"{e} AS (SELECT t, node, f, v, sum(c)::DOUBLE AS c, sum(w)::DOUBLE AS n, sum(w * y)::DOUBLE AS a, sum(w * y * y)::DOUBLE AS q FROM ({long}) GROUP BY 1, 2, 3, 4)")
+        tried = f"SELECT DISTINCT t, node, f FROM {e}"
+        if draw:
+            seed, most = draw
+            tried = f"SELECT t, node, f FROM (SELECT *, row_number() OVER (PARTITION BY t, node ORDER BY md5('{seed}:' || t || ':' || node || ':' || f)) AS k FROM (SELECT t, node, f FROM {e} GROUP BY 1, 2, 3 HAVING count(*) > 1)) WHERE k <= {most}"
+        sums = ", ".join(f"sum({c}) OVER o AS l{c}, sum({c}) OVER (PARTITION BY t, node, f) AS t{c}" for c in "cnaq")
+        out.append(f"{name}w{k} AS (SELECT t, node, f, v, lag(v) OVER (PARTITION BY t, node, f ORDER BY v) AS pv, {sums} FROM {e} JOIN ({tried}) USING (t, node, f) WINDOW o AS (PARTITION BY t, node, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
+        out.append(f"{name}g{k} AS (SELECT t, node, f, (v + pv) / 2 AS cut, {whole} AS imp, {whole} - (ln * {left} + (tn - ln) * {right}) / tn AS gain, tc, lc, ln, la, tn, ta FROM {name}w{k} WHERE pv IS NOT NULL AND lc >= {min_leaf} AND tc - lc >= {min_leaf})")
+        out.append(f"{b} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, node ORDER BY round(gain / {scale}, 11) DESC, f, cut) AS k FROM {name}g{k}) WHERE k = 1 AND gain > 1e-12 * {scale})")
+        at = "CASE b.f " + " ".join(f"WHEN {f} THEN r.x{f}" for f in range(d)) + " END"
+        out.append(f"{name}r{k + 1} AS (SELECT r.* REPLACE (CASE WHEN b.f IS NULL THEN r.node ELSE 2 * r.node + ({at} > b.cut)::INT END AS node) FROM {r} r LEFT JOIN {b} b ON r.t = b.t AND r.node = b.node)")
+    return ", ".join(out)
+
+
+def nodes_sql(depth: int, mean: str) -> str:
+    """(tree, place, feature, threshold, n, value) of all nodes of tree_sql() without a name."""
+    inner = " UNION ALL ".join(f"SELECT t, node, f, cut, tc AS c, {mean.format(n='tn', a='ta')} AS value FROM b{k}" for k in range(depth))
+    return f"SELECT t::BIGINT AS tree, node::BIGINT AS place, f::BIGINT AS feature, round(cut, 6) + 0.0 AS threshold, c::BIGINT AS n, round(value, 6) + 0.0 AS value FROM ({inner} UNION ALL SELECT t, node, -1, 0, sum(c), {mean.format(n='sum(w)', a='sum(w * y)')} FROM r{depth} GROUP BY 1, 2)"
+
+
+def tree_nodes(spark, trees, column: int, shift: float = 0.0) -> DataFrame:
+    rows = [(t, tree.place[k], int(tree.feature[k]), float(tree.threshold[k]), tree.rows[k], float(tree.value[k, column] + shift)) for t, tree in enumerate(trees) for k in range(len(tree.feature))]
+    return spark.createDataFrame(rows, "tree long, place long, feature long, threshold double, n long, value double").withColumns({"threshold": r6("threshold", "threshold"), "value": r6("value", "value")})
+
+
+GRADED_ROWS = "SELECT 0 AS t, 1 AS node, 1 AS c, 1.0::DOUBLE AS w, quality::DOUBLE AS y, n_chars::DOUBLE AS x0, d.doc_id::DOUBLE AS x1, d.doc_id AS id FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+ITEM_ROWS = "SELECT 0 AS t, 1 AS node, 1 AS c, 1.0::DOUBLE AS w, (l_returnflag = 'R')::INT::DOUBLE AS y, l_quantity AS x0, l_extendedprice AS x1, l_discount AS x2, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id FROM lineitem"
+SEED_0 = int(np.random.default_rng(0).integers(2**31))
+
+
+def items(spark, sf) -> DataFrame:
+    """Line items by quantity, price and discount; the class says whether they came back."""
+    li = table(spark, sf, "lineitem")
+    return feature_columns(li, ["l_quantity", "l_extendedprice", "l_discount"]).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row_id"), "features", (F.col("l_returnflag") == "R").cast("long").alias("y"))
+
+
+def bags_sql(rows: str, trees: int) -> str:
+    """The rows in each tree's bag, as often as the MD5 of `id:seed:tree` says."""
+    u = f"('0x' || substr(md5(id || ':{SEED_0}:' || t), 1, 12))::BIGINT / 281474976710656.0"
+    count = " + ".join(f"(u >= {float(c)!r}::DOUBLE)::INT" for c in POISSON)
+    return f"r0 AS (SELECT * EXCLUDE (u, n) REPLACE (n::DOUBLE AS w, n AS c) FROM (SELECT *, {count} AS n FROM (SELECT *, {u} AS u FROM (SELECT r.* REPLACE (z.t AS t) FROM ({rows}) r, (SELECT unnest(range({trees})) AS t) z))) WHERE n > 0)"
+
+
+@query(f"WITH r0 AS ({GRADED_ROWS}), {tree_sql(4, 2, 'entropy', min_leaf=5)}, l AS (SELECT node, sum(y) / count(*) AS p FROM r4 GROUP BY 1) SELECT id AS row_id, (p > 0.5)::BIGINT AS prediction, round(greatest(p, 1 - p), 6) AS share FROM r4 JOIN l USING (node)")
 def decision_tree_predict(spark, sf):
     df = graded(spark, sf)
     m = DecisionTreeClassifier("entropy", max_depth=4, min_samples_leaf=5).fit(df)
     return m.predict(m.predict_proba(df)).select("row_id", "prediction", r6(F.array_max("proba"), "share"))
 
 
+@query(f"WITH r0 AS ({ITEM_ROWS}), {tree_sql(2, 3, 'gini')} {nodes_sql(2, '({a}) / ({n})')}")
+def decision_tree_levels(spark, sf):
+    """Every level by prefix scan: no node is left to one task."""
+    m = DecisionTreeClassifier(max_depth=2).fit(items(spark, sf), local_cells=0)
+    return tree_nodes(spark, [m.tree_], 1)
+
+
+@query(f"WITH r0 AS (SELECT * EXCLUDE (x1, x2) REPLACE (x1 AS y), x2 AS x1 FROM ({ITEM_ROWS})), {tree_sql(2, 2, 'squared_error')} {nodes_sql(2, '({a}) / ({n})').replace('round(value, 6)', 'round(value, 2)')}")
+def regression_tree_levels(spark, sf):
+    m = DecisionTreeRegressor(max_depth=2).fit(prices(spark, sf), local_cells=0)
+    return tree_nodes(spark, [m.tree_], 0, m.center_).withColumn("value", r6("value", "value", 2))
+
+
 @query("""WITH u AS (SELECT 0 AS f, l_quantity AS v, l_extendedprice AS y FROM lineitem UNION ALL SELECT 1, l_discount, l_extendedprice FROM lineitem),
 e AS (SELECT f, v, count(*) AS n, sum(y - (SELECT avg(l_extendedprice) FROM lineitem)) AS a FROM u GROUP BY 1, 2),
 w AS (SELECT f, v, lead(v) OVER o AS nx, sum(n) OVER o AS ln, sum(a) OVER o AS la, sum(n) OVER (PARTITION BY f) AS tn, sum(a) OVER (PARTITION BY f) AS ta FROM e WINDOW o AS (PARTITION BY f ORDER BY v)),
@@ -352,27 +425,90 @@ def regression_tree_root(spark, sf):
     return spark.createDataFrame([(t.feature[0], float(t.threshold[0]), t.rows[1], float(t.value[1, 0] + m.center_))], "feature long, threshold double, n_left long, left_mean double").select("feature", r6("threshold", "threshold"), "n_left", r6("left_mean", "left_mean", 2))
 
 
-@query()
+@query(f"WITH {bags_sql(GRADED_ROWS, 10)}, {tree_sql(5, 2, 'gini', draw=(SEED_0, 1))}, "
+       f"n0 AS (SELECT z.t, 1 AS node, r.* EXCLUDE (t, node) FROM ({GRADED_ROWS}) r, (SELECT unnest(range(10)) AS t) z), "
+       + ", ".join(f"n{k + 1} AS (SELECT r.* REPLACE (CASE WHEN b.f IS NULL THEN r.node ELSE 2 * r.node + (CASE b.f WHEN 0 THEN r.x0 WHEN 1 THEN r.x1 END > b.cut)::INT END AS node) FROM n{k} r LEFT JOIN b{k} b ON r.t = b.t AND r.node = b.node)" for k in range(5))
+       + ", l AS (SELECT t, node, sum(w * y) / sum(w) AS p FROM r5 GROUP BY 1, 2), p AS (SELECT id, avg(p) AS p FROM n5 JOIN l USING (t, node) GROUP BY 1) SELECT id AS row_id, (p > 0.5)::BIGINT AS prediction, round(greatest(p, 1 - p), 6) AS share FROM p")
 def random_forest(spark, sf):
     df = graded(spark, sf)
     m = RandomForestClassifier(10, max_depth=5, oob_score=True, random_state=0).fit(df)
     return m.predict(m.predict_proba(df)).select("row_id", "prediction", r6(F.array_max("proba"), "share"))
 
 
-@query()
+@query(f"WITH {bags_sql(ITEM_ROWS, 3)}, {tree_sql(2, 3, 'gini', draw=(SEED_0, 1))} {nodes_sql(2, '({a}) / ({n})')}")
+def random_forest_levels(spark, sf):
+    """Three trees as one frontier, every level by prefix scan."""
+    m = RandomForestClassifier(3, max_depth=2, random_state=0).fit(items(spark, sf), local_cells=0)
+    return tree_nodes(spark, m.trees_, 1)
+
+
+def samme_sql(rows: str, d: int, rounds: int) -> str:
+    """a<k>(err, alpha) and s<k>r1 (rows with their stump's node) of each round, and p(round, id, y, lead): the running decision."""
+    parts, said = [f"s0r0 AS ({rows})"], []
+    for k in range(rounds):
+        parts.append(tree_sql(1, d, "gini", f"s{k}"))
+        parts.append(f"v{k} AS (SELECT r.*, (l.a * 2 > l.n)::INT AS p FROM s{k}r1 r JOIN (SELECT node, sum(w) AS n, sum(w * y) AS a FROM s{k}r1 GROUP BY 1) l USING (node))")
+        parts.append(f"a{k} AS (SELECT err, ln((1 - err) / err) AS alpha FROM (SELECT sum(CASE WHEN p <> y THEN w ELSE 0 END) / sum(w) AS err FROM v{k}))")
+        parts.append(f"s{k + 1}r0 AS (SELECT * REPLACE (w / sum(w) OVER () AS w) FROM (SELECT v.* EXCLUDE (p) REPLACE (CASE WHEN p <> y THEN w * exp(alpha) ELSE w END AS w, 1 AS node) FROM v{k} v, a{k}))")
+        said.append(f"SELECT {k + 1} AS round, id, y, alpha, CASE WHEN p = 1 THEN alpha ELSE -alpha END AS vote FROM v{k}, a{k}")
+    parts.append(f"p AS (SELECT round, id, y, 2 * sum(vote) OVER o / sum(alpha) OVER o AS lead FROM ({' UNION ALL '.join(said)}) WINDOW o AS (PARTITION BY id ORDER BY round))")
+    return ", ".join(parts)
+
+
+@query(f"WITH {samme_sql(GRADED_ROWS, 2, 3)} SELECT round::BIGINT AS round, round(avg(((lead > 0)::INT = y)::INT), 6) AS accuracy FROM p GROUP BY 1")
 def adaboost_staged(spark, sf):
     df = graded(spark, sf)
     m = AdaBoostClassifier(3, max_depth=1).fit(df)
-    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(m.staged_score(df), 1)], "round long, accuracy double")
+    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(m.staged_score(df), 1)], "round long, accuracy double").select("round", r6("accuracy", "accuracy"))
 
 
-@query()
+@query(f"WITH {samme_sql(GRADED_ROWS, 2, 3)} SELECT id AS row_id, round(lead, 6) + 0.0 AS decision, (lead > 0)::BIGINT AS prediction FROM p WHERE round = 3")
+def adaboost_decision(spark, sf):
+    df = graded(spark, sf)
+    m = AdaBoostClassifier(3, max_depth=1).fit(df)
+    return m.predict(m.decision_function(df)).select("row_id", r6("decision", "decision"), "prediction")
+
+
+@query(f"WITH {samme_sql(ITEM_ROWS, 3, 3)} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS round, round(err, 6) AS error, round(alpha, 6) + 0.0 AS alpha, f::BIGINT AS feature, round(cut, 6) + 0.0 AS threshold FROM a{k}, s{k}b0" for k in range(3)))
+def adaboost_rounds(spark, sf):
+    m = AdaBoostClassifier(3).fit(items(spark, sf), local_cells=0)
+    rows = [(k, float(e), float(a), int(t.feature[0]), float(t.threshold[0])) for k, (e, a, t) in enumerate(zip(m.estimator_errors_, m.estimator_weights_, m.trees_, strict=True))]
+    df = spark.createDataFrame(rows, "round long, error double, alpha double, feature long, threshold double")
+    return df.select("round", r6("error", "error"), r6("alpha", "alpha"), "feature", r6("threshold", "threshold"))
+
+
+def boosting_sql(rows: str, d: int, rounds: int, depth: int, rate: float) -> str:
+    """z<k>(id, y1, raw): raw scores after k rounds of two-class boosting."""
+    source = f"SELECT *, y AS y1 FROM ({rows})"
+    parts = [f"src AS ({source})", "z0 AS (SELECT src.*, ln(p / (1 - p)) AS raw FROM src, (SELECT avg(y1) AS p FROM src))"]
+    for k in range(rounds):
+        parts.append(f"g{k}r0 AS (SELECT * REPLACE (y1 - 1 / (1 + exp(-raw)) AS y, 1 AS node) FROM z{k})")
+        parts.append(tree_sql(depth, d, "squared_error", f"g{k}"))
+        leaf = f"SELECT node, CASE WHEN sum(abs(y) * (1 - abs(y))) >= 1e-12 THEN sum(y) / sum(abs(y) * (1 - abs(y))) ELSE 0 END AS v FROM g{k}r{depth} GROUP BY 1"
+        parts.append(f"z{k + 1} AS (SELECT r.* REPLACE (raw + {rate} * v AS raw) FROM g{k}r{depth} r JOIN ({leaf}) l USING (node))")
+    return ", ".join(parts)
+
+
+@query(f"WITH {boosting_sql(GRADED_ROWS, 2, 3, 2, 0.1)} SELECT id AS row_id, (raw > 0)::BIGINT AS prediction, round(raw, 6) + 0.0 AS decision FROM z3")
 def gradient_boosting(spark, sf):
     df = graded(spark, sf)
     m = GradientBoostingClassifier(n_estimators=3, max_depth=2).fit(df)
     return m.predict(m.decision_function(df)).select("row_id", "prediction", r6("decision", "decision"))
 
 
+@query(f"WITH {boosting_sql(ITEM_ROWS, 3, 2, 2, 0.3)}, s AS (SELECT 1 AS round, raw, y1 FROM z1 UNION ALL SELECT 2, raw, y1 FROM z2) SELECT round::BIGINT AS round, round(avg(greatest(raw, 0) + ln(1 + exp(-abs(raw))) - y1 * raw), 8) AS deviance, round(avg(raw), 6) + 0.0 AS mean_decision, round(avg(((raw > 0)::INT = y1)::INT), 6) AS accuracy FROM s GROUP BY 1")
+def gradient_boosting_staged(spark, sf):
+    """Two rounds whose trees grow by prefix scan throughout."""
+    df = items(spark, sf)
+    m = GradientBoostingClassifier(0.3, n_estimators=2, max_depth=2).fit(df, local_cells=0)
+    out = None
+    for k, (raw, said) in enumerate(zip(m.staged_decision_function(df), m.staged_predict(df), strict=True), 1):
+        one = raw.agg(F.avg("decision").alias("m")).crossJoin(said.agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a")))  # one row each
+        one = one.select(F.lit(k).cast("long").alias("round"), r6(F.lit(m.train_score_[k - 1]), "deviance", 8), r6("m", "mean_decision"), r6("a", "accuracy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- clustering and decomposition -------------------------------------------------------------------------------------
 
 STARTS = [[0.0, 4.0], [4.0, 12.0], [8.0, 20.0]]
