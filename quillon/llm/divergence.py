@@ -15,19 +15,20 @@ where zero is the share of a term that the source lacks. Only the third line joi
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.storage import drop, written
+from quillon.llm.storage import written
 
 #: A term: a run of letters A to Z and code points beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 MIN_DOCUMENTS, TOP_TERMS = 3, 200
 #: A task sends on what it has counted when it holds so many different terms.
-HELD = 200_000
+HELD = 500_000
 #: Parts into which the sources of a language are dealt to meet each other.
 SALTS = 16
 
@@ -39,43 +40,54 @@ def term_counts(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term, and a row of null term for each group.
 
     Null text, lang and source are ''. Tasks count before anything is shuffled, holding at most HELD terms and the
-    terms of one document.
+    terms of one document. The rows of a term of a language come together whatever their source.
     """
 
     def run(batches):
         find = re.compile(TERM).findall
-        counts: dict[tuple, list] = {}
+        counts: dict[tuple, tuple[Counter, Counter]] = {}
+        held = 0
 
         def flush():
-            keys = list(counts)
-            columns = [*([k[j] for k in keys] for j in range(3)), *([v[j] for v in counts.values()] for j in range(2))]
-            kinds = [pa.string()] * 3 + [pa.int64()] * 2
+            for (lang, source), (n, docs) in counts.items():
+                columns = [pa.array([None, *n], pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())]
+                group = [pa.repeat(pa.scalar(x, pa.string()), len(n) + 1) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*group, *columns], names=["lang", "source", "term", "n", "docs"])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for text, lang, source in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
-                counts.setdefault((lang, source, None), [0, 0])
-                own: dict[str, int] = {}
-                for term in find(text.translate(_LOWER)):
-                    own[term] = own.get(term, 0) + 1
-                for term, n in own.items():
-                    both = counts.setdefault((lang, source, term), [0, 0])
-                    both[0] += n
-                    both[1] += 1
-                if len(counts) >= HELD:
-                    yield flush()
-        if counts:
-            yield flush()
+                found = find(text.translate(_LOWER))
+                n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+                before = len(n)
+                n.update(found)
+                docs.update(set(found))
+                held += len(n) - before
+                if held >= HELD:
+                    yield from flush()
+                    held = 0
+        yield from flush()
 
     rows = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return rows.mapInArrow(run, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return rows.mapInArrow(run, _COUNTS).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def kept_counts(counts: DataFrame, min_documents: int) -> DataFrame:
+    """(lang, source, term, n, lang_n, held_by, first): the terms in at least min_documents of their language's documents, and the groups' rows of null term.
+
+    lang_n and held_by are the term's occurrences and sources in the language; one row of each term is marked first.
+    """
+    of_term = Window.partitionBy("lang", "term")
+    rows = counts.select("*", F.sum("docs").over(of_term).alias("all_docs"), F.sum("n").over(of_term).alias("lang_n"), F.count("*").over(of_term).alias("held_by"), F.min("source").over(of_term).alias("least"))
+    rows = rows.where(F.col("term").isNull() | (F.col("all_docs") >= min_documents))
+    return rows.select("lang", "source", "term", "n", "lang_n", "held_by", (F.col("source") == F.col("least")).alias("first"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + terms)), exact for counts up to 10 ** 18."""
     whole = lambda c: c.cast("decimal(19,0)")
-    return F.call_function("div", whole(count + 1) * F.lit(SCALE).cast("decimal(10,0)"), whole(total + terms)) + 1
+    wide = F.call_function("div", whole(count + 1) * F.lit(SCALE).cast("decimal(10,0)"), whole(total + terms))
+    return F.when(count < 2**63 // SCALE - 1, F.call_function("div", (count + 1) * SCALE, total + terms)).otherwise(wide) + 1
 
 
 def price(p: Column, q: Column) -> Column:
@@ -92,18 +104,15 @@ def audit(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = T
     of no kept term at all, all distances are 0. Ranks go by value descending, then by item's bytes. Repeated rows count
     each time; other columns are ignored. Sums beyond a long raise an error.
     """
-    counted = written(term_counts(documents), "terms")
-    whole = counted.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents).drop("docs")
-    langs = whole.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    kept = counted.where("term is not null").drop("docs").join(whole, ["lang", "term"])
-    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
-    groups = counted.where("term is null").select("lang", "source").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left").na.fill(0, ["terms", "lang_total", "total", "own"])
+    kept = written(kept_counts(term_counts(documents), min_documents), "terms")
+    counts = kept.where("term is not null")
+    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"), F.sum(F.col("first").cast("long")).alias("new"))
+    langs = sizes.groupBy("lang").agg(F.sum("new").alias("terms"), F.sum("total").alias("lang_total"))
+    groups = kept.where("term is null").select("lang", "source").join(langs, "lang", "left").join(sizes.drop("new"), ["lang", "source"], "left").na.fill(0, ["terms", "lang_total", "total", "own"])
     groups = groups.withColumn("zero", F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))))
     groups = written(groups, "groups")
-    postings = kept.join(groups.drop("own"), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
-    postings = postings.withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))).select("lang", "source", "term", "n", "p", "q", "zero")
-    postings = written(postings, "postings")
-    drop(documents.sparkSession, counted.scratch_path)
+    postings = counts.join(groups.drop("own"), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
+    postings = postings.withColumn("q", share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))).select("lang", "source", "term", "held_by", "p", "q", "zero")
 
     first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda rows, part: rows.withColumn("rank", F.row_number().over(first)).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
@@ -125,6 +134,7 @@ def pair_prices(groups: DataFrame, postings: DataFrame) -> DataFrame:
     there = sided.select("lang", F.col("a_source").alias("source"), F.col("b_source").alias("item"), (F.col("m") * price(F.col("p"), F.col("b_zero"))).alias("value"))
     back = sided.select("lang", F.col("b_source").alias("source"), F.col("a_source").alias("item"), (F.col("m") * price(F.col("b_zero"), F.col("p"))).alias("value"))
 
+    postings = postings.where("held_by > 1")
     x = postings.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("pa"), F.col("zero").alias("za"))
     y = postings.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("pb"), F.col("zero").alias("zb"))
     common = x.join(y, ["lang", "term"]).where("a < b")
