@@ -1,10 +1,9 @@
-"""Clustering: k-means and Gaussian mixtures by one aggregate a step, DBSCAN by grid join and components."""
+"""Clustering: k-means and Gaussian mixtures by one aggregate a step. DBSCAN has a module of its own."""
 
 from __future__ import annotations
 
 import math
 import warnings
-from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,9 @@ from pyspark.sql import functions as F
 from quillon.functions import expr
 from quillon.functions.base import ConvergenceWarning, Estimator, check_frame, check_is_fitted, check_random_state, of_width, vector
 from quillon.functions.stats import matrix, moments, sums
+from quillon.operators.density import DBSCAN
+
+__all__ = ["DBSCAN", "GaussianMixture", "KMeans"]
 
 
 def center_distances(features: str, centers: np.ndarray) -> Column:
@@ -130,66 +132,6 @@ class KMeans(Estimator):
         return -df.agg(F.sum(F.array_min(self._distances(features))).alias("v")).first()["v"]
 
 
-def components(edges: DataFrame, checkpoint_every: int = 3) -> DataFrame:
-    """(node, component) with the smallest reachable node: minimum labels travel along edges(a, b) and jump.
-
-    Lineage is cut by checkpoint() where the session names a checkpoint folder.
-    """
-    sym = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    can_cut = bool(edges.sparkSession.sparkContext.getCheckpointDir())
-    sym = sym.checkpoint() if can_cut else sym.persist()
-    label = sym.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "node")
-    while True:
-        near = sym.join(label, sym.b == label.node).groupBy("a").agg(F.min("c").alias("n")).withColumnRenamed("a", "node")
-        new = label.join(near, "node").select("node", F.least("c", "n").alias("c"))
-        jump = new.select(F.col("node").alias("c"), F.col("c").alias("j"))
-        new = new.join(jump, "c").select("node", F.col("j").alias("c"))
-        new = new.checkpoint() if can_cut else new.persist()
-        if not new.join(label.withColumnRenamed("c", "old"), "node").where("c != old").limit(1).count():
-            return new.select("node", F.col("c").alias("component"))
-        label = new
-
-
-class DBSCAN(Estimator):
-    """Density clusters. A cluster is a component of core rows; clusters are numbered by their smallest core row_id, and
-    a border row joins the first of its neighbours' clusters; noise is -1. Euclidean or Manhattan."""
-
-    def __init__(self, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean"):
-        self.eps, self.min_samples, self.metric = eps, min_samples, metric
-
-    def neighbours(self, df: DataFrame, features: str = "features", key: str = "row_id") -> DataFrame:
-        """(a, b) for every two rows within eps, a row with itself included.
-
-        Rows meet in cells of side eps over the first three features: each row is sent to the cells around its own, the
-        other side stays in its own, and the join is on equal cells.
-        """
-        _, d = check_frame(df, features)
-        dims = min(d, 3)
-        cell = lambda moves: F.array(*[(F.floor(F.get("v", F.lit(k)) / self.eps) + moves[k]).cast("long") for k in range(dims)])
-        own = df.select(F.col(key).alias("a"), F.col(features).alias("v"))
-        left = own.withColumn("cell", F.explode(F.array(*[cell(m) for m in product((-1, 0, 1), repeat=dims)])))
-        right = own.select(F.col("a").alias("b"), F.col("v").alias("w"), cell((0,) * dims).alias("cell"))
-        return left.join(right, "cell").where(expr.METRICS[self.metric](F.col("v"), F.col("w")) <= self.eps).select("a", "b")
-
-    def fit(self, df: DataFrame, features: str = "features", key: str = "row_id") -> DBSCAN:
-        if self.eps <= 0 or self.min_samples < 1 or self.metric not in expr.METRICS:
-            raise ValueError("eps must be positive, min_samples at least 1, metric known")
-        near = self.neighbours(df, features, key).persist()
-        core = near.groupBy("a").count().where(F.col("count") >= self.min_samples).select("a").persist()
-        both = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b")
-        groups = components(both).withColumnRenamed("node", "b")
-        claimed = near.join(groups, "b").groupBy("a").agg(F.min("component").alias("first"))
-        number = groups.select("component").distinct().withColumn("label", F.expr("row_number() over (order by component) - 1"))
-        placed = claimed.join(number.withColumnRenamed("component", "first"), "first").select(F.col("a").alias(key), "label")
-        self.labels_ = df.select(key).join(placed, key, "left").select(key, F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
-        self.core_sample_indices_ = core.select(F.col("a").alias(key))
-        self.components_ = df.join(self.core_sample_indices_, key, "left_semi").select(key, features)
-        return self
-
-    def fit_predict(self, df: DataFrame, features: str = "features", key: str = "row_id") -> DataFrame:
-        return self.fit(df, features, key).labels_
-
-
 COVARIANCES = ("full", "tied", "diag", "spherical")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.base import Estimator, check_is_fitted
+from quillon.functions.held import Held
 
 
 def characters(df: DataFrame, text: str = "text") -> DataFrame:
@@ -50,24 +51,6 @@ class _Vocabulary(Estimator):
         check_is_fitted(self, "vocabulary_")
         return len(self.vocabulary_)
 
-    def _ids(self, df, text, into, cut):
-        """df with ids, by cut(str) -> tokens in Arrow batches; unknown characters are an error that lists them."""
-        known = self._known()
-        schema = T.StructType([*(f for f in df.schema.fields if f.name != into), T.StructField(into, T.ArrayType(T.IntegerType()))])
-        held = [c for c in df.columns if c != into]
-
-        def run(batches):
-            for batch in batches:
-                rows = []
-                for t in batch.column(text).to_pylist():
-                    missing = sorted({c for c in t or "" if c not in known})
-                    if missing:
-                        raise ValueError(f"unknown characters: {missing}")
-                    rows.append([known[x] for x in cut(t or "")])
-                yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.array(rows, pa.list_(pa.int32()))], names=schema.names)
-
-        return df.select(*held).mapInArrow(run, schema)
-
     def decode(self, df: DataFrame, ids: str = "ids", into: str = "decoded") -> DataFrame:
         """Native: each id is looked up in the vocabulary; one outside it is an error."""
         check_is_fitted(self, "vocabulary_")
@@ -104,11 +87,54 @@ class CharTokenizer(_Vocabulary):
         return df.select(*held).mapInArrow(run, schema)
 
 
+def merge_ids(ids: np.ndarray, a: int, b: int, new: int) -> np.ndarray:
+    """Every a b becomes one new, from the left, without overlaps. Negative numbers separate texts."""
+    hit = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+    if not len(hit):
+        return ids
+    if a == b:  # of a run of hits every other one, from its first
+        run = np.cumsum(np.concatenate([[True], np.diff(hit) > 1])) - 1
+        first = np.flatnonzero(np.concatenate([[True], np.diff(hit) > 1]))
+        hit = hit[(np.arange(len(hit)) - first[run]) % 2 == 0]
+    out, stay = ids.copy(), np.ones(len(ids), bool)
+    out[hit], stay[hit + 1] = new, False
+    return out[stay]
+
+
+def pair_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct adjacent pairs, overlaps included, as a * 2**32 + b, and how often each occurs."""
+    return np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_counts=True)
+
+
+def settled_merges(top: list[tuple[str, str, int]], vocabulary: set[str], most: int, whole: bool) -> list[tuple[str, str, int]]:
+    """The merges that are sure to come next, in order, given the most frequent pairs (all pairs, if whole).
+
+    After a merge of a and b only pairs with a, b or their product change. A pair of others with the count c comes next if
+    every pair with one of these counts less than c: such counts fall, and a new pair counts no more than one of them.
+    """
+    chosen, touched = [], set()
+    for a, b, n in top:
+        if len(chosen) == most or {a, b} & touched:
+            break
+        if chosen and (any({x, y} & touched for x, y, k in top if k == n) or not whole and n == top[-1][2]):
+            break
+        chosen.append((a, b, n))
+        touched |= {a, b, a + b}
+        if a == b or a + b in vocabulary:  # a a makes the pair aa a, and an older token's counts may rise
+            break
+    return chosen
+
+
+#: Most frequent pairs looked at for the next merges, and passes after which the changed sequences are joined into one table.
+TOP, COMPACT = 64, 8
+
+
 class BPETokenizer(_Vocabulary):
     """Merges the most frequent adjacent pair, ties to the smallest pair, up to max_merges times; no minimum count.
 
-    Pairs are counted within rows. Texts are kept as distinct sequences with their number, and a merge changes only the
-    sequences that hold its pair; each round is one aggregate.
+    Pairs are counted within rows, and equal texts are one sequence with their number. An index lists for each pair the
+    sequences that hold it, and the counts of pairs are kept up to date by differences. So a pass reads and rewrites only the
+    sequences of its pairs, counts nothing anew, and takes all merges whose order is already certain.
     """
 
     def __init__(self, max_merges: int = 100):
@@ -118,43 +144,162 @@ class BPETokenizer(_Vocabulary):
         if self.max_merges < 0:
             raise ValueError("max_merges must not be negative")
         chars = [r["token"] for r in characters(df, text).orderBy("id").collect()]
-        seqs = df.where(F.length(text) > 0).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n")).select(F.filter(F.split("t", ""), lambda c: c != "").alias("ts"), "n").persist()
-        self.merges_ = []
-        for _ in range(self.max_merges):
-            top = self._top(seqs)
-            if top is None:
+        self.vocabulary_, known = list(chars), {c: k for k, c in enumerate(chars)}
+        self.merges_, self.merge_counts_, self.sequences_read_ = [], [], []
+        texts = df.where(F.length(text) > 0).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n"))
+        numbered = CharTokenizer()
+        numbered.vocabulary_ = chars
+        coded = numbered.encode(texts, "t").select(F.monotonically_increasing_id().alias("sid"), "ids", "n")
+        read = df.sparkSession.sparkContext.accumulator(0)
+        seqs = Held(coded, "bpe")
+        fresh = Held(_Pass([], list(chars), read).run(seqs.df.withColumn("fresh", F.lit(True))), "bpe-changes")
+        index, counts = Held(_listed([fresh]), "bpe-index"), Held(_counted([fresh]), "bpe-counts")
+        fresh.drop()
+        changes: list[Held] = []
+        while len(self.merges_) < self.max_merges:
+            now = _counted(changes, counts.df)
+            top = now.orderBy(F.desc("n"), "a", "b").limit(TOP).collect()
+            batch = settled_merges([(r["a"], r["b"], r["n"]) for r in top], set(known), self.max_merges - len(self.merges_), len(top) < TOP)
+            if not batch:
                 break
-            self.merges_.append(top)
-            new = replace_pair(seqs, *top)
-            new = new.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-            new.count()
-            seqs.unpersist()
-            seqs = new
-        seqs.unpersist()
-        self.vocabulary_ = list(dict.fromkeys([*chars, *(a + b for a, b in self.merges_)]))
+            asked = F.lit(False)
+            for a, b, n in batch:
+                self.merges_.append((a, b))
+                self.merge_counts_.append(n)
+                asked = asked | ((F.col("a") == a) & (F.col("b") == b))
+                if a + b not in known:
+                    known[a + b] = len(self.vocabulary_)
+                    self.vocabulary_.append(a + b)
+            holds = _listed(changes, index.df, False).where(asked).select("sid").distinct()
+            before = read.value
+            step = _Pass([(known[a], known[b], known[a + b]) for a, b, _ in batch], self.vocabulary_, read)
+            changes.append(Held(step.run(_latest(seqs.df, changes).join(holds, "sid").withColumn("fresh", F.lit(False))), "bpe-changes"))
+            self.sequences_read_.append(read.value - before)
+            if len(changes) == COMPACT:
+                old = [seqs, index, counts, *changes]
+                seqs, index, counts = Held(_latest(seqs.df, changes), "bpe"), Held(_listed(changes, index.df), "bpe-index"), Held(_counted(changes, counts.df), "bpe-counts")
+                changes = []
+                for h in old:
+                    h.drop()
+        for h in [seqs, index, counts, *changes]:
+            h.drop()
         return self
 
-    @staticmethod
-    def _top(seqs: DataFrame):
-        more = F.greatest(F.size("ts") - 1, F.lit(0))
-        pairs = F.zip_with(F.slice("ts", F.lit(1), more), F.slice("ts", F.lit(2), more), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        counts = seqs.select(F.explode(pairs).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-        row = counts.orderBy(F.desc("n"), "a", "b").first()
-        return (row["a"], row["b"]) if row else None
-
     def encode(self, df: DataFrame, text: str = "text", into: str = "ids") -> DataFrame:
-        """The merges in order over each whole text."""
+        """The merges in order over each whole text, all texts of a batch at once; unknown characters are an error that lists them."""
         check_is_fitted(self, "vocabulary_")
-        merges = list(self.merges_)
+        known = {t: k for k, t in enumerate(self.vocabulary_)}
+        merges = [(known[a], known[b], known[a + b]) for a, b in self.merges_]
+        plain = CharTokenizer()
+        plain.vocabulary_ = [t for t in self.vocabulary_ if len(t) == 1]
+        coded = plain.encode(df, text, into)
+        if plain.vocabulary_ != self.vocabulary_[: len(plain.vocabulary_)]:
+            raise ValueError("characters come first in the vocabulary")
+        held = [c for c in coded.columns if c != into]
+
+        def run(batches):
+            for batch in batches:
+                lists = batch.column(into)
+                ends = np.asarray(lists.offsets)[1:] - np.asarray(lists.offsets)[0]
+                ids = np.insert(np.asarray(lists.flatten(), np.int32), ends, -1)  # -1 closes each text
+                for a, b, new in merges:
+                    ids = merge_ids(ids, a, b, new)
+                close = np.flatnonzero(ids < 0)
+                offsets = np.concatenate([[0], close - np.arange(len(close))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[ids >= 0], pa.int32()))], names=[*held, into])
+
+        return coded.select(*held, into).mapInArrow(run, T.StructType([*(coded.schema[c] for c in held), coded.schema[into]]))
+
+
+class _Pass:
+    """Some merges over sequences(sid, ids, n, fresh): the changed sequences, and what changes in the pairs that they hold.
+
+    Rows (sid, ids, n) are sequences; rows (sid, a, b) say that a sequence now holds a pair; rows (a, b, change) add to the
+    pair's count. Of fresh sequences all pairs are new.
+    """
+
+    SCHEMA = "sid long, ids array<int>, n long, a string, b string, change long"
+
+    def __init__(self, merges: list[tuple[int, int, int]], vocabulary: list[str], read):
+        self.merges, self.vocabulary, self.read = merges, np.array(vocabulary, object), read
+
+    def run(self, sequences: DataFrame) -> DataFrame:
+        merges, names, read = self.merges, self.vocabulary, self.read
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        fields = ["sid", "ids", "n", "a", "b", "change"]
+
+        def row_of(count, **given):
+            return pa.RecordBatch.from_arrays([given.get(f, pa.nulls(count, k)) for f, k in zip(fields, kinds, strict=True)], names=fields)
+
+        def named(pairs):
+            return {"a": pa.array(names[pairs >> 32], pa.string()), "b": pa.array(names[pairs & 0xFFFFFFFF], pa.string())}
+
+        def kernel(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                ids_out, sids, ns, held, held_by, pairs, change = [], [], [], [], [], [], []
+                for k in range(batch.num_rows):
+                    old = np.asarray(batch.column("ids")[k].values, np.int32)
+                    new = old
+                    for a, b, c in merges:
+                        new = merge_ids(new, a, b, c)
+                    fresh = batch.column("fresh")[k].as_py()
+                    if not fresh and len(new) == len(old):
+                        continue
+                    sid, n = batch.column("sid")[k].as_py(), batch.column("n")[k].as_py()
+                    after, times = pair_counts(new)
+                    before, gone = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if fresh else pair_counts(old)
+                    pairs += [after, before]
+                    change += [times * n, -gone * n]
+                    own = np.setdiff1d(after, before)
+                    held.append(own)
+                    held_by.append(np.full(len(own), sid))
+                    if not fresh:
+                        ids_out.append(new)
+                        sids.append(sid)
+                        ns.append(n)
+                if sids:
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids_out])]).astype(np.int32))
+                    yield row_of(len(sids), sid=pa.array(sids, pa.int64()), ids=pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids_out), pa.int32())), n=pa.array(ns, pa.int64()))
+                if held:
+                    own = np.concatenate(held)
+                    yield row_of(len(own), sid=pa.array(np.concatenate(held_by).astype(np.int64)), **named(own))
+                    distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
+                    sums = np.zeros(len(distinct), np.int64)
+                    np.add.at(sums, at, np.concatenate(change))
+                    yield row_of(int((sums != 0).sum()), change=pa.array(sums[sums != 0]), **named(distinct[sums != 0]))
+
+        return sequences.select("sid", "ids", "n", "fresh").mapInArrow(kernel, self.SCHEMA)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _counted(changes: list[Held], counts: DataFrame | None = None) -> DataFrame:
+    """(a, b, n): the pairs' counts after all changes."""
+    moved = [c.df.where("change is not null").select("a", "b", F.col("change").alias("n")) for c in changes]
+    return _union([*([counts] if counts is not None else []), *moved]).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _listed(changes: list[Held], index: DataFrame | None = None, order: bool = True) -> DataFrame:
+    """(a, b, sid): sequences that hold a pair or once did; in order, so that a reader of few pairs skips the rest."""
+    new = [c.df.where("a is not null and sid is not null").select("a", "b", "sid") for c in changes]
+    rows = _union([*([index] if index is not None else []), *new])
+    return rows.distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b") if order else rows
 
-        def cut(t):
-            tokens = list(t)
-            for a, b in merges:
-                if a in tokens:
-                    tokens = merge_once(tokens, a, b)
-            return tokens
 
-        return self._ids(df, text, into, cut)
+def _latest(seqs: DataFrame, changes: list[Held]) -> DataFrame:
+    """(sid, ids, n): the last form of each sequence."""
+    forms = [seqs, *(c.df.where("ids is not null").select("sid", "ids", "n") for c in changes)]
+    if len(forms) == 1:
+        return seqs
+    aged = _union([t.withColumn("age", F.lit(k)) for k, t in enumerate(forms)])
+    newest = _union([t.select("sid", "age") for t in (f.withColumn("age", F.lit(k)) for k, f in enumerate(forms))]).groupBy("sid").agg(F.max("age").alias("age"))
+    return aged.join(newest, ["sid", "age"]).drop("age")
 
 
 def merge_once(tokens: list[str], a: str, b: str) -> list[str]:

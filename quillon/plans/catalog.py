@@ -139,7 +139,20 @@ SELECT q AS row_id, arg_max(y, n * 1000 - y)::BIGINT AS prediction, round(max(n)
 def knn_classify(spark, sf):
     m = KNeighborsClassifier(5).fit(places(spark, sf))
     q = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double")).alias("features"))
-    return m.predict(q).join(m.predict_proba(q), "row_id").select("row_id", "prediction", r6(F.array_max("proba"), "share"))
+    return m.predict_both(q).select("row_id", "prediction", r6(F.array_max("proba"), "share"))
+
+
+@query(f"""WITH t AS ({PLACES}), q AS (SELECT o_orderkey AS q, o_totalprice / 50000 AS x1, (o_custkey % 25)::DOUBLE AS x2 FROM orders WHERE o_orderkey % 100 = 0),
+d AS (SELECT q, id, y, sqrt((t.x1 - q.x1) * (t.x1 - q.x1) + (t.x2 - q.x2) * (t.x2 - q.x2)) AS d FROM q, t),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM d QUALIFY r <= 7),
+v AS (SELECT q, y, sum(CASE WHEN z = 0 THEN (d = 0)::INT ELSE 1 / d END) AS w FROM (SELECT *, min(d) OVER (PARTITION BY q) AS z FROM k) GROUP BY 1, 2)
+SELECT q AS row_id, arg_max(y, w)::BIGINT AS prediction, round(max(w) / sum(w), 6) AS share FROM v GROUP BY 1""")
+def knn_distance_weights(spark, sf):
+    """Votes by inverse distance; the queries are the orders whose key is divisible by 100, against all customers."""
+    m = KNeighborsClassifier(7, weights="distance").fit(places(spark, sf))
+    o = table(spark, sf, "orders").where("o_orderkey % 100 = 0")
+    q = o.select(F.col("o_orderkey").alias("row_id"), F.array(F.col("o_totalprice") / 50000, (F.col("o_custkey") % 25).cast("double")).alias("features"))
+    return m.predict_both(q).select("row_id", "prediction", r6(F.array_max("proba"), "share"))
 
 
 @query(f"""WITH t AS ({PLACES}), q AS (SELECT s_suppkey AS q, s_acctbal / 1000 AS x1, s_nationkey::DOUBLE AS x2 FROM supplier),
@@ -649,6 +662,26 @@ def bpe_pair_counts(spark, sf):
     return adjacent_pairs(table(spark, sf, "documents"))
 
 
+def bpe_sql(merges: int) -> str:
+    """m<k>(a, b, n), the k-th merge, by replacing pairs in the characters of all documents."""
+    parts = ["t0 AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) AS pos, c AS tok FROM (SELECT doc_id AS id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM documents) WHERE c <> '')"]
+    for k in range(merges):
+        parts.append(f"p{k} AS (SELECT id, pos, tok, lead(tok) OVER (PARTITION BY id ORDER BY pos) AS nx FROM t{k})")
+        parts.append(f"m{k} AS (SELECT tok AS a, nx AS b, count(*) AS n FROM p{k} WHERE nx IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 1)")
+        parts.append(f"h{k} AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM p{k}, m{k} WHERE tok = a AND nx = b)")
+        parts.append(f"g{k} AS (SELECT id, pos FROM (SELECT id, pos, row_number() OVER (PARTITION BY id, run ORDER BY pos) AS r FROM h{k}), m{k} WHERE a <> b OR r % 2 = 1)")
+        parts.append(f"t{k + 1} AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS pos, tok FROM (SELECT p.id, p.pos, CASE WHEN g.pos IS NULL THEN p.tok ELSE m.a || m.b END AS tok FROM p{k} p CROSS JOIN m{k} m LEFT JOIN g{k} g ON g.id = p.id AND g.pos = p.pos LEFT JOIN g{k} l ON l.id = p.id AND l.pos = p.pos - 1 WHERE l.pos IS NULL))")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {k + 1}::BIGINT AS rank, a AS \"left\", b AS \"right\", n FROM m{k}" for k in range(merges))
+
+
+@query(bpe_sql(6))
+def bpe_training(spark, sf):
+    """The first six merges over all documents."""
+    tok = BPETokenizer(6).fit(table(spark, sf, "documents"))
+    rows = [(k, a, b, n) for k, ((a, b), n) in enumerate(zip(tok.merges_, tok.merge_counts_, strict=True), 1)]
+    return spark.createDataFrame(rows, "rank long, left string, right string, n long")
+
+
 @query()
 def bpe_merges(spark, sf):
     df = table(spark, sf, "benchmark")
