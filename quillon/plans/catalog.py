@@ -298,7 +298,78 @@ def logistic_gradient_descent(spark, sf):
         return fitted(spark, LogisticRegression(solver="gd", lr=0.5, max_iter=4, tol=1e-30).fit(returned(spark, sf)), 6)
 
 
-@query()
+SCALED = "SELECT l_quantity / 50 AS x1, l_discount * 10 AS x2, l_extendedprice / 10000 AS y FROM lineitem"
+
+
+def scaled(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.select(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("features"), (F.col("l_extendedprice") / 10000).alias("y"))
+
+
+def scored(spark, models, df) -> DataFrame:
+    rows = [(name, float(m.coef_[0]), float(m.coef_[1]), float(m.intercept_), float(m.score(df))) for name, m in models]
+    out = spark.createDataFrame(rows, "model string, w1 double, w2 double, intercept double, r2 double")
+    return out.select("model", *[r6(c, c) for c in ("w1", "w2", "intercept", "r2")])
+
+
+def descent_sql(name: str, steps: int, rate: float, alpha: float) -> str:
+    parts = [f"{name}0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"]
+    for k in range(1, steps + 1):
+        parts.append(f"{name}{k} AS (SELECT any_value(b) - 2 * {rate} * avg(e) AS b, any_value(w1) - 2 * {rate} * (sum(e * x1) + {alpha} * any_value(w1)) / count(*) AS w1, any_value(w2) - 2 * {rate} * (sum(e * x2) + {alpha} * any_value(w2)) / count(*) AS w2 FROM (SELECT *, b + w1 * x1 + w2 * x2 - y AS e FROM d, {name}{k - 1}))")
+    return ", ".join(parts)
+
+
+def model_sql(model: str, fitted: str) -> str:
+    return f"SELECT '{model}' AS model, round(any_value(w1), 6) + 0.0 AS w1, round(any_value(w2), 6) + 0.0 AS w2, round(any_value(b), 6) + 0.0 AS intercept, round(1 - sum((y - b - w1 * x1 - w2 * x2) * (y - b - w1 * x1 - w2 * x2)) / (var_pop(y) * count(*)), 6) + 0.0 AS r2 FROM d, {fitted}"
+
+
+@query(f"WITH d AS ({SCALED}), {descent_sql('p', 6, 0.2, 0)}, {descent_sql('q', 6, 0.2, 500.0)} {model_sql('linear', 'p6')} UNION ALL {model_sql('ridge', 'q6')}")
+def gradient_descent_regressors(spark, sf):
+    """Six steps of gradient descent for least squares and ridge, and how well they then predict."""
+    df = scaled(spark, sf)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        models = [("linear", LinearRegression(solver="gd", lr=0.2, max_iter=6, tol=0.0).fit(df)), ("ridge", Ridge(500.0, solver="gd", lr=0.2, max_iter=6, tol=0.0).fit(df))]
+    return scored(spark, models, df)
+
+
+def lasso_sql(sweeps: int, alpha: float) -> str:
+    soft = lambda r: f"sign({r}) * greatest(abs({r}) - {alpha}, 0)"
+    parts = ["s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS g11, var_pop(x2) AS g22, covar_pop(x1, x2) AS g12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM d)", "l0 AS (SELECT *, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM s)"]
+    for k in range(sweeps):
+        parts.append(f"h{k} AS (SELECT * REPLACE ({soft('(c1 - g12 * w2)')} / g11 AS w1) FROM l{k})")
+        parts.append(f"l{k + 1} AS (SELECT * REPLACE ({soft('(c2 - g12 * w1)')} / g22 AS w2) FROM h{k})")
+    return ", ".join(parts) + f", lasso AS (SELECT w1, w2, my - w1 * m1 - w2 * m2 AS b FROM l{sweeps})"
+
+
+@query(f"WITH d AS ({SCALED}), {lasso_sql(3, 0.05)}, r AS (SELECT (c1 * (g22 + l) - c2 * g12) / ((g11 + l) * (g22 + l) - g12 * g12) AS w1, (c2 * (g11 + l) - c1 * g12) / ((g11 + l) * (g22 + l) - g12 * g12) AS w2, * EXCLUDE (l) FROM (SELECT *, 100.0 / (SELECT count(*) FROM d) AS l FROM s)), "
+       f"ridge AS (SELECT w1, w2, my - w1 * m1 - w2 * m2 AS b FROM r) {model_sql('lasso', 'lasso')} UNION ALL {model_sql('ridge', 'ridge')}")
+def regressor_scores(spark, sf):
+    """Lasso after three sweeps and ridge by its normal equations, with their scores."""
+    df = scaled(spark, sf)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        models = [("lasso", Lasso(0.05, max_iter=3, tol=0.0).fit(df)), ("ridge", Ridge(100.0).fit(df))]
+    return scored(spark, models, df)
+
+
+def newton_sql(steps: int) -> str:
+    """Newton steps for p<k>(b, w1, w2), each taken while half the decrement is at least the tolerance; 3 x 3 systems by Cramer's rule."""
+    det = lambda m: f"(({m[0]}) * (({m[4]}) * ({m[8]}) - ({m[5]}) * ({m[7]})) - ({m[1]}) * (({m[3]}) * ({m[8]}) - ({m[5]}) * ({m[6]})) + ({m[2]}) * (({m[3]}) * ({m[7]}) - ({m[4]}) * ({m[6]})))"
+    h = ["h00", "h01", "h02", "h01", "h11", "h12", "h02", "h12", "h22"]
+    swap = lambda j: [f"g{i // 3}" if i % 3 == j else x for i, x in enumerate(h)]
+    parts = ["p0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, false AS done)"]
+    for k in range(steps):
+        parts.append(f"""s{k} AS (SELECT any_value(b) AS b, any_value(w1) AS w1, any_value(w2) AS w2, any_value(done) AS done, avg(e) AS g0, (sum(e * x1) + any_value(w1)) / count(*) AS g1, (sum(e * x2) + any_value(w2)) / count(*) AS g2,
+avg(v) AS h00, avg(v * x1) AS h01, avg(v * x2) AS h02, (sum(v * x1 * x1) + 1) / count(*) AS h11, avg(v * x1 * x2) AS h12, (sum(v * x2 * x2) + 1) / count(*) AS h22
+FROM (SELECT *, q - y AS e, q * (1 - q) AS v FROM (SELECT *, 1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) AS q FROM d, p{k})))""")
+        parts.append(f"t{k} AS (SELECT *, {det(swap(0))} / {det(h)} AS d0, {det(swap(1))} / {det(h)} AS d1, {det(swap(2))} / {det(h)} AS d2 FROM s{k})")
+        parts.append(f"u{k} AS (SELECT *, done OR 0.5 * (g0 * d0 + g1 * d1 + g2 * d2) < 1e-6 AS stop FROM t{k})")
+        parts.append(f"p{k + 1} AS (SELECT CASE WHEN stop THEN b ELSE b - d0 END AS b, CASE WHEN stop THEN w1 ELSE w1 - d1 END AS w1, CASE WHEN stop THEN w2 ELSE w2 - d2 END AS w2, stop AS done FROM u{k})")
+    return ", ".join(parts)
+
+
+@query(f"WITH d AS ({RETURNED}), {newton_sql(6)}, r AS (SELECT 1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) AS q FROM d, p6) SELECT (q >= 0.5)::BIGINT AS prediction, count(*) AS n, round(avg(q), 6) AS mean_proba FROM r GROUP BY 1")
 def logistic_newton(spark, sf):
     df = returned(spark, sf)
     m = LogisticRegression().fit(df)
@@ -319,6 +390,14 @@ def linear_svm(spark, sf):
     return fitted(spark, LinearSVM(C=0.001, lr=0.01, max_iter=5).fit(returned(spark, sf)), 6)
 
 
+@query(svm_sql(5, 0.001, 0.01).replace(" SELECT round(w1, 6)", ", best AS (SELECT b, w1, w2 FROM (", 1).split(", best AS")[0] + ", best AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, j, b, w1, w2 FROM g{k}" for k in range(1, 7)) + ") ORDER BY j, k LIMIT 1), r AS (SELECT y, b + w1 * x1 + w2 * x2 AS z FROM d, best) SELECT round(avg(z), 6) + 0.0 AS mean_decision, round(min(z), 6) + 0.0 AS least, round(max(z), 6) + 0.0 AS greatest, count(*) FILTER (z >= 0) AS positive, round(avg(((z >= 0)::INT = y)::INT), 6) AS accuracy FROM r")
+def linear_svm_decision(spark, sf):
+    df = returned(spark, sf)
+    m = LinearSVM(C=0.001, lr=0.01, max_iter=5).fit(df)
+    out = m.predict(m.decision_function(df))
+    return out.agg(r6(F.avg("decision"), "mean_decision"), r6(F.min("decision"), "least"), r6(F.max("decision"), "greatest"), F.sum("prediction").alias("positive"), r6(M.accuracy("y", "prediction"), "accuracy"))
+
+
 # --- trees and ensembles ----------------------------------------------------------------------------------------------
 
 GRADED = "SELECT d.doc_id, n_chars::DOUBLE AS f0, d.doc_id::DOUBLE AS f1, quality AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
@@ -578,6 +657,50 @@ def gaussian_mixture_step(spark, sf):
     return df.select("component", r6("weight", "weight"), r6("mean1", "mean1"), r6("mean2", "mean2"), r6("var1", "var1", 5), r6("var2", "var2", 5))
 
 
+def mixture_sql(kind: str, steps: int) -> str:
+    """e<kind><k>: two components in the plane after k steps of expectation maximisation, as (k, w, m1, m2, a, b, c) with covariance [[a, b], [b, c]]."""
+    name = lambda p, k: f"{kind}_{p}{k}"
+    parts = [f"{name('e', 0)} AS (SELECT * FROM (VALUES (0, 0.5, 2.0, 6.0, 9.0, 0.0, 9.0), (1, 0.5, 6.0, 18.0, 9.0, 0.0, 9.0)) e(k, w, m1, m2, a, b, c))"]
+    for s in range(steps + 1):
+        j, r, m, c, e = (name(p, s) for p in "jrmce")
+        parts.append(f"{j} AS (SELECT id, x1, x2, k, ln(w) - 0.5 * (c * (x1 - m1) * (x1 - m1) - 2 * b * (x1 - m1) * (x2 - m2) + a * (x2 - m2) * (x2 - m2)) / (a * c - b * b) - 0.5 * ln(a * c - b * b) - ln(2 * pi()) AS l FROM t, {e})")
+        parts.append(f"{r} AS (SELECT *, exp(l - top) / sum(exp(l - top)) OVER (PARTITION BY id) AS r, top + ln(sum(exp(l - top)) OVER (PARTITION BY id)) AS z FROM (SELECT *, max(l) OVER (PARTITION BY id) AS top FROM {j}))")
+        if s == steps:
+            break
+        parts.append(f"{m} AS (SELECT k, sum(r) AS n, sum(r * x1) / sum(r) AS m1, sum(r * x2) / sum(r) AS m2 FROM {r} GROUP BY 1)")
+        parts.append(f"{c} AS (SELECT k, any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2, sum(r * (x1 - m1) * (x1 - m1)) AS s11, sum(r * (x1 - m1) * (x2 - m2)) AS s12, sum(r * (x2 - m2) * (x2 - m2)) AS s22 FROM {r} JOIN {m} USING (k) GROUP BY 1)")
+        a, b, d = {"full": ("s11 / n + 1e-6", "s12 / n", "s22 / n + 1e-6"), "spherical": ("(s11 + s22) / n / 2 + 1e-6", "0.0", "(s11 + s22) / n / 2 + 1e-6"), "tied": ("sum(s11) OVER () / sum(n) OVER () + 1e-6", "sum(s12) OVER () / sum(n) OVER ()", "sum(s22) OVER () / sum(n) OVER () + 1e-6")}[kind]
+        parts.append(f"{name('e', s + 1)} AS (SELECT k, n / sum(n) OVER () AS w, m1, m2, {a} AS a, {b} AS b, {d} AS c FROM {c})")
+    return ", ".join(parts)
+
+
+def mixture_row(kind: str, steps: int) -> str:
+    size = {"full": 11, "tied": 8, "spherical": 7}[kind]
+    scores = f"(SELECT sum(z) AS s, count(*) AS n FROM (SELECT id, any_value(z) AS z FROM {kind}_r{steps} GROUP BY 1))"
+    picked = f"(SELECT k, count(*) AS n FROM (SELECT id, arg_max(k, r - k * 1e-15) AS k FROM {kind}_r{steps} GROUP BY 1) GROUP BY 1)"
+    return f"SELECT '{kind}' AS kind, e.k::BIGINT AS component, round(w, 5) AS weight, round(m1, 5) AS mean1, round(m2, 5) AS mean2, round(a, 4) AS var1, round(b, 4) + 0.0 AS cov, round(c, 4) AS var2, coalesce(q.n, 0) AS picked, round(-2 * s.s + {size} * ln(s.n), 3) AS bic, round(-2 * s.s + 2 * {size}, 3) AS aic FROM {kind}_e{steps} e LEFT JOIN {picked} q ON q.k = e.k, {scores} s"
+
+
+@query(f"WITH t AS ({PLACES}), {mixture_sql('full', 3)}, {mixture_sql('tied', 3)}, {mixture_sql('spherical', 3)} " + " UNION ALL ".join(mixture_row(k, 3) for k in ("full", "tied", "spherical")))
+def gaussian_mixture_kinds(spark, sf):
+    """Three steps from given starts for each kind of covariance, the labels then given, and both information criteria."""
+    df = places(spark, sf)
+    starts = {"full": [np.eye(2) * 9.0] * 2, "tied": np.eye(2) * 9.0, "spherical": [9.0, 9.0]}
+    rows, picked = [], None
+    for kind, cov in starts.items():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            m = GaussianMixture(2, kind, tol=0.0, max_iter=3, init_params=([0.5, 0.5], [[2.0, 6.0], [6.0, 18.0]], cov)).fit(df)
+        whole = {"full": lambda k, m=m: m.covariances_[k], "tied": lambda k, m=m: m.covariances_, "spherical": lambda k, m=m: np.eye(2) * m.covariances_[k]}[kind]
+        rows += [(kind, k, float(m.weights_[k]), *map(float, m.means_[k]), float(whole(k)[0, 0]), float(whole(k)[0, 1]), float(whole(k)[1, 1]), m.bic(df), m.aic(df)) for k in range(2)]
+        said = m.predict(df).groupBy(F.lit(kind).alias("kind"), F.col("prediction").cast("long").alias("component")).agg(F.count("*").alias("picked"))
+        picked = said if picked is None else picked.unionByName(said)
+    out = spark.createDataFrame(rows, "kind string, component long, weight double, mean1 double, mean2 double, var1 double, cov double, var2 double, bic double, aic double")
+    out = out.join(picked, ["kind", "component"], "left")
+    digits = {"weight": 5, "mean1": 5, "mean2": 5, "var1": 4, "cov": 4, "var2": 4, "bic": 3, "aic": 3}
+    return out.select("kind", "component", *[r6(c, c, n) for c, n in digits.items()], F.coalesce("picked", F.lit(0).cast("long")).alias("picked"))
+
+
 @query()
 def gaussian_mixture_full(spark, sf):
     df = places(spark, sf)
@@ -594,6 +717,18 @@ def pca_fit(spark, sf):
     return one_row(spark, variance1=m.explained_variance_[0], variance2=m.explained_variance_[1], ratio1=m.explained_variance_ratio_[0], size_x1=abs(m.components_[0, 0])).select(r6("variance1", "variance1", 5), r6("variance2", "variance2", 5), r6("ratio1", "ratio1"), r6("size_x1", "size_x1", 5))
 
 
+@query(f"""WITH t AS ({PLACES}), s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, covar_samp(x1, x1) AS a, covar_samp(x2, x2) AS d, covar_samp(x1, x2) AS b FROM t),
+e AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS l1 FROM s), n AS (SELECT *, (l1 - d) / sqrt((l1 - d) * (l1 - d) + b * b) AS u0, b / sqrt((l1 - d) * (l1 - d) + b * b) AS v0 FROM e),
+f AS (SELECT *, CASE WHEN (CASE WHEN abs(u0) >= abs(v0) THEN u0 ELSE v0 END) < 0 THEN -1 ELSE 1 END AS f1, CASE WHEN (CASE WHEN abs(v0) >= abs(u0) THEN -v0 ELSE u0 END) < 0 THEN -1 ELSE 1 END AS f2 FROM n)
+SELECT id AS row_id, round(f1 * (u0 * (x1 - m1) + v0 * (x2 - m2)), 5) + 0.0 AS c1, round(f2 * (-v0 * (x1 - m1) + u0 * (x2 - m2)), 5) + 0.0 AS c2, round(x1, 5) + 0.0 AS back1, round(x2, 5) + 0.0 AS back2 FROM t, f""")
+def pca_scores(spark, sf):
+    """Both components of each row, signs fixed by the largest loading, and the row got back from them."""
+    df = places(spark, sf)
+    m = PCA(2).fit(df)
+    out = m.inverse_transform(m.transform(df), into="back")
+    return out.select("row_id", *[r6(F.get("components", F.lit(k)), f"c{k + 1}", 5) for k in range(2)], *[r6(F.get("back", F.lit(k)), f"back{k + 1}", 5) for k in range(2)])
+
+
 @query()
 def pca_transform(spark, sf):
     df = vectors(spark, sf)
