@@ -79,6 +79,55 @@ def moments(df: DataFrame, features: str = "features", target: str | None = None
     return out
 
 
+def triangle(df: DataFrame, features: str = "features", target: str | None = None, ones: bool = True) -> np.ndarray:
+    """R of a QR factorisation of [1 | X | y], square and upper triangular, from one scan.
+
+    Tasks factor their rows piece by piece, and factors are stacked and factored again in two levels (tall-skinny QR). X'X
+    is never formed, which would square the condition number and lose small singular values. Without its first row and
+    column (ones) R is the factor of the centred columns, and R[0] holds their means times R[0, 0], whose square is the count.
+    """
+    cols = [F.col(features).alias("x"), *([F.col(target).cast("double").alias("y")] if target else [])]
+
+    def pack(r):
+        return pa.RecordBatch.from_arrays([pa.array([r.shape[1]], pa.int64()), pa.array([r.tobytes()], pa.binary())], names=["d", "r"])
+
+    def square(r):
+        return np.vstack([r, np.zeros((max(0, r.shape[1] - len(r)), r.shape[1]))])
+
+    def joined(parts):
+        held = None
+        for x in parts:
+            held = np.linalg.qr(x if held is None else np.vstack([held, x]), mode="r")
+        return held
+
+    def pieces(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("x"))
+                x = np.column_stack([*([np.ones(len(x))] if ones else []), x, *([np.asarray(batch.column("y"), np.float64)] if target else [])])
+                yield from (x[lo : lo + 4096] for lo in range(0, len(x), 4096))
+
+    def packed(batches):
+        for batch in batches:
+            for d, r in zip(batch.column("d").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                yield np.frombuffer(r).reshape(-1, d)
+
+    def partial(batches):
+        held = joined(pieces(batches))
+        if held is not None:
+            yield pack(square(held))
+
+    def combine(batches):
+        held = joined(packed(batches))
+        if held is not None:
+            yield pack(square(held))
+
+    rows = df.select(*cols).mapInArrow(partial, "d long, r binary").repartition(16).mapInArrow(combine, "d long, r binary").collect()
+    if not rows:
+        raise ValueError("no rows")
+    return square(joined(np.frombuffer(bytes(r["r"])).reshape(-1, r["d"]) for r in sorted(rows, key=lambda r: bytes(r["r"]))))
+
+
 def sums(df: DataFrame, kernel, size: int, columns: list) -> np.ndarray:
     """The sum over all rows of a vector of `size` numbers that kernel(*arrays) adds up for a batch.
 

@@ -1,4 +1,4 @@
-"""Principal components from one pass of centred moments."""
+"""Principal components from one pass, by the singular values of a tall-skinny QR factor."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import expr
 from quillon.functions.base import Estimator, check_frame, check_is_fitted, of_width, vector
-from quillon.functions.stats import moments
+from quillon.functions.stats import triangle
 
 
 def fix_signs(axes: np.ndarray) -> np.ndarray:
@@ -51,11 +51,11 @@ class PCA(Estimator):
         k = min(n, d) if self.n_components is None else self.n_components
         if not 1 <= k <= min(n, d) or n < 2:
             raise ValueError("n_components must lie between 1 and min(rows, features), and two rows are needed")
-        m = moments(df, features)
-        values, axes = np.linalg.eigh(m.scatter)
-        values, axes = np.maximum(values[::-1], 0), axes[:, ::-1].T
-        self.mean_, self.components_ = m.mean, fix_signs(axes[:k])
-        self.singular_values_ = np.sqrt(values[:k])
+        r = triangle(df, features)
+        _, singular, axes = np.linalg.svd(r[1:, 1:])
+        values = singular**2
+        self.mean_, self.components_ = r[0, 1:] / r[0, 0], fix_signs(axes[:k])
+        self.singular_values_ = singular[:k]
         self.explained_variance_ = values[:k] / (n - 1)
         self.explained_variance_ratio_ = values[:k] / values.sum() if values.sum() else np.zeros(k)
         return self

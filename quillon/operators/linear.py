@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import expr
 from quillon.functions.base import ConvergenceWarning, Estimator, check_frame, check_is_fitted, classes_of, vector
-from quillon.functions.stats import moments, sums
+from quillon.functions.stats import moments, sums, triangle
 from quillon.operators import metrics
 
 
@@ -68,21 +68,14 @@ class LinearRegression(_Regressor):
     def fit(self, df: DataFrame, features: str = "features", target: str = "y") -> LinearRegression:
         if self.solver not in ("normal", "gd"):
             raise ValueError(f"unknown solver {self.solver!r}")
-        n, xm, ym, gram, cross = self._moments(df, features, target)
         if self.solver == "gd":
-            self._descend(n, xm, ym, gram, cross, 0.0)
+            self._descend(*self._moments(df, features, target), 0.0)
             return self
-        if self.fit_intercept:  # least norm counts the intercept too, so the moments about zero are solved
-            d = len(cross)
-            g, c = np.empty((d + 1, d + 1)), np.empty(d + 1)
-            g[0, 0], g[0, 1:], g[1:, 0], c[0] = n, n * xm, n * xm, n * ym
-            g[1:, 1:], c[1:] = gram + n * np.outer(xm, xm), cross + n * xm * ym
-            if np.linalg.matrix_rank(gram, hermitian=True) < d:
-                theta = np.linalg.lstsq(g, c, rcond=None)[0]
-                self.intercept_, self.coef_ = float(theta[0]), theta[1:]
-                return self
-        self.coef_ = np.linalg.lstsq(gram, cross, rcond=None)[0]
-        self.intercept_ = float(ym - xm @ self.coef_) if self.fit_intercept else 0.0
+        check_frame(df, features, target)
+        k = int(self.fit_intercept)
+        r = triangle(df, features, target, ones=self.fit_intercept)
+        theta = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0]  # of least norm, the intercept counted too
+        self.intercept_, self.coef_ = float(theta[0]) if k else 0.0, theta[k:]
         return self
 
 

@@ -27,7 +27,7 @@ from quillon.operators.tokenizers import BPETokenizer, CharTokenizer, adjacent_p
 from quillon.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor, apply_kernel
 from quillon.sources import generators
 from quillon.tensor import autodiff as ad
-from quillon.tensor import rel
+from quillon.tensor import rel, tiles
 from quillon.tensor import transformer as tf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -873,9 +873,18 @@ w AS (SELECT b, i, j, exp(s - max(s) OVER p) AS e FROM s WINDOW p AS (PARTITION
 
 @query(ATTENTION + " SELECT x.b::INT AS b, x.i AS i, l.i::INT AS e, round(sum(w * v), 6) + 0.0 AS v FROM x JOIN l ON l.n = x.j GROUP BY 1, 2, 3")
 def causal_attention(spark, sf):
-    x = table(spark, sf, "embeddings").select(F.col("label").alias("b"), F.col("vec_id").alias("i"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("d", "v"))
-    out, _ = rel.attention(x, rel.transpose(x, {"i": "j"}), rel.transpose(x, {"i": "j", "d": "e"}), 64, rel.causal())
-    return out.select("b", "i", "e", r6("v", "v"))
+    """Tiles of queries walk tiles of keys; no weight of a pair is ever a row."""
+    x = table(spark, sf, "embeddings").select(F.col("label").alias("b"), F.col("vec_id").alias("i"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    out = tiles.attention(x, x, x, causal=True)
+    return out.select("b", "i", F.posexplode("out").alias("e", "v")).select("b", "i", "e", r6("v", "v"))
+
+
+@query(f"WITH l AS ({LONG}) SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM l a JOIN l b ON a.n = b.n GROUP BY 1, 2")
+def tiled_matmul(spark, sf):
+    """X'X of the embeddings over tiles."""
+    x = tiles.tiles(long_vectors(spark, sf).select(F.col("n").alias("i"), F.col("i").alias("j"), "v"))
+    out = tiles.entries(tiles.matmul(x, x, left=True))
+    return out.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r6("v", "v", 5))
 
 
 def images(spark, sf):
