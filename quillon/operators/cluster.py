@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import expr
 from quillon.functions.base import ConvergenceWarning, Estimator, check_frame, check_is_fitted, check_random_state, of_width, vector
 from quillon.functions.stats import matrix, moments, sums
+from quillon.functions.streams import normals
 from quillon.operators.density import DBSCAN
 
 __all__ = ["DBSCAN", "GaussianMixture", "KMeans"]
@@ -294,14 +295,21 @@ class GaussianMixture(Estimator):
     def aic(self, df: DataFrame, features: str = "features") -> float:
         return -2 * df.count() * self.score(df, features) + 2 * self.n_parameters()
 
-    def sample(self, spark, n_samples: int = 1) -> DataFrame:
-        """(row_id, features, component), grouped by component; the same rows at each call with an integer random_state."""
+    def sample(self, spark, n_samples: int = 1, partitions: int | None = None) -> DataFrame:
+        """(row_id, features, component), grouped by component; the same rows at each call with an integer random_state.
+
+        Only the number of rows of each component is drawn here; the rows are drawn by their numbers, where they are.
+        """
         check_is_fitted(self, "means_")
         rng = check_random_state(self.random_state)
-        rows = []
-        for c, n in enumerate(rng.multinomial(n_samples, self.weights_ / self.weights_.sum())):
-            d = self.means_.shape[1]
-            cov = {"full": lambda c: self.covariances_[c], "tied": lambda c: self.covariances_, "diag": lambda c: np.diag(self.covariances_[c]), "spherical": lambda c: np.eye(d) * self.covariances_[c]}[self.covariance_type](c)
-            for x in self.means_[c] + rng.normal(size=(n, d)) @ np.linalg.cholesky(cov).T:
-                rows.append((len(rows), x.tolist(), c))
-        return spark.createDataFrame(rows, "row_id long, features array<double>, component int")
+        (k, d), kind = self.means_.shape, self.covariance_type
+        ends = np.cumsum(rng.multinomial(n_samples, self.weights_ / self.weights_.sum()))
+        seed = int(rng.integers(2**31))
+        whole = {"full": lambda c: self.covariances_[c], "tied": lambda c: self.covariances_, "diag": lambda c: np.diag(self.covariances_[c]), "spherical": lambda c: np.eye(d) * self.covariances_[c]}[kind]
+        lower = [np.linalg.cholesky(whole(c)) for c in range(k)]
+        component = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e <= F.col("row_id")))
+        rows = spark.range(0, n_samples, 1, partitions).withColumnRenamed("id", "row_id").withColumn("component", component.cast("int"))
+        rows = rows.withColumn("__z", normals(F.col("row_id"), seed, d))
+        own = lambda tables: F.get(F.array(*tables), F.col("component"))
+        features = [own([F.lit(float(m)) for m in self.means_[:, j]]) + expr.dot(own([vector(low[j]) for low in lower]), F.col("__z")) for j in range(d)]
+        return rows.select("row_id", F.array(*features).alias("features"), "component")

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.base import Estimator, check_frame, check_is_fitted, classes_of, vector
+from quillon.functions.held import Held
 from quillon.functions.stats import moments
+from quillon.operators.density import numbered
 
 
 class StandardScaler(Estimator):
@@ -92,6 +94,51 @@ class OneHotEncoder(Estimator):
         return df.withColumn(into, F.element_at(F.array(*[F.lit(c) for c in self.categories_]), at))
 
 
+class SparseOneHotEncoder(Estimator):
+    """Labels as (size, indices, values) by a dictionary table, for any number of labels.
+
+    The dictionary (label, index) is a written table; labels get the ranks of their order without a sort in one task, and
+    rows find theirs by a join, never through an array of all labels. close() deletes it.
+    """
+
+    def fit(self, df: DataFrame, column: str = "y") -> SparseOneHotEncoder:
+        labels = df.select(F.col(column).alias("label")).where("label is not null").distinct()
+        self.dictionary_ = Held(numbered(labels, "index"), "dictionary")
+        self.n_categories_ = self.dictionary_.df.count()
+        if not self.n_categories_:
+            raise ValueError("no rows")
+        return self
+
+    def close(self) -> None:
+        self.dictionary_.drop()
+
+    def _joined(self, df: DataFrame, by, how: str) -> DataFrame:
+        names = self.dictionary_.df.select(F.col("label").alias("__label"), F.col("index").alias("__index"))
+        return df.join(names, by(names), how)
+
+    def transform(self, df: DataFrame, column: str = "y", into: str = "one_hot") -> DataFrame:
+        """df with a struct of size, indices and values; an unseen or null label is an error that names it."""
+        check_is_fitted(self, "dictionary_")
+        rows = self._joined(df, lambda t: df[column] == t["__label"], "left")
+        unseen = F.raise_error(F.concat(F.lit("unseen category: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+        at = F.when(F.col("__index").isNull(), unseen.cast("bigint")).otherwise(F.col("__index"))
+        hot = F.struct(F.lit(self.n_categories_).cast("long").alias("size"), F.array(at).alias("indices"), F.array(F.lit(1.0)).alias("values"))
+        return rows.select(*[df[c] for c in df.columns if c != into], hot.alias(into))
+
+    def fit_transform(self, df: DataFrame, column: str = "y", into: str = "one_hot") -> DataFrame:
+        return self.fit(df, column).transform(df, column, into)
+
+    def inverse_transform(self, df: DataFrame, one_hot: str = "one_hot", into: str = "y") -> DataFrame:
+        """df with the label of the first greatest value; an index outside the dictionary is an error."""
+        check_is_fitted(self, "dictionary_")
+        v, held = F.col(one_hot), [c for c in df.columns if c != into]
+        at = F.get(v["indices"], F.array_position(v["values"], F.array_max(v["values"])).cast("int") - 1)
+        rows = df.select(*held, at.alias("__at"))
+        rows = self._joined(rows, lambda t: rows["__at"] == t["__index"], "left")
+        label = F.when(F.col("__index").isNull(), F.raise_error(F.lit("an index is out of range")).cast(self.dictionary_.df.schema["label"].dataType)).otherwise(F.col("__label"))
+        return rows.select(*held, label.alias(into))
+
+
 def split_order(key: str, seed: int):
     """The order of an exact split: a hash of key and seed, then the key; any engine with md5 gives the same."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(key)

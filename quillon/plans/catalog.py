@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions import expr
+from quillon.functions import expr, streams
 from quillon.functions.base import feature_columns
 from quillon.functions.stats import sums
 from quillon.operators import metrics as M
@@ -22,7 +22,7 @@ from quillon.operators.ensemble import POISSON, AdaBoostClassifier, GradientBoos
 from quillon.operators.layers import LSTM, RNN, Linear, MSELoss, Tanh, Trainer
 from quillon.operators.linear import Lasso, LinearRegression, LinearSVM, LogisticRegression, Ridge
 from quillon.operators.neighbors import KNeighborsClassifier
-from quillon.operators.preprocessing import MinMaxScaler, OneHotEncoder, StandardScaler, train_test_split
+from quillon.operators.preprocessing import MinMaxScaler, OneHotEncoder, SparseOneHotEncoder, StandardScaler, train_test_split
 from quillon.operators.tokenizers import BPETokenizer, CharTokenizer, adjacent_pairs, characters
 from quillon.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor, apply_kernel
 from quillon.sources import generators
@@ -246,6 +246,25 @@ def exact_split(spark, sf):
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
+@query("""WITH d AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS index, o_custkey FROM orders) SELECT o_orderkey, (SELECT count(DISTINCT o_custkey) FROM orders) AS size, index, 1.0::DOUBLE AS value, o_custkey AS back FROM d""")
+def sparse_one_hot(spark, sf):
+    """Orders by customer: a label for each customer, and back."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    enc = SparseOneHotEncoder()
+    out = enc.inverse_transform(enc.fit_transform(df, "o_custkey"), into="back")
+    return out.select("o_orderkey", F.col("one_hot.size").alias("size"), F.get("one_hot.indices", F.lit(0)).alias("index"), F.get("one_hot.values", F.lit(0)).alias("value"), "back")
+
+
+DRAW = "(('0x' || substr(md5(c_custkey || ':11:' || {n}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+
+
+@query(f"WITH u AS (SELECT c_custkey, {', '.join(f'{DRAW.format(n=n)} AS u{n}' for n in range(6))} FROM customer) SELECT c_custkey, round(u4, 9) AS uniform, round(sqrt(-2 * ln(u0)) * cos(2 * pi() * u1), 6) + 0.0 AS z0, round(sqrt(-2 * ln(u2)) * cos(2 * pi() * u3), 6) + 0.0 AS z1 FROM u")
+def random_streams(spark, sf):
+    """A uniform and two normal draws for each customer."""
+    key = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", r6(streams.uniform(key, 11, 4), "uniform", 9), r6(streams.normal(key, 11, 0), "z0"), r6(streams.normal(key, 11, 1), "z1"))
+
+
 # --- linear models ----------------------------------------------------------------------------------------------------
 
 NORMAL = """WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_extendedprice) AS m, covar_pop(l_quantity, l_quantity) AS aa, covar_pop(l_discount, l_discount) AS bb, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay, covar_pop(l_discount, l_extendedprice) AS bq FROM lineitem),

@@ -1,4 +1,4 @@
-"""Synthetic tables: exact NumPy draws for small ones, distributed draws for large ones."""
+"""Synthetic tables: exact NumPy draws for small ones, draws by row number where the rows are for large ones."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.base import check_random_state
+from quillon.functions import expr
+from quillon.functions.base import check_random_state, vector
+from quillon.functions.streams import normal, normals, uniform
 
 SCHEMA = "row_id long, features array<double>, y double"
 
@@ -53,24 +55,26 @@ def make_moons(spark: SparkSession, n_samples: int = 100, noise: float = 0.0, ra
     return _frame(spark, x + (rng.normal(0, noise, x.shape) if noise else 0), np.r_[np.zeros(n), np.ones(n_samples - n)], True)
 
 
-def large_blobs(spark: SparkSession, n_samples: int, n_features: int = 2, centers: int = 3, cluster_std: float = 1.0, seed: int = 0) -> DataFrame:
-    """The same distribution drawn where the rows are, for tables of any size."""
+def large_blobs(spark: SparkSession, n_samples: int, n_features: int = 2, centers: int = 3, cluster_std: float = 1.0, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """Blobs drawn where the rows are, by row number: the same rows for any number of partitions."""
+    _positive(n_samples=n_samples, n_features=n_features, centers=centers)
     mid = np.random.default_rng(seed).uniform(-10, 10, (centers, n_features))
-    rows = spark.range(n_samples).withColumnRenamed("id", "row_id").withColumn("y", F.floor(F.col("row_id") * centers / n_samples).cast("long"))
-    pick = lambda j: F.element_at(F.array(*[F.lit(float(m[j])) for m in mid]), (F.col("y") + 1).cast("int"))
-    return rows.select("row_id", F.array(*[pick(j) + cluster_std * F.randn(seed * 1000 + j) for j in range(n_features)]).alias("features"), "y")
+    rows = spark.range(0, n_samples, 1, partitions).withColumnRenamed("id", "row_id").withColumn("y", F.floor(F.col("row_id") * centers / n_samples).cast("long"))
+    own = F.get(F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in mid]), F.col("y").cast("int"))
+    return rows.select("row_id", F.zip_with(own, normals(F.col("row_id"), seed, n_features), lambda m, z: m + cluster_std * z).alias("features"), "y")
 
 
-def large_regression(spark: SparkSession, n_samples: int, n_features: int = 1, noise: float = 0.0, seed: int = 0) -> DataFrame:
+def large_regression(spark: SparkSession, n_samples: int, n_features: int = 1, noise: float = 0.0, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    _positive(n_samples=n_samples, n_features=n_features)
     rng = np.random.default_rng(seed)
     w, b = rng.normal(size=n_features), float(rng.normal())
-    rows = spark.range(n_samples).select(F.col("id").alias("row_id"), F.array(*[F.randn(seed * 1000 + j) for j in range(n_features)]).alias("features"))
-    y = sum((F.get("features", F.lit(j)) * float(w[j]) for j in range(n_features)), F.lit(b)) + noise * F.randn(seed * 1000 + 999)
-    return rows.withColumn("y", y)
+    rows = spark.range(0, n_samples, 1, partitions).select(F.col("id").alias("row_id"), normals(F.col("id"), seed, n_features).alias("features"))
+    return rows.withColumn("y", expr.dot(F.col("features"), vector(w)) + b + noise * normal(F.col("row_id"), seed, n_features))
 
 
-def large_moons(spark: SparkSession, n_samples: int, noise: float = 0.0, seed: int = 0) -> DataFrame:
-    t = spark.range(n_samples).select(F.col("id").alias("row_id"), (F.col("id") >= n_samples // 2).cast("long").alias("y"), (F.rand(seed) * math.pi).alias("t"))
+def large_moons(spark: SparkSession, n_samples: int, noise: float = 0.0, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    _positive(n_samples=n_samples)
+    rows = spark.range(0, n_samples, 1, partitions).select(F.col("id").alias("row_id"), (F.col("id") >= n_samples // 2).cast("long").alias("y"), (uniform(F.col("id"), seed, 0) * math.pi).alias("t"))
     x = F.when(F.col("y") == 0, F.cos("t")).otherwise(1 - F.cos("t"))
     z = F.when(F.col("y") == 0, F.sin("t")).otherwise(0.5 - F.sin("t"))
-    return t.select("row_id", F.array(x + noise * F.randn(seed + 1), z + noise * F.randn(seed + 2)).alias("features"), "y")
+    return rows.select("row_id", F.array(x + noise * normal(F.col("row_id"), seed, 1), z + noise * normal(F.col("row_id"), seed, 2)).alias("features"), "y")
