@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from quillon.functions import expr, streams
 from quillon.functions.base import feature_columns
+from quillon.functions.held import shared_folder
 from quillon.functions.stats import sums
 from quillon.operators import metrics as M
 from quillon.operators import optimizers as O
@@ -26,6 +28,7 @@ from quillon.operators.preprocessing import MinMaxScaler, OneHotEncoder, SparseO
 from quillon.operators.tokenizers import BPETokenizer, CharTokenizer, adjacent_pairs, characters
 from quillon.operators.tree import DecisionTreeClassifier, DecisionTreeRegressor, apply_kernel
 from quillon.sources import generators
+from quillon.streaming import keyed
 from quillon.tensor import autodiff as ad
 from quillon.tensor import rel, tiles
 from quillon.tensor import transformer as tf
@@ -933,9 +936,13 @@ def embedding_scatter_add(spark, sf):
     return grad.join(ids.groupBy("k").agg(F.count("*").alias("n")), "k").select("k", "n", r6("v", "v", 2))
 
 
-@query("SELECT p AS pos, k::INT AS k, round(CASE WHEN k % 2 = 0 THEN sin(p * pow(10000, -2 * (k // 2) / 16)) ELSE cos(p * pow(10000, -2 * (k // 2) / 16)) END, 6) + 0.0 AS v FROM range(64) a(p), range(16) b(k)")
+@query("SELECT conv_id, coalesce(turn, 0) AS pos, k::INT AS k, round(CASE WHEN k % 2 = 0 THEN sin(coalesce(turn, 0) * pow(10000, -2 * (k // 2) / 16)) ELSE cos(coalesce(turn, 0) * pow(10000, -2 * (k // 2) / 16)) END, 6) + 0.0 AS v FROM conversations, range(16) b(k)")
 def positional_encoding(spark, sf):
-    return rel.positional_table(spark, 64, 16).select("pos", "k", r6("v", "v"))
+    """The position of each turn in its conversation."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.coalesce("turn", F.lit(0).cast("long")).alias("pos"))
+    longest = turns.agg(F.max("pos").alias("m")).first()["m"]
+    codes = rel.positional_table(spark, (longest or 0) + 1, 16)
+    return turns.join(codes, "pos").select("conv_id", "pos", "k", r6("v", "v"))
 
 
 @query("SELECT s_suppkey, round(1 / (1 + exp(-s_acctbal / 5000)), 6) AS p, round(sqrt(pow(s_acctbal - 1, 2) + pow(s_nationkey - 2, 2)), 4) AS d FROM supplier")
@@ -955,9 +962,24 @@ def data_parallel_training(spark, sf):
     return spark.createDataFrame(list(enumerate(map(float, losses))), "step long, loss double")
 
 
-@query()
+@query(f"""WITH u AS (SELECT p_partkey AS k, p_size % 4 AS y, {', '.join(f"(('0x' || substr(md5(p_partkey || ':5:{n}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u{n}" for n in range(4))} FROM part),
+z AS (SELECT y, 3 * y + 0.5 * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) AS a, -3 * y + 0.5 * sqrt(-2 * ln(u2)) * cos(2 * pi() * u3) AS b FROM u)
+SELECT y::BIGINT AS y, count(*) AS n, round(avg(a), 6) + 0.0 AS mean_a, round(avg(b), 6) + 0.0 AS mean_b, round(var_pop(a), 6) AS var_a, round(covar_pop(a, b), 6) + 0.0 AS cov FROM z GROUP BY 1""")
 def generated_blobs(spark, sf):
-    return generators.make_blobs(spark, 300, 3, 4, random_state=0)
+    """A row of a blob for each part, around the centre of its size's remainder."""
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 4).cast("long").alias("y"))
+    rows = generators.blobs_for(parts, "p_partkey", "y", [[3.0 * k, -3.0 * k] for k in range(4)], 0.5, 5)
+    a, b = (F.get("features", F.lit(k)) for k in range(2))
+    return rows.groupBy("y").agg(F.count("*").alias("n"), r6(F.avg(a), "mean_a"), r6(F.avg(b), "mean_b"), r6(F.var_pop(a), "var_a"), r6(F.covar_pop(a, b), "cov"))
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 6) AS variance FROM events GROUP BY 1")
+def keyed_stream_statistics(spark, sf):
+    """The events as a stream, their running statistics by type in the state store, and the last ones of each type."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    keyed.run_available(keyed.running_statistics(events, "event_type", "value"), f"{folder}/out", f"{folder}/checkpoint")
+    return keyed.latest(spark, f"{folder}/out").select(F.col("key").alias("event_type"), "n", r6("mean", "mean"), r6("variance", "variance"))
 
 
 # --- networks: modules of the library inside tasks --------------------------------------------------------------------

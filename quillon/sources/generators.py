@@ -78,3 +78,9 @@ def large_moons(spark: SparkSession, n_samples: int, noise: float = 0.0, seed: i
     x = F.when(F.col("y") == 0, F.cos("t")).otherwise(1 - F.cos("t"))
     z = F.when(F.col("y") == 0, F.sin("t")).otherwise(0.5 - F.sin("t"))
     return rows.select("row_id", F.array(x + noise * normal(F.col("row_id"), seed, 1), z + noise * normal(F.col("row_id"), seed, 2)).alias("features"), "y")
+
+
+def blobs_for(rows: DataFrame, key: str, component: str, centers: list[list[float]], cluster_std: float = 1.0, seed: int = 0) -> DataFrame:
+    """rows with features: for each row of a table a point around the centre that its component names."""
+    own = F.get(F.array(*[vector(m) for m in centers]), F.col(component).cast("int"))
+    return rows.withColumn("features", F.zip_with(own, normals(F.col(key), seed, len(centers[0])), lambda m, z: m + cluster_std * z))
