@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import expr
 from quillon.functions.base import ConvergenceWarning, Estimator, check_frame, check_is_fitted, check_random_state, of_width, vector
 from quillon.functions.stats import matrix, moments, sums
-from quillon.functions.streams import normals
+from quillon.functions.streams import normals, uniform
 from quillon.operators.density import DBSCAN
 
 __all__ = ["DBSCAN", "GaussianMixture", "KMeans"]
@@ -52,8 +52,7 @@ class KMeans(Estimator):
         for k in range(self.n_clusters):
             near = F.array_min(center_distances(features, np.array(chosen))) if chosen else F.lit(1.0)
             weight = near if by_distance else F.when(near > 0, 1.0).otherwise(0.0)
-            u = (F.pmod(F.xxhash64(name, F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-            got = df.where(weight > 0).agg(F.min_by(features, -F.log(u) / weight).alias("x")).first()["x"]
+            got = df.where(weight > 0).agg(F.min_by(features, -F.log(uniform(F.col(name), seed, k)) / weight).alias("x")).first()["x"]
             chosen.append(got if got is not None else chosen[0])
         return np.array(chosen)
 

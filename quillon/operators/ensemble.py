@@ -70,12 +70,12 @@ class RandomForestClassifier(_Classifier):
     def __init__(self, n_estimators: int = 100, criterion: str = "gini", max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, max_features="sqrt", bootstrap: bool = True, oob_score: bool = False, random_state=None):
         self.n_estimators, self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.bootstrap, self.oob_score, self.random_state = n_estimators, criterion, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, bootstrap, oob_score, random_state
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", local_cells: int = LOCAL_CELLS, key: str = "row_id") -> RandomForestClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", local_cells: int = LOCAL_CELLS, key: str = "row_id", most_classes: int = 10_000) -> RandomForestClassifier:
         """local_cells: a node of up to so many numbers is finished by one task; the trees are the same for any."""
         if self.n_estimators < 1 or self.oob_score and not self.bootstrap:
             raise ValueError("n_estimators must be positive; oob_score needs bootstrap")
         _, d = check_frame(df, features, target)
-        self.classes_, self.n_features_ = classes_of(df, target), d
+        self.classes_, self.n_features_ = classes_of(df, target, most_classes), d
         rules = Rules(self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features)
         self.seed_ = int(check_random_state(self.random_state).integers(2**31))
         name = F.col(key).cast("string") if key in df.columns else F.xxhash64(features, target).cast("string")
@@ -124,11 +124,11 @@ class AdaBoostClassifier(_Classifier):
     def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, max_depth: int = 1):
         self.n_estimators, self.learning_rate, self.max_depth = n_estimators, learning_rate, max_depth
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, local_cells: int = LOCAL_CELLS) -> AdaBoostClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, local_cells: int = LOCAL_CELLS, most_classes: int = 10_000) -> AdaBoostClassifier:
         if self.n_estimators < 1 or self.learning_rate <= 0:
             raise ValueError("n_estimators and learning_rate must be positive")
         _, d = check_frame(df, features, target, weight)
-        self.classes_, self.n_features_ = classes_of(df, target), d
+        self.classes_, self.n_features_ = classes_of(df, target, most_classes), d
         k = len(self.classes_)
         if k < 2:
             raise ValueError("two classes are needed")
@@ -231,12 +231,12 @@ class GradientBoostingClassifier(_Classifier):
     def __init__(self, learning_rate: float = 0.1, n_estimators: int = 100, subsample: float = 1.0, max_depth: int = 3, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, max_features=None, init: str = "prior", random_state=None):
         self.learning_rate, self.n_estimators, self.subsample, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.init, self.random_state = learning_rate, n_estimators, subsample, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, init, random_state
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, key: str = "row_id", local_cells: int = LOCAL_CELLS) -> GradientBoostingClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, key: str = "row_id", local_cells: int = LOCAL_CELLS, most_classes: int = 10_000) -> GradientBoostingClassifier:
         """Rows and their raw scores go from round to round in a table: each round writes it once, with the leaves of its own trees."""
         if self.learning_rate <= 0 or self.n_estimators < 1 or not 0 < self.subsample <= 1 or self.init not in ("prior", "zero"):
             raise ValueError("bad boosting parameters")
         n, d = check_frame(df, features, target, weight)
-        self.classes_, self.n_features_ = classes_of(df, target), d
+        self.classes_, self.n_features_ = classes_of(df, target, most_classes), d
         k = len(self.classes_)
         if k < 2:
             raise ValueError("two classes are needed")

@@ -67,13 +67,13 @@ class KNeighborsClassifier(Estimator):
     def __init__(self, n_neighbors: int = 5, metric: str = "euclidean", weights: str = "uniform", max_pivots: int = 1024):
         self.n_neighbors, self.metric, self.weights, self.max_pivots = n_neighbors, metric, weights, max_pivots
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", key: str = "row_id") -> KNeighborsClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", key: str = "row_id", most_classes: int = 10_000) -> KNeighborsClassifier:
         if self.metric not in expr.METRICS or self.weights not in ("uniform", "distance"):
             raise ValueError("metric is 'euclidean' or 'manhattan', weights 'uniform' or 'distance'")
         n, d = check_frame(df, features, target)
         if not 1 <= self.n_neighbors <= n:
             raise ValueError("n_neighbors must lie between 1 and the number of rows")
-        self.n_features_, self.classes_ = d, classes_of(df, target)
+        self.n_features_, self.classes_ = d, classes_of(df, target, most_classes)
         self.key_type_, self.label_type_ = df.schema[key].dataType, df.schema[target].dataType
         train = df.select(F.col(key).alias("id"), F.col(features).alias("x"), F.col(target).alias("label"))
         equal = Window.partitionBy("x").orderBy("id")

@@ -504,12 +504,12 @@ class DecisionTreeClassifier(_TreeModel):
     def __init__(self, criterion: str = "gini", max_depth: int | None = None, min_samples_split: int = 2, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, max_features=None, random_state=None):
         self.criterion, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.random_state = criterion, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, random_state
 
-    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, local_cells: int = LOCAL_CELLS) -> DecisionTreeClassifier:
+    def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, local_cells: int = LOCAL_CELLS, most_classes: int = 10_000) -> DecisionTreeClassifier:
         if self.criterion not in ("gini", "entropy"):
             raise ValueError(f"unknown criterion {self.criterion!r}")
         _, d = check_frame(df, features, target, weight)
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
-        self.classes_ = classes_of(df, target)
+        self.classes_ = classes_of(df, target, most_classes)
         return self._grow(df, features, class_stats(F.col(target), self.classes_, w), len(self.classes_), d, w, local_cells)
 
     def predict_proba(self, df: DataFrame, features: str = "features", into: str = "proba") -> DataFrame:

@@ -628,9 +628,10 @@ def gradient_boosting_staged(spark, sf):
 STARTS = [[0.0, 4.0], [4.0, 12.0], [8.0, 20.0]]
 
 
-def lloyd_sql(steps: int) -> str:
+def lloyd_sql(steps: int, starts: list[str] | None = None) -> str:
+    """Steps from STARTS, or from what the CTEs of starts call c0."""
     start = " UNION ALL ".join(f"SELECT {k} AS k, {a}::DOUBLE AS a, {b}::DOUBLE AS b" for k, (a, b) in enumerate(STARTS))
-    parts = [f"c0 AS ({start})"]
+    parts = list(starts or [f"c0 AS ({start})"])
     for s in range(steps + 1):
         parts.append(f"d{s} AS (SELECT id, x1, x2, arg_min(k, d * 1000000 + k * 1e-6) AS k, min(d) AS d FROM (SELECT id, x1, x2, k, (x1 - a) * (x1 - a) + (x2 - b) * (x2 - b) AS d FROM t, c{s}) GROUP BY 1, 2, 3)")
         parts.append(f"c{s + 1} AS (SELECT k, avg(x1) AS a, avg(x2) AS b FROM d{s} GROUP BY 1)")
@@ -646,6 +647,26 @@ def kmeans(spark, sf):
     return c.join(n, "cluster").select("cluster", r6("x1", "x1"), r6("x2", "x2"), "n", r6(F.lit(m.inertia_), "inertia", 3))
 
 
+def drawn_sql(k: int) -> list[str]:
+    """CTEs up to c0(k, a, b): k rows drawn one after the other, each with the squared distance to those drawn as its weight."""
+    parts = []
+    for j in range(k):
+        u = f"((('0x' || substr(md5(id || ':{SEED_0}:{j}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+        near = "least(" + ", ".join(f"(SELECT (x1 - a) * (x1 - a) + (x2 - b) * (x2 - b) FROM q{i})" for i in range(j)) + ")" if j else "1.0"
+        parts.append(f"q{j} AS (SELECT {j} AS k, x1 AS a, x2 AS b FROM (SELECT x1, x2, -ln({u}) / w AS clock FROM (SELECT *, {near} AS w FROM t) WHERE w > 0) ORDER BY clock LIMIT 1)")
+    return [*parts, "c0 AS (" + " UNION ALL ".join(f"SELECT * FROM q{j}" for j in range(k)) + ")"]
+
+
+@query(lloyd_sql(3, drawn_sql(4)))
+def kmeans_drawn_starts(spark, sf):
+    """Three steps from k-means++ starts."""
+    df = places(spark, sf)
+    m = KMeans(4, n_init=1, max_iter=3, tol=0.0, random_state=0).fit(df)
+    n = m.predict(df).groupBy(F.col("prediction").cast("long").alias("cluster")).agg(F.count("*").alias("n"))
+    c = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(m.cluster_centers_)], "cluster long, x1 double, x2 double")
+    return c.join(n, "cluster").select("cluster", r6("x1", "x1"), r6("x2", "x2"), "n", r6(F.lit(m.inertia_), "inertia", 3))
+
+
 @query()
 def kmeans_plus_plus(spark, sf):
     df = places(spark, sf)
@@ -819,19 +840,19 @@ def bpe_pair_counts(spark, sf):
     return adjacent_pairs(table(spark, sf, "documents"))
 
 
-def bpe_sql(merges: int) -> str:
-    """m<k>(a, b, n), the k-th merge, by replacing pairs in the characters of all documents."""
-    parts = ["t0 AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) AS pos, c AS tok FROM (SELECT doc_id AS id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM documents) WHERE c <> '')"]
+def bpe_sql(merges: int, table_: str = "documents", key: str = "doc_id") -> str:
+    """CTEs m<k>(a, b, n), the k-th merge, and t<k>(id, pos, tok), the texts before it, by replacing pairs in a table's characters."""
+    parts = [f"t0 AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) AS pos, c AS tok FROM (SELECT {key} AS id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM {table_}) WHERE c <> '')"]
     for k in range(merges):
         parts.append(f"p{k} AS (SELECT id, pos, tok, lead(tok) OVER (PARTITION BY id ORDER BY pos) AS nx FROM t{k})")
         parts.append(f"m{k} AS (SELECT tok AS a, nx AS b, count(*) AS n FROM p{k} WHERE nx IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 1)")
         parts.append(f"h{k} AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS run FROM p{k}, m{k} WHERE tok = a AND nx = b)")
         parts.append(f"g{k} AS (SELECT id, pos FROM (SELECT id, pos, row_number() OVER (PARTITION BY id, run ORDER BY pos) AS r FROM h{k}), m{k} WHERE a <> b OR r % 2 = 1)")
         parts.append(f"t{k + 1} AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS pos, tok FROM (SELECT p.id, p.pos, CASE WHEN g.pos IS NULL THEN p.tok ELSE m.a || m.b END AS tok FROM p{k} p CROSS JOIN m{k} m LEFT JOIN g{k} g ON g.id = p.id AND g.pos = p.pos LEFT JOIN g{k} l ON l.id = p.id AND l.pos = p.pos - 1 WHERE l.pos IS NULL))")
-    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {k + 1}::BIGINT AS rank, a AS \"left\", b AS \"right\", n FROM m{k}" for k in range(merges))
+    return "WITH " + ", ".join(parts)
 
 
-@query(bpe_sql(6))
+@query(bpe_sql(6) + " " + " UNION ALL ".join(f"SELECT {k + 1}::BIGINT AS rank, a AS \"left\", b AS \"right\", n FROM m{k}" for k in range(6)))
 def bpe_training(spark, sf):
     """The first six merges over all documents."""
     tok = BPETokenizer(6).fit(table(spark, sf, "documents"))
@@ -839,7 +860,7 @@ def bpe_training(spark, sf):
     return spark.createDataFrame(rows, "rank long, left string, right string, n long")
 
 
-@query()
+@query(bpe_sql(8, "benchmark", "item_id") + " SELECT item_id, coalesce(n, 0) AS n, true AS same FROM benchmark LEFT JOIN (SELECT id, count(*) AS n FROM t8 GROUP BY 1) ON id = item_id")
 def bpe_merges(spark, sf):
     df = table(spark, sf, "benchmark")
     tok = BPETokenizer(8).fit(df)
