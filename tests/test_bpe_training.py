@@ -26,7 +26,7 @@ def corpus(seed, n):
     return [" ".join(r.choice(words) for _ in range(r.randrange(1, 12))) for _ in range(n)] + ["aaaaaaa", "aaaa", "ababab", "", "x"]
 
 
-@pytest.mark.parametrize("seed,merges", [(1, 25), (2, 12)])
+@pytest.mark.parametrize("seed,merges", [(1, 14), (2, 8)])
 def test_merges_and_encoding(spark, seed, merges):
     texts = corpus(seed, 60)
     texts += texts[:20]

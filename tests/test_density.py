@@ -50,10 +50,10 @@ def test_chains_of_cells_and_touching_boxes(spark):
 
 def test_a_cell_with_half_of_all_rows_is_not_paired(spark):
     r = np.random.default_rng(0)
-    x = np.vstack([r.uniform(0, 0.2, size=(3000, 2)), r.uniform(0.75, 0.95, size=(1500, 2)), r.uniform(0, 20, size=(1500, 2))])
+    x = np.vstack([r.uniform(0, 0.2, size=(1500, 2)), r.uniform(0.75, 0.95, size=(750, 2)), r.uniform(0, 20, size=(750, 2))])
     labels, core, m = run(spark, x, 1.0, 5)
     assert (labels, core) == plain(x, 1.0, 5, "euclidean")
-    assert m.compared_.value < 6000 * 6000 / 20
+    assert m.compared_.value < 3000 * 3000 / 10
 
 
 def test_two_full_cells_that_no_row_links(spark):
