@@ -316,12 +316,19 @@ def merge_once(tokens: list[str], a: str, b: str) -> list[str]:
 
 
 def replace_pair(seqs: DataFrame, a: str, b: str) -> DataFrame:
-    """seqs(ts, n) after one merge, as one left fold per sequence, native: the last token joins if it is a and the next b."""
-    whole = F.lit(a + b)
-    fold = F.aggregate(
-        "ts",
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("open")),
-        lambda s, t: F.when((s["open"] == a) & (t == b), F.struct(F.array_append(s["out"], whole).alias("out"), F.lit(None).cast("string").alias("open"))).otherwise(F.struct(F.when(s["open"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["open"])).alias("out"), t.alias("open"))),
-        lambda s: F.when(s["open"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["open"])),
-    )
-    return seqs.select(F.when(F.array_contains("ts", a) & F.array_contains("ts", b), fold).otherwise(F.col("ts")).alias("ts"), "n")
+    """seqs(ts, n) after one merge: every a b becomes one token, from the left, without overlaps; all sequences of a batch at once."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("ts").fill_null([])
+            coded = lists.flatten().dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            code = {t: k for k, t in enumerate(names)}
+            ends = np.asarray(lists.offsets)[1:] - np.asarray(lists.offsets)[0]
+            ids = np.insert(np.asarray(coded.indices, np.int32), ends, -1)  # -1 closes each sequence
+            ids = merge_ids(ids, code.get(a, -2), code.get(b, -2), len(names))
+            close = np.flatnonzero(ids == -1)
+            tokens = pa.array(np.array([*names, a + b], object), pa.string()).take(pa.array(ids[ids >= 0]))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], close - np.arange(len(close))]).astype(np.int32)), tokens), batch.column("n")], names=["ts", "n"])
+
+    return seqs.select("ts", "n").mapInArrow(run, T.StructType([T.StructField("ts", T.ArrayType(T.StringType())), seqs.schema["n"]]))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from quillon.operators.tokenizers import BPETokenizer, merge_ids, merge_once, settled_merges
+from quillon.operators.tokenizers import BPETokenizer, merge_ids, merge_once, replace_pair, settled_merges
 
 
 def plain(texts, merges):
@@ -69,3 +69,12 @@ def test_only_certain_merges_are_taken_together():
     assert settled_merges([("a", "b", 9), ("c", "d", 8), ("x", "b", 8)], set("abcdx"), 10, True) == [("a", "b", 9)]
     assert settled_merges([("a", "b", 9), ("c", "d", 8)], set("abcd"), 10, False) == [("a", "b", 9)]
     assert settled_merges([("a", "b", 9), ("c", "d", 8)], {*"abcd", "ab"}, 10, True) == [("a", "b", 9)]
+
+
+def test_replace_pair(spark):
+    r = random.Random(6)
+    rows = [([r.choice(["a", "aa", "b", "é"]) for _ in range(r.randrange(15))], k) for k in range(60)] + [([], 60), (["a"] * 20_000, 61)]
+    df = spark.createDataFrame(rows, "ts array<string>, n long").repartition(3)
+    for a, b in (("a", "b"), ("a", "a"), ("aa", "a"), ("x", "y")):
+        got = {row["n"]: row["ts"] for row in replace_pair(df, a, b).collect()}
+        assert got == {n: merge_once(ts, a, b) for ts, n in rows}
