@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.base import Estimator, check_is_fitted
-from quillon.functions.held import Held
+from quillon.functions.held import Held, bounded_batches
 
 
 def characters(df: DataFrame, text: str = "text") -> DataFrame:
@@ -23,18 +26,33 @@ def adjacent_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def count(batches):
         for batch in batches:
-            points, ends = code_points(batch.column("t").to_pylist())
-            both = points[:-1].astype(np.int64) << 32 | points[1:]
-            inside = np.ones(len(both), bool)
-            inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(points))] - 1] = False
-            pair, n = np.unique(both[inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([chr(p >> 32) for p in pair.tolist()], pa.string()), pa.array([chr(p & 0xFFFFFFFF) for p in pair.tolist()], pa.string()), pa.array(n, pa.int64())], names=["left", "right", "n"])
-
-    # A batch's pairs are counted by one sort, so that only distinct pairs leave it.
-    parts = df.select(F.col(text).alias("t")).mapInArrow(count, "left string, right string, n bigint")
+            for part in text_slices(batch.column("t")):
+                points, ends = code_points(part.to_pylist())
+                both = points[:-1].astype(np.int64) << 32 | points[1:]
+                inside = np.ones(len(both), bool)
+                inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(points))] - 1] = False
+                pair, n = np.unique(both[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chr(p >> 32) for p in pair.tolist()], pa.string()), pa.array([chr(p & 0xFFFFFFFF) for p in pair.tolist()], pa.string()), pa.array(n, pa.int64())], names=["left", "right", "n"])
+
+    # The pairs of a slice of a batch are counted by one sort, so that only distinct pairs leave it.
+    parts = bounded_batches(df.select(F.col(text).alias("t"))).mapInArrow(count, "left string, right string, n bigint")
     return parts.groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
+#: Bytes of text that a kernel turns into arrays of numbers at once; these take some ten times as much.
+SLICE = 1 << 20
+
+
+def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """Successive slices of a string column of about `most` bytes each, but of one text at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield column.slice(at, stop - at)
+        at = stop
+
+
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' code points, one text after the other, and where each ends."""
     said = [t or "" for t in texts]
