@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions.held import bounded_batches
 from quillon.functions.stats import matrix
 
 #: Rows of a tile of queries, of keys, and the side of a matrix tile.
@@ -40,11 +41,14 @@ def attention(q: DataFrame, k: DataFrame, v: DataFrame, causal: bool = False, qu
     k_tiles = _tiled(kv, keys, ["k", "v"]).select("b", F.col("t").alias("s"), F.col("rows").alias("kv"), F.pmod(F.col("t"), F.lit(SALTS)).alias("salt"))
     sees = F.col("s") * keys < (F.col("t") + 1) * queries if causal else F.lit(True)
     sent = k_tiles.join(known, ["b", "salt"]).where(sees).drop("salt")
-    met = q_tiles.join(sent, ["b", "t"]).repartition("b", "t").sortWithinPartitions("b", "t", "s")
+    # A tile of queries goes before the tiles of keys it meets, once: beside each of them it would be most of what is moved.
+    first = q_tiles.join(sent.select("b", "t").distinct(), ["b", "t"], "left_semi").select("b", "t", F.lit(None).cast("long").alias("s"), "q", F.lit(None).cast(k_tiles.schema["kv"].dataType).alias("kv"))
+    met = first.union(sent.select("b", "t", "s", F.lit(None).cast(q_tiles.schema["q"].dataType), "kv"))
+    met = bounded_batches(met.repartition("b", "t").sortWithinPartitions("b", "t", F.asc_nulls_first("s")))
     out = T.StructType([q.schema["b"], q.schema["i"], T.StructField("out", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        now, state = None, None
+        now, state = False, None
 
         def closing():
             b, at, top, total, sums = state
@@ -56,26 +60,27 @@ def attention(q: DataFrame, k: DataFrame, v: DataFrame, causal: bool = False, qu
         for batch in batches:
             kind_b = batch.column("b").type
             for n in range(batch.num_rows):
-                b, t = batch.column("b")[n].as_py(), batch.column("t")[n].as_py()
-                own, other = batch.column("q")[n].values, batch.column("kv")[n].values
-                if (b, t) != now:
-                    if now is not None:
+                if batch.column("s")[n].as_py() is None:  # a tile of queries
+                    if now:
                         yield closing()
-                    now, x = (b, t), matrix(own.field("x"))
-                    state = [b, own.field("i"), np.full(len(x), -np.inf), np.zeros(len(x)), None]
+                    own = batch.column("q")[n].values
+                    now, x, at = True, matrix(own.field("x")), np.array(own.field("i"))
+                    state = [batch.column("b")[n].as_py(), pa.array(at), np.full(len(x), -np.inf), np.zeros(len(x)), None]
+                    continue
+                other = batch.column("kv")[n].values
                 key, value = matrix(other.field("k")), matrix(other.field("v"))
                 scores = x @ key.T / math.sqrt(x.shape[1])
                 if causal:
-                    scores = np.where(np.asarray(other.field("i"))[None] <= np.asarray(own.field("i"))[:, None], scores, -np.inf)
+                    scores = np.where(np.asarray(other.field("i"))[None] <= at[:, None], scores, -np.inf)
                 _, _, top, total, sums = state
                 best = np.maximum(top, scores.max(1))
                 safe = np.where(np.isfinite(best), best, 0.0)
                 keep, raised = np.exp(np.where(np.isfinite(top), top - safe, -np.inf)), np.exp(scores - safe[:, None])
                 state[2:] = [best, total * keep + raised.sum(1), (0.0 if sums is None else sums * keep[:, None]) + raised @ value]
-        if now is not None:
+        if now:
             yield closing()
 
-    return met.select("b", "t", "q", "kv").mapInArrow(run, out)
+    return met.select("b", "s", "q", "kv").mapInArrow(run, out)
 
 
 def tiles(entries: DataFrame, side: int = SIDE) -> DataFrame:

@@ -51,3 +51,13 @@ def test_matmul(spark, left):
     for x in tiles.entries(tiles.matmul(make(a), make(b), 4, left), 4).collect():
         got[x["i"], x["j"]] = x["v"]
     assert np.allclose(got, (a.T if left else a) @ b)
+
+
+def test_tasks_hold_few_tiles_at_once(spark):
+    """A tile of queries is moved once and not beside each tile of keys, and Python gets a bounded number of bytes."""
+    x = spark.range(300).select(F.lit(0).alias("b"), F.col("id").alias("i"), F.array_repeat(F.col("id").cast("double"), 8).alias("x"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    plan = tiles.attention(x, x, x, True, 128, 16)._jdf.queryExecution().optimizedPlan()
+    below = plan.toString().split("MapInArrow")[1]
+    assert "Union" in below[: below.index("Join")]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 1 << 24
