@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,9 +150,9 @@ TOP, COMPACT = 64, 8
 class BPETokenizer(_Vocabulary):
     """Merges the most frequent adjacent pair, ties to the smallest pair, up to max_merges times; no minimum count.
 
-    Pairs are counted within rows, and equal texts are one sequence with their number. An index lists for each pair the
-    sequences that hold it, and the counts of pairs are kept up to date by differences. So a pass reads and rewrites only the
-    sequences of its pairs, counts nothing anew, and takes all merges whose order is already certain.
+    Pairs are counted within rows, and equal texts are one sequence with their number. Each sequence lies beside the list of
+    its pairs, and the counts of pairs are kept up to date by differences. So a pass rewrites only the sequences that hold its
+    pairs, moves none between tasks, counts nothing anew, and takes all merges whose order is already certain.
     """
 
     def __init__(self, max_merges: int = 100):
@@ -167,12 +167,10 @@ class BPETokenizer(_Vocabulary):
         texts = df.where(F.length(text) > 0).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n"))
         numbered = CharTokenizer()
         numbered.vocabulary_ = chars
-        coded = numbered.encode(texts, "t").select(F.monotonically_increasing_id().alias("sid"), "ids", "n")
+        coded = numbered.encode(bounded_batches(texts), "t").select("ids", "n")
         read = df.sparkSession.sparkContext.accumulator(0)
-        seqs = Held(coded, "bpe")
-        fresh = Held(_Pass([], list(chars), read).run(seqs.df.withColumn("fresh", F.lit(True))), "bpe-changes")
-        index, counts = Held(_listed([fresh]), "bpe-index"), Held(_counted([fresh]), "bpe-counts")
-        fresh.drop()
+        fresh = Held(_Pass([], list(chars), read).run(coded), "bpe")
+        forms, counts = [(fresh, F.lit(True))], Held(_counted([fresh]), "bpe-counts")
         changes: list[Held] = []
         while len(self.merges_) < self.max_merges:
             now = _counted(changes, counts.df)
@@ -180,26 +178,28 @@ class BPETokenizer(_Vocabulary):
             batch = settled_merges([(r["a"], r["b"], r["n"]) for r in top], set(known), self.max_merges - len(self.merges_), len(top) < TOP)
             if not batch:
                 break
-            asked = F.lit(False)
             for a, b, n in batch:
                 self.merges_.append((a, b))
                 self.merge_counts_.append(n)
-                asked = asked | ((F.col("a") == a) & (F.col("b") == b))
                 if a + b not in known:
                     known[a + b] = len(self.vocabulary_)
                     self.vocabulary_.append(a + b)
-            holds = _listed(changes, index.df, False).where(asked).select("sid").distinct()
+            if len(self.merges_) == self.max_merges:
+                break  # the last merge's counts are known, and nobody reads what it leaves
+            asked = F.array(*[F.lit(known[a] << 32 | known[b]).cast("long") for a, b, _ in batch])
             before = read.value
             step = _Pass([(known[a], known[b], known[a + b]) for a, b, _ in batch], self.vocabulary_, read)
-            changes.append(Held(step.run(_latest(seqs.df, changes).join(holds, "sid").withColumn("fresh", F.lit(False))), "bpe-changes"))
+            changes.append(Held(step.run(_latest(forms).where(F.arrays_overlap("pairs", asked))), "bpe-changes"))
             self.sequences_read_.append(read.value - before)
+            # What holds one of the pairs is replaced by its new form; the rest stays where it is.
+            forms = [(h, stays & ~F.arrays_overlap("pairs", asked)) for h, stays in forms] + [(changes[-1], F.lit(True))]
             if len(changes) == COMPACT:
-                old = [seqs, index, counts, *changes]
-                seqs, index, counts = Held(_latest(seqs.df, changes), "bpe"), Held(_listed(changes, index.df), "bpe-index"), Held(_counted(changes, counts.df), "bpe-counts")
+                old = [counts, *(h for h, _ in forms)]
+                forms, counts = [(Held(_latest(forms), "bpe"), F.lit(True))], Held(_counted(changes, counts.df), "bpe-counts")
                 changes = []
                 for h in old:
                     h.drop()
-        for h in [seqs, index, counts, *changes]:
+        for h in [counts, *(h for h, _ in forms)]:
             h.drop()
         return self
 
@@ -230,64 +230,55 @@ class BPETokenizer(_Vocabulary):
 
 
 class _Pass:
-    """Some merges over sequences(sid, ids, n, fresh): the changed sequences, and what changes in the pairs that they hold.
+    """Some merges over sequences(ids, n): their new forms, and what changes in the counts of pairs. Without merges all pairs are new.
 
-    Rows (sid, ids, n) are sequences; rows (sid, a, b) say that a sequence now holds a pair; rows (a, b, change) add to the
-    pair's count. Of fresh sequences all pairs are new.
+    Rows (ids, n, pairs) are sequences with their distinct pairs, as a * 2**32 + b; rows (a, b, change) add to a pair's count.
     """
 
-    SCHEMA = "sid long, ids array<int>, n long, a string, b string, change long"
+    SCHEMA = "ids array<int>, n long, pairs array<long>, a string, b string, change long"
 
     def __init__(self, merges: list[tuple[int, int, int]], vocabulary: list[str], read):
         self.merges, self.vocabulary, self.read = merges, np.array(vocabulary, object), read
 
     def run(self, sequences: DataFrame) -> DataFrame:
         merges, names, read = self.merges, self.vocabulary, self.read
-        kinds = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        fields = ["sid", "ids", "n", "a", "b", "change"]
+        kinds = [pa.list_(pa.int32()), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.int64()]
+        fields = ["ids", "n", "pairs", "a", "b", "change"]
 
         def row_of(count, **given):
             return pa.RecordBatch.from_arrays([given.get(f, pa.nulls(count, k)) for f, k in zip(fields, kinds, strict=True)], names=fields)
 
-        def named(pairs):
-            return {"a": pa.array(names[pairs >> 32], pa.string()), "b": pa.array(names[pairs & 0xFFFFFFFF], pa.string())}
+        def lists(parts, kind):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)), pa.array(np.concatenate(parts), kind))
 
         def kernel(batches):
             for batch in batches:
                 read.add(batch.num_rows)
-                ids_out, sids, ns, held, held_by, pairs, change = [], [], [], [], [], [], []
+                if not batch.num_rows:
+                    continue
+                ns, forms, held, pairs, change = np.asarray(batch.column("n")), [], [], [], []
                 for k in range(batch.num_rows):
                     old = np.asarray(batch.column("ids")[k].values, np.int32)
                     new = old
                     for a, b, c in merges:
                         new = merge_ids(new, a, b, c)
-                    fresh = batch.column("fresh")[k].as_py()
-                    if not fresh and len(new) == len(old):
-                        continue
-                    sid, n = batch.column("sid")[k].as_py(), batch.column("n")[k].as_py()
                     after, times = pair_counts(new)
-                    before, gone = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if fresh else pair_counts(old)
-                    pairs += [after, before]
-                    change += [times * n, -gone * n]
-                    own = np.setdiff1d(after, before)
-                    held.append(own)
-                    held_by.append(np.full(len(own), sid))
-                    if not fresh:
-                        ids_out.append(new)
-                        sids.append(sid)
-                        ns.append(n)
-                if sids:
-                    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids_out])]).astype(np.int32))
-                    yield row_of(len(sids), sid=pa.array(sids, pa.int64()), ids=pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids_out), pa.int32())), n=pa.array(ns, pa.int64()))
-                if held:
-                    own = np.concatenate(held)
-                    yield row_of(len(own), sid=pa.array(np.concatenate(held_by).astype(np.int64)), **named(own))
-                    distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
-                    sums = np.zeros(len(distinct), np.int64)
-                    np.add.at(sums, at, np.concatenate(change))
-                    yield row_of(int((sums != 0).sum()), change=pa.array(sums[sums != 0]), **named(distinct[sums != 0]))
-
-        return sequences.select("sid", "ids", "n", "fresh").mapInArrow(kernel, self.SCHEMA)
+                    pairs.append(after)
+                    change.append(times * ns[k])
+                    if merges:
+                        before, gone = pair_counts(old)
+                        pairs.append(before)
+                        change.append(-gone * ns[k])
+                    forms.append(new)
+                    held.append(after)
+                yield row_of(len(ns), ids=lists(forms, pa.int32()), n=batch.column("n"), pairs=lists(held, pa.int64()))
+                distinct, at = np.unique(np.concatenate(pairs), return_inverse=True)
+                sums = np.zeros(len(distinct), np.int64)
+                np.add.at(sums, at, np.concatenate(change))
+                moved = distinct[sums != 0]
+                yield row_of(len(moved), a=pa.array(names[moved >> 32], pa.string()), b=pa.array(names[moved & 0xFFFFFFFF], pa.string()), change=pa.array(sums[sums != 0]))
+
+        return bounded_batches(sequences.select("ids", "n")).mapInArrow(kernel, self.SCHEMA)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -303,21 +294,9 @@ def _counted(changes: list[Held], counts: DataFrame | None = None) -> DataFrame:
     return _union([*([counts] if counts is not None else []), *moved]).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def _listed(changes: list[Held], index: DataFrame | None = None, order: bool = True) -> DataFrame:
-    """(a, b, sid): sequences that hold a pair or once did; in order, so that a reader of few pairs skips the rest."""
-    new = [c.df.where("a is not null and sid is not null").select("a", "b", "sid") for c in changes]
-    rows = _union([*([index] if index is not None else []), *new])
-    return rows.distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b") if order else rows
-
-
-def _latest(seqs: DataFrame, changes: list[Held]) -> DataFrame:
-    """(sid, ids, n): the last form of each sequence."""
-    forms = [seqs, *(c.df.where("ids is not null").select("sid", "ids", "n") for c in changes)]
-    if len(forms) == 1:
-        return seqs
-    aged = _union([t.withColumn("age", F.lit(k)) for k, t in enumerate(forms)])
-    newest = _union([t.select("sid", "age") for t in (f.withColumn("age", F.lit(k)) for k, f in enumerate(forms))]).groupBy("sid").agg(F.max("age").alias("age"))
-    return aged.join(newest, ["sid", "age"]).drop("age")
+def _latest(forms: list[tuple[Held, Column]]) -> DataFrame:
+    """(ids, n, pairs): the sequences in their last form, of tables and what still holds of each."""
+    return _union([h.df.where(F.col("ids").isNotNull() & stays).select("ids", "n", "pairs") for h, stays in forms])
 
 
 def merge_once(tokens: list[str], a: str, b: str) -> list[str]:

@@ -78,3 +78,11 @@ def test_replace_pair(spark):
     for a, b in (("a", "b"), ("a", "a"), ("aa", "a"), ("x", "y")):
         got = {row["n"]: row["ts"] for row in replace_pair(df, a, b).collect()}
         assert got == {n: merge_once(ts, a, b) for ts, n in rows}
+
+
+def test_training_moves_no_sequences(spark, monkeypatch):
+    """Sequences are found by the pairs that lie beside them: training joins nothing."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(4, 30))], "i long, text string")
+    monkeypatch.setattr(type(df), "join", lambda *_, **__: pytest.fail("a join"))
+    tok = BPETokenizer(4).fit(df)
+    assert [(*m, n) for m, n in zip(tok.merges_, tok.merge_counts_, strict=True)] == plain(corpus(4, 30), 4)
