@@ -228,33 +228,33 @@ ROWS, BANDS = 4, 20  # a pair of similarity 0.8 misses all bands with a probabil
 
 
 def sketches(df: DataFrame, text: str = "text", k: int = 5) -> DataFrame:
-    """df without its text, with `name bigint` of the set of k-word shingles and `bands array<bigint>`, its MinHash bands.
+    """df without its text, with `name bigint` of the set of k-word shingles, `fp bigint`, its SimHash, and `bands array<bigint>`, its MinHash bands.
 
-    Texts with equal sets have equal names; texts without a word have name 0 and no bands.
+    Texts with equal sets have equal names; texts without a word have name 0, fp 0 and no bands.
     """
     held = [c for c in df.columns if c != text]
-    schema = T.StructType([*(df.schema[c] for c in held), T.StructField("name", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(df.schema[c] for c in held), T.StructField("name", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     odd = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
     turn = mix(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
     salt = mix(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
 
-    def one(text: bytes) -> tuple[int, list[int]]:
+    def one(text: bytes) -> tuple[int, int, list[int]]:
         h = np.unique(np.array(shingle_hashes(text, k), np.uint64))
         if not len(h):
-            return 0, []
+            return 0, 0, []
         mixed = mix(h)
         least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
         for lo in range(0, len(mixed), 4096):
             x = mixed[lo : lo + 4096, None] * odd[None, :]
             np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0), out=least)
         bands = mix((mix(least.reshape(BANDS, ROWS)) * turn).sum(axis=1, dtype=np.uint64) + salt)
-        return int(mixed.sum(dtype=np.uint64).view(np.int64)) or 1, bands.view(np.int64).tolist()
+        return int(mixed.sum(dtype=np.uint64).view(np.int64)) or 1, int(majority(h, np.array([len(h)])).view(np.int64)[0]), bands.view(np.int64).tolist()
 
     def run(batches):
         for batch in batches:
             raw, ends = utf8_parts(batch.column(text))
             got = [one(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.array([n for n, _ in got], pa.int64()), pa.array([b for _, b in got], pa.list_(pa.int64()))], names=[*held, "name", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.array([n for n, _, _ in got], pa.int64()), pa.array([f for _, f, _ in got], pa.int64()), pa.array([b for _, _, b in got], pa.list_(pa.int64()))], names=[*held, "name", "fp", "bands"])
 
     return narrow_batches(df.select(*held, text)).mapInArrow(run, schema)
 
@@ -272,15 +272,16 @@ def _alike(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     return narrow_batches(pairs.select("a", "b", "p", "q"), 100).mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, carry: tuple[str, ...] = (), radius: int = 4) -> DataFrame:
     """(key, *carry, name, component) per row of df: texts whose k-word shingle sets have a Jaccard similarity of at least `similarity` link.
 
-    Candidates share a MinHash band (a pair at 0.8 does with probability 0.99997) and are verified on their texts; so no
-    pair below the similarity links. Each member of a band meets the band's first; then members of different groups in
+    Candidates are the links of SimHash fingerprints of the sets within `radius` bits, found by the covering masks, and, for
+    pairs farther apart (at 0.8 about 10 bits), texts that share a MinHash band (a pair at 0.8 does with probability
+    0.99997). Both are verified on their texts; so no pair below the similarity links. Each member of a band meets the band's first; then members of different groups in
     one band meet. Component is the smallest key reachable; texts without a word are one group.
     """
     rows = written(sketches(df.select(key, *carry, text, F.xxhash64(text).alias("th")), text, k), "sketches")
-    nodes = written(rows.groupBy("name").agg(F.min(key).alias("least"), F.min("th").alias("th"), F.first("bands").alias("bands")), "sketch-nodes")
+    nodes = written(rows.groupBy("name").agg(F.min(key).alias("least"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sketch-nodes")
     texts = df.select(F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     # Equal sets are one node; one shuffle of the bands serves the counts and the rows.
     bands = nodes.select("name", F.explode("bands").alias("band")).repartition("band")
@@ -296,7 +297,14 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k:
         discard(held)
         return edges
 
-    stars = written(met.where("name != rep").select(F.col("rep").alias("a"), F.col("name").alias("b")).distinct(), "sketch-stars")
+    # Sets of equal fingerprint meet the first of them, and the first ones of linked fingerprints meet.
+    firsts = written(nodes.where("name != 0").groupBy("fp").agg(F.min("name").alias("a")), "simhash-firsts")
+    of = lambda end: firsts.select(F.col("fp").alias(f"fp_{end}"), F.col("a").alias(end))
+    linked = near_links(firsts.select("fp"), radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(of("a"), "fp_a").join(of("b"), "fp_b")
+    hashed = nodes.where("name != 0").join(firsts, "fp").select("a", F.col("name").alias("b")).union(linked.select("a", "b")).where("a != b")
+    banded = met.where("name != rep").select(F.col("rep").alias("a"), F.col("name").alias("b"))
+    stars = written(banded.union(hashed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "sketch-stars")
+    discard(firsts)
     edges = checked(stars)
     groups = written(connected(edges), "sketch-groups")
     # Further pairs of a band only between documents not yet in one group; each row meets a slice of the others.

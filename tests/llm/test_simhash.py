@@ -98,3 +98,19 @@ def test_empty_table(spark):
 def test_digest_columns(spark):
     got = S.digests(spark.createDataFrame([(5, "a b c d e", 1), (3, "a b c d e", 2), (9, None, 3)], "doc_id long, text string, component_id int")).collect()
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == [(3, f"{plain_fingerprint('a b c d e'):016x}", 3), (5, f"{plain_fingerprint('a b c d e'):016x}", 3), (9, "0" * 16, 9)]
+
+
+def test_similar_documents_are_candidates_by_their_simhash(spark, monkeypatch):
+    """Without any MinHash band, sets whose fingerprints lie within the radius still meet, and the texts decide."""
+    monkeypatch.setattr(S, "BANDS", 0)
+    rng = random.Random(6)
+    rows = []
+    for k in range(6):
+        base = [f"w{rng.randrange(99999)}" for _ in range(3000)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:1500] + ["new"] + base[1501:]))]
+    df = spark.createDataFrame([*rows, (20, ""), (21, None)], "doc_id long, text string")
+    fps = {r.doc_id: r.fp for r in S.sketches(df).collect()}
+    near = [k for k in range(6) if ((fps[2 * k] ^ fps[2 * k + 1]) & (2**64 - 1)).bit_count() <= 4]
+    assert len(near) >= 3
+    got = {r.doc_id: r.component for r in S.similar_documents(df).collect()}
+    assert len(got) == 14 and got[21] == 20 and all(got[2 * k + 1] == 2 * k for k in near)
