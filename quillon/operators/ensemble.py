@@ -18,7 +18,7 @@ from quillon.functions import expr
 from quillon.functions.base import Estimator, check_frame, check_is_fitted, check_random_state, classes_of
 from quillon.functions.held import Held
 from quillon.functions.stats import matrix
-from quillon.operators.tree import LOCAL_CELLS, Rules, apply_kernel, class_stats, grow_all, moment_stats
+from quillon.operators.tree import LOCAL_CELLS, Rules, apply_kernel, class_stats, grow_all, lists, moment_stats
 
 
 def _softmax(z):
@@ -205,21 +205,43 @@ class AdaBoostClassifier(_Classifier):
             yield said.agg(F.avg((F.col("__p") == F.col(target)).cast("double")).alias("v")).first()["v"]
 
 
-def _chances(raw: Column, k: int) -> Column:
-    """Class chances of raw scores: of the second of two classes, or of each of more."""
-    return F.transform(raw, expr.sigmoid) if k == 2 else expr.softmax(raw)
+def _rest(k: int) -> Column:
+    """What the class chances of raw scores leave of `hot`: of the second of two classes, or of each of more."""
+    if k == 2:
+        return F.array(F.get("hot", F.lit(0)) - expr.sigmoid(F.get("raw", F.lit(0))))
+    return F.zip_with("hot", expr.softmax(F.col("raw")), lambda y, q: y - q)
 
 
-def _moved(rows: DataFrame, values: list[np.ndarray], rate: float) -> DataFrame:
-    """rows with `raw` moved by rate times the value of each tree's leaf."""
+def _leaf_sums(rows: DataFrame, trees: list) -> dict[tuple[int, int], tuple[float, float]]:
+    """By tree and leaf, the sums of w r and w |r| (1 - |r|) over rows(x, rest, w), r the tree's own part of rest."""
+
+    def run(batches):
+        sums = [np.zeros((2, len(t.feature))) for t in trees]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, rest, w = matrix(batch.column("x")), matrix(batch.column("rest")), np.asarray(batch.column("w"))
+            for c, t in enumerate(trees):
+                leaf, r = t.leaves(x), rest[:, c]
+                for own, add in zip(sums[c], (w * r, w * np.abs(r) * (1 - np.abs(r))), strict=True):
+                    own += np.bincount(leaf, add, len(own))
+        for c, own in enumerate(sums):
+            at = np.flatnonzero(own.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), *(pa.array(o[at]) for o in own)], names=["c", "leaf", "a", "b"])
+
+    parts = rows.select("x", "rest", "w").mapInArrow(run, "c int, leaf int, a double, b double")
+    return {(g["c"], g["leaf"]): (g["a"], g["b"]) for g in parts.groupBy("c", "leaf").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}  # one row a leaf
+
+
+def _moved(rows: DataFrame, trees: list, rate: float) -> DataFrame:
+    """rows with `raw` moved by rate times what each tree says of x."""
     held = [c for c in rows.columns if c != "raw"]
 
     def run(batches):
         for batch in batches:
-            leaf, raw = matrix(batch.column("leaf")).astype(int), matrix(batch.column("raw"))
-            new = raw + rate * np.stack([v[leaf[:, c]] for c, v in enumerate(values)], 1) if batch.num_rows else raw
-            ends = pa.array(np.arange(0, new.size + 1, len(values)), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.ListArray.from_arrays(ends, pa.array(new.ravel()))], names=[*held, "raw"])
+            x, raw = matrix(batch.column("x")), matrix(batch.column("raw"))
+            new = raw + rate * np.stack([t.value[t.leaves(x), 0] for t in trees], 1) if batch.num_rows else np.zeros((0, len(trees)))
+            yield pa.RecordBatch.from_arrays([*batch.select(held).columns, lists(new)], names=[*held, "raw"])
 
     schema = T.StructType([*(rows.schema[c] for c in held), rows.schema["raw"]])
     return rows.select(*held, "raw").mapInArrow(run, schema)
@@ -232,7 +254,7 @@ class GradientBoostingClassifier(_Classifier):
         self.learning_rate, self.n_estimators, self.subsample, self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_impurity_decrease, self.max_features, self.init, self.random_state = learning_rate, n_estimators, subsample, max_depth, min_samples_split, min_samples_leaf, min_impurity_decrease, max_features, init, random_state
 
     def fit(self, df: DataFrame, features: str = "features", target: str = "y", weight: str | None = None, key: str = "row_id", local_cells: int = LOCAL_CELLS, most_classes: int = 10_000) -> GradientBoostingClassifier:
-        """Rows and their raw scores go from round to round in a table: each round writes it once, with the leaves of its own trees."""
+        """Rows and their raw scores go from round to round in a table: each round writes it once, moved by its own trees."""
         if self.learning_rate <= 0 or self.n_estimators < 1 or not 0 < self.subsample <= 1 or self.init not in ("prior", "zero"):
             raise ValueError("bad boosting parameters")
         n, d = check_frame(df, features, target, weight)
@@ -244,7 +266,7 @@ class GradientBoostingClassifier(_Classifier):
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         hot = F.array(*[(F.col(target) == F.lit(c.item())).cast("double") for c in (self.classes_[1:] if k == 2 else self.classes_)])
         name = F.xxhash64(*([key] if key in df.columns else [features, target]))
-        base = df.select(F.col(features).alias("x"), hot.alias("hot"), w.alias("w"), name.alias("name"))
+        base = df.select(F.col(features).alias("x"), hot.alias("hot"), w.alias("w"), *([name.alias("name")] if self.subsample < 1 else []))
         shares = base.agg(*[(F.sum(F.col("w") * F.get("hot", F.lit(c))) / F.sum("w")).alias(f"p{c}") for c in range(outputs)]).first()
         p = np.clip([shares[f"p{c}"] for c in range(outputs)], 1e-12, 1 - 1e-12)
         self.init_ = np.zeros(outputs) if self.init == "zero" else np.log(p / (1 - p)) if k == 2 else np.log(p)
@@ -254,28 +276,22 @@ class GradientBoostingClassifier(_Classifier):
         self.trees_, self.train_score_, held = [], [], None
         state = base.withColumn("raw", F.array(*[F.lit(float(v)) for v in self.init_]))
         for round_ in range(self.n_estimators):
-            rest = F.zip_with("hot", _chances(F.col("raw"), k), lambda y, q: y - q)
             bag = F.lit(True)
             if self.subsample < 1:
                 u = F.pmod(F.xxhash64("name", F.lit(int(rng.integers(2**31)))), F.lit(1 << 40))
                 bag = u <= _smallest(state.select(u.alias("u")), round(self.subsample * n))
-            rows = state.withColumn("rest", rest).withColumn("bag", bag & (F.col("w") > 0))
-            moments = F.flatten(F.transform("rest", lambda r: moment_stats(r, F.col("w"))))
+            rows = state.where(bag & (F.col("w") > 0)).withColumn("rest", _rest(k))
+            moments = moment_stats(F.get("rest", F.lit(0)), F.col("w")) if outputs == 1 else F.flatten(F.transform("rest", lambda r: moment_stats(r, F.col("w"))))
             keys = [f"{int(rng.integers(2**31))}:{c}" for c in range(outputs)]
-            grown = grow_all(rows.where("bag").select("x", moments.alias("s")), 3, d, rules, keys, shared=False, local_cells=local_cells)
-            leaves = apply_kernel(rows, "x", "leaf", lambda x, ts=grown: np.stack([t.leaves(x) for t in ts], 1).astype(float), width=d)
-            last, held = held, Held(leaves, "boost")
-            if last:
-                last.drop()
-            each = held.df.where("bag").select("w", F.posexplode(F.arrays_zip("leaf", "rest")).alias("c", "z")).select("c", "w", "z.leaf", F.col("z.rest").alias("r"))
-            steep = F.abs("r") * (1 - F.abs("r"))
-            sums = each.groupBy("c", F.col("leaf").cast("int").alias("leaf")).agg(F.sum(F.col("w") * F.col("r")).alias("a"), F.sum(F.col("w") * steep).alias("b"))
+            grown = grow_all(rows.select("x", moments.alias("s")), 3, d, rules, keys, shared=False, local_cells=local_cells)
             for tree in grown:
                 tree.value = np.zeros((len(tree.feature), 1))
-            for g in sums.collect():  # one row a leaf
-                grown[g["c"]].value[g["leaf"], 0] = factor * g["a"] / g["b"] if g["b"] >= 1e-12 else 0.0
-            values = [t.value[:, 0] for t in grown]
-            state = _moved(held.df, values, rate).select("x", "hot", "w", "name", "raw")
+            for (c, leaf), (up, steep) in _leaf_sums(rows, grown).items():
+                grown[c].value[leaf, 0] = factor * up / steep if steep >= 1e-12 else 0.0
+            last, held = held, Held(_moved(state, grown, rate), "boost")
+            if last:
+                last.drop()
+            state = held.df
             self.trees_.append(grown)
             self.train_score_.append(self._deviance(state, k))
         held.drop()
@@ -324,6 +340,13 @@ class GradientBoostingClassifier(_Classifier):
         for n in range(1, len(self.trees_) + 1):
             yield self._decision(df, features, into, n)
 
+    def staged(self, df: DataFrame, features: str = "features", into: str = "stages") -> DataFrame:
+        """df with the raw scores after each round, one round after the other in one array: a single pass for all rounds."""
+        check_is_fitted(self, "trees_")
+        trees, start, rate = self.trees_, self.init_, self.learning_rate
+        said = lambda x: np.stack([[t.value[t.leaves(x), 0] for t in ts] for ts in trees])  # noqa: E731  (round, output, row)
+        return apply_kernel(df, features, into, lambda x: (start[:, None] + rate * np.cumsum(said(x), 0)).reshape(-1, len(x)).T, width=self.n_features_)
+
     def staged_predict_proba(self, df: DataFrame, features: str = "features", into: str = "proba") -> Iterator[DataFrame]:
         for n in range(1, len(self.trees_) + 1):
             yield apply_kernel(df, features, into, self._proba(n), width=self.n_features_)

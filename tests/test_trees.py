@@ -125,3 +125,23 @@ def test_trees_without_rows(spark):
     assert all(np.isfinite(t.value).all() for t in m.trees_) and m.predict(df).count() == 2
     trees = grow_all(df.select(F.col("features").alias("x"), F.array(F.lit(1.0), F.lit(0.0)).alias("s"), F.array(F.lit(0.0), F.lit(1.0)).alias("w")), 2, 2, Rules("gini"), ["a", "b"])
     assert [t.rows[0] for t in trees] == [0, 2]
+
+
+def test_a_task_sends_one_row_for_each_value():
+    from quillon.operators.tree import _added_up
+
+    rng = np.random.default_rng(5)
+    slot, x, s, n = rng.integers(0, 2, 1000), rng.integers(-2, 3, (1000, 2)) * 0.5, rng.integers(0, 9, (1000, 3)).astype(float), np.ones(1000)
+    tried = np.array([[True, True], [True, False]])
+    got = {(int(k), int(f), float(v)): list(map(float, z)) for columns in _added_up(slot, x, s, n, tried) for k, f, v, *z in zip(*columns)}
+    want = {(k, f, v): [float(own.sum()), *s[own].sum(0)] for k in (0, 1) for f in (0, 1) if tried[k, f] for v in (-1.0, -0.5, 0.0, 0.5, 1.0) for own in [(slot == k) & (x[:, f] == v)]}
+    assert got == want and sum(len(c[0]) for c in _added_up(slot, x, s, n, tried)) == 15
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_all_rounds_of_boosting_in_one_pass(spark, k):
+    df = spark.range(60).selectExpr("id AS row_id", "array(double(id % 7), double(id % 11)) AS features", f"(id * 5 + id div 4) % {k} AS y")
+    m = GradientBoostingClassifier(0.3, n_estimators=3, max_depth=2, subsample=0.8, random_state=1).fit(df, local_cells=0)
+    whole = {r["row_id"]: np.reshape(r["stages"], (3, -1)) for r in m.staged(df).collect()}
+    for j, one in enumerate(m.staged_decision_function(df)):
+        assert all(np.allclose(np.ravel(r["decision"]), whole[r["row_id"]][j], atol=1e-12) for r in one.collect())
