@@ -22,17 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.storage import filesystem, put, scratch, written
-from quillon.llm.textkit import CHUNK_BYTES, chunks, mix, narrow_batches, ragged, utf8_parts
+from quillon.llm.textkit import chunks, mix, narrow_batches, ragged, utf8_parts
 
 MAGIC = b"QTOKENS1"
 HEAD = 32
 GAMMA, LEVELS = 2.0, 40
+CHUNK_BYTES = 1 << 23  # of text that a task encodes at once
 SHARD_BYTES = 1 << 26  # of ids; a task writes a shard out and starts the next from here on
 
 
@@ -150,7 +152,13 @@ def _tokenizer(raw: bytes):
 #: The steps before the merges for which WordIds knows the pieces of plain words: white space to blanks, lower case,
 #: pieces by this pattern, bytes as letters. They are compared with the tokenizer's own file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
+#: Words of these are plain: their lower case and their normal form are one code point each, letters are letters.
+LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+#: The bytes of À to ÿ as the letters that byte-level tokenizers write for them.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+AS_BYTES = {x: "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in chr(x).encode()) for x in range(0xC0, 0x100)}
 STEPS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
 
 
@@ -168,13 +176,13 @@ def splits_at_blanks(raw: bytes) -> bool:
 class WordIds:
     """Ids by stretch of text between blanks and line feeds, each stretch encoded when it is first met.
 
-    A stretch of printable ASCII is cut by the tokenizer's pattern here and the library's model merges each piece; any
-    other stretch goes through the whole library. Both hold for tokenizers that splits_at_blanks() accepts; with another
+    A stretch of printable ASCII and the letters from À to ÿ is cut by the tokenizer's pattern here and the library's model
+    merges each piece; any other stretch goes through the whole library. Both hold for tokenizers that splits_at_blanks() accepts; with another
     the library encodes whole texts. The entries are runs of one flat id array; they are dropped between calls once
     there are more than limit, so a vocabulary without end costs time, not memory.
     """
 
-    def __init__(self, raw: bytes, limit: int = 200_000):
+    def __init__(self, raw: bytes, limit: int = 500_000):
         self.tokenizer, self.limit = _tokenizer(raw), limit
         self.model, self.cuts = self.tokenizer.model, splits_at_blanks(raw)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -186,7 +194,7 @@ class WordIds:
     def _piece(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
+            got = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.translate(AS_BYTES))]
         return got
 
     def _add(self, word: str, ids) -> None:
@@ -201,16 +209,15 @@ class WordIds:
             return np.array([k for ids in got for k in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
         if len(self.entry) > self.limit:
             self._forget()
-        words: list[str] = []
-        cut = [0]
-        for t in texts:
-            words += t.replace("\n", " ").split(" ")
-            cut.append(len(words))
+        # Arrow cuts the texts and numbers the different words, so Python meets each word of a chunk once.
+        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        flat, cut = words.flatten().dictionary_encode(), np.asarray(words.offsets)
+        different = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         other = []
-        for w in dict.fromkeys(words):
+        for w in different:
             if w in self.entry:
                 continue
-            if w.isascii() and w.isprintable() and not ("<" in w and any(x in w for x in self.special)):
+            if LATIN.fullmatch(w) and not ("<" in w and any(x in w for x in self.special)):
                 low = w.lower()
                 if low.isalpha():
                     self._add(w, self._piece(low))
@@ -221,13 +228,32 @@ class WordIds:
         for at in range(0, len(other), 10_000):
             for w, got in zip(part := other[at : at + 10_000], self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self._add(w, got.ids)
-        which = np.fromiter(map(self.entry.__getitem__, words), np.int64, len(words))
+        which = np.fromiter(map(self.entry.__getitem__, different), np.int64, len(different))[np.asarray(flat.indices)]
         ends = np.frombuffer(self.ends, np.int64)
         counts = ends[which + 1] - ends[which]
         ids = np.frombuffer(self.flat, np.uint32)[ragged(ends[which], counts)] if len(self.flat) else np.zeros(0, np.uint32)
         return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[cut])
 
 
+def _gathered(batches, size: int):
+    """The rows of the batches, of at least `size` bytes at a time: the more text at once, the fewer words are met again."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+@lru_cache(maxsize=1)
+def _words(raw: bytes) -> WordIds:
+    """The ids known in this process: Spark gives a Python process many tasks, and most words come again in the next."""
+    return WordIds(raw)
+
+
 def write_shards(df: DataFrame, folder: str, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode and write; returns the manifest rows (shard, file, key, row, n_tokens), one per document.
 
@@ -245,7 +271,7 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int = 2, key: st
     rows = rows.repartitionByRange(partitions, F.col("key").asc_nulls_last(), "h").sortWithinPartitions(F.col("key").asc_nulls_last(), "text").drop("h")
 
     def run(batches):
-        words, task = WordIds(shared.value), TaskContext.get()
+        words, task = _words(shared.value), TaskContext.get()
         width = 2 if words.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         held = ([], [], [])
         shard, size = task.partitionId() << 24, 0
@@ -260,7 +286,7 @@ def write_shards(df: DataFrame, folder: str, path: str, end_id: int = 2, key: st
             held, shard, size = ([], [], []), shard + 1, 0
             return out
 
-        for batch in batches:
+        for batch in _gathered(batches, CHUNK_BYTES):
             own = batch.column("key").to_pylist()
             raw, ends = utf8_parts(batch.column("text"))
             for lo, hi, part, cut in chunks(raw, ends, min(CHUNK_BYTES, shard_bytes)):

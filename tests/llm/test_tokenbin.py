@@ -110,3 +110,19 @@ def test_empty_table(spark):
     df = spark.createDataFrame([(None, "a")], "doc_id long, text string")
     assert B.digests(df.limit(0), PATH).count() == 0
     assert [(r.doc_id, r.start) for r in B.digests(df, PATH).collect()] == [(None, 0)]
+
+
+def test_latin_words_are_plain_and_known_from_task_to_task():
+    """Words of Latin letters get the library's ids without the library's whole path, and one process keeps them."""
+    raw = open(PATH, "rb").read()
+    words = B._words(raw)
+    assert B._words(bytes(raw)) is words
+    library = words.tokenizer
+    texts = ["Ça où ÉTÉ, straße's l'été\n\nÀ  Þ", "", "x²½ ªº µm ÷ × İ ſ naïve", "été ÿ'S 'Ré's"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    words.tokenizer = None  # met for words that are not plain only
+    ids, n = words.encode(texts[:2])
+    assert ids.tolist() == want[0] and n.tolist() == [len(want[0]), 0]
+    words.tokenizer = library
+    ids, n = words.encode(texts)
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
