@@ -10,21 +10,43 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.held import bounded_batches
+from quillon.functions.held import Held, bounded_batches, forget_shuffles
 from quillon.functions.stats import matrix
 
 #: Rows of a tile of queries, of keys, and the side of a matrix tile.
 QUERIES, KEYS, SIDE = 1024, 256, 256
 SALTS = 16
+#: Key rows that are sent to tiles of queries at once: so many times all of them, or LEAST rows.
+SENT, LEAST = 2, 100_000
 
 
 def _tiled(rows: DataFrame, size: int, arrays: list[str]) -> DataFrame:
-    """rows(b, i, arrays...) as tiles (b, t, rows): those with floor(i / size) = t, by i. Indices must differ within b."""
-    return rows.groupBy("b", F.floor(F.col("i") / size).alias("t")).agg(F.sort_array(F.collect_list(F.struct("i", *arrays))).alias("rows"))
+    """rows(b, i, arrays...) as tiles (b, t, low, high, rows) by i, the least and the greatest i beside them. Indices must differ within b.
+
+    n rows of one b make at most n / size + 1 tiles, each of under twice size rows, however far apart their indices lie:
+    cells of size indices are joined in their order. The table of cells has their counts only.
+    """
+    cell = F.floor(F.col("i") / size)
+    counts = rows.groupBy("b", cell.alias("cell")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("cell", cell).join(counts.select("b", "cell", F.floor(before / size).alias("t")), ["b", "cell"])
+    return placed.groupBy("b", "t").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.sort_array(F.collect_list(F.struct("i", *arrays))).alias("rows"))
+
+
+def _rounds(q: DataFrame, k: DataFrame, causal: bool, size: int) -> int:
+    """In how many rounds the key rows are sent, so that one round sends at most about SENT times all of them, or LEAST rows."""
+    each = lambda rows, a, b: rows.select("b", F.floor(F.col("i") / size).alias("cell"), F.lit(a).alias("a"), F.lit(b).alias("k"))
+    cells = each(q, 1, 0).union(each(k, 0, 1)).groupBy("b", "cell").agg(F.sum("a").alias("a"), F.sum("k").alias("k"))
+    so_far = Window.partitionBy("b").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.sum("k").over(so_far if causal else Window.partitionBy("b"))
+    cells = cells.select("b", "a", "k", F.floor((F.sum("a").over(so_far) - F.col("a")) / size).alias("t"), seen.alias("seen"))
+    tiled = cells.groupBy("b", "t").agg(F.sum("k").alias("k"), F.sum("a").alias("a"), F.max(F.when(F.col("a") > 0, F.col("seen"))).alias("seen"))
+    sent, rows = tiled.agg(F.sum(F.when(F.col("a") > 0, F.col("seen"))), F.sum("k")).first()
+    return max(1, -(-(sent or 0) // max(LEAST, SENT * (rows or 0))))
 
 
 def attention(q: DataFrame, k: DataFrame, v: DataFrame, causal: bool = False, queries: int = QUERIES, keys: int = KEYS) -> DataFrame:
@@ -32,20 +54,40 @@ def attention(q: DataFrame, k: DataFrame, v: DataFrame, causal: bool = False, qu
 
     causal: a query sees keys up to its own index, and one that sees none has no row; so has a query without keys in its b.
     Each tile of queries meets each tile of keys once, so queries * keys products make one row. The tiles of one b are dealt
-    out by the queries' tile; key and value rows go to every one of these that may see them.
+    out by the queries' tile; key and value rows go to every one of these that may see them. What is sent so grows with the
+    square of a b's rows: where it is more than SENT times the keys, the tiles of queries take turns, a round's rows are
+    written, and its shuffle files are deleted before the next, so the disk grows with the rows.
     """
     kv = k.select("b", "i", F.col("x").alias("k")).join(v.select("b", "i", F.col("x").alias("v")), ["b", "i"])
-    q_tiles = _tiled(q, queries, ["x"]).select("b", "t", F.col("rows").alias("q"))
+    q_tiles = _tiled(q, queries, ["x"]).select("b", "t", "high", F.col("rows").alias("q"))
+    k_tiles = _tiled(kv, keys, ["k", "v"]).select("b", F.col("t").alias("s"), "low", F.col("rows").alias("kv"), F.pmod(F.col("t"), F.lit(SALTS)).alias("salt"))
+    rounds = _rounds(q, k, causal, queries)
+    if rounds == 1:
+        return _walked(q_tiles, k_tiles, causal)
+    with Held(q_tiles, "queries", "zstd") as own, Held(k_tiles, "keys", "zstd") as others:
+        turn = F.pmod(F.xxhash64("b", "t"), F.lit(rounds))
+        done = None
+        for n in range(rounds):
+            forget_shuffles(own.sparkSession)
+            part = _walked(own.where(turn == n), others, causal)
+            done = Held(part, "attention") if done is None else done.add(part)
+        del part
+        forget_shuffles(own.sparkSession)
+    return done.df
+
+
+def _walked(q_tiles: DataFrame, k_tiles: DataFrame, causal: bool) -> DataFrame:
+    """(b, i, out) of tiles of queries (b, t, high, q) after all tiles of keys (b, s, low, kv, salt) that they see."""
     # the key tiles of one b are spread by a salt, for it may hold most of all rows
-    known = q_tiles.select("b", "t").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    k_tiles = _tiled(kv, keys, ["k", "v"]).select("b", F.col("t").alias("s"), F.col("rows").alias("kv"), F.pmod(F.col("t"), F.lit(SALTS)).alias("salt"))
-    sees = F.col("s") * keys < (F.col("t") + 1) * queries if causal else F.lit(True)
+    known = q_tiles.select("b", "t", "high").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    sees = F.col("low") <= F.col("high") if causal else F.lit(True)
     sent = k_tiles.join(known, ["b", "salt"]).where(sees).drop("salt")
     # A tile of queries goes before the tiles of keys it meets, once: beside each of them it would be most of what is moved.
     first = q_tiles.join(sent.select("b", "t").distinct(), ["b", "t"], "left_semi").select("b", "t", F.lit(None).cast("long").alias("s"), "q", F.lit(None).cast(k_tiles.schema["kv"].dataType).alias("kv"))
     met = first.union(sent.select("b", "t", "s", F.lit(None).cast(q_tiles.schema["q"].dataType), "kv"))
     met = bounded_batches(met.repartition("b", "t").sortWithinPartitions("b", "t", F.asc_nulls_first("s")))
-    out = T.StructType([q.schema["b"], q.schema["i"], T.StructField("out", T.ArrayType(T.DoubleType()))])
+    index = q_tiles.schema["q"].dataType.elementType["i"]
+    out = T.StructType([q_tiles.schema["b"], index, T.StructField("out", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         now, state = False, None

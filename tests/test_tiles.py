@@ -61,3 +61,24 @@ def test_tasks_hold_few_tiles_at_once(spark):
     below = plan.toString().split("MapInArrow")[1]
     assert "Union" in below[: below.index("Join")]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 1 << 24
+
+
+def test_keys_are_sent_in_rounds(spark):
+    """131,000 key rows would be sent at once for 1,024; they go in rounds, whose joins are done when the rows are read."""
+    r = np.random.default_rng(5)
+    q = r.normal(size=(1024, 3))
+    x = spark.createDataFrame([(0, i, a.tolist()) for i, a in enumerate(q)], "b int, i long, x array<double>").repartition(3)
+    out = tiles.attention(x, x, x, True, 4, 4)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["i"]: r["out"] for r in out.collect()}
+    want = plain(q, q, q, True, np.arange(1024))
+    assert len(got) == out.count() == 1024 and all(np.allclose(got[i], want[i]) for i in got)
+
+
+def test_tiles_are_full_where_indices_lie_apart(spark):
+    """Every tenth index is there, and a clump: tiles hold their number of rows all the same, in the order of the index."""
+    at = [*range(0, 4000, 10), *range(4000, 4100), 9999]
+    rows = spark.createDataFrame([(0, i, [float(i)]) for i in at], "b int, i long, x array<double>").repartition(4)
+    got = sorted((r["low"], r["high"], [x["i"] for x in r["rows"]]) for r in tiles._tiled(rows, 50, ["x"]).collect())
+    assert [i for _, _, own in got for i in own] == at
+    assert all(low == own[0] and high == own[-1] and len(own) < 100 for low, high, own in got) and len(got) <= len(at) / 50 + 1
